@@ -114,7 +114,7 @@ CTES: dict[str, str] = {
                 'public_metrics', json_object('like_count', v, 'retweet_count', v % 5,
                     'reply_count', v % 3, 'impression_count', v * 20)) AS VARCHAR)
             WHEN 'reddit' THEN CAST(json_object('title', substr(text, 1, 40), 'selftext', text,
-                'author', 'a' || user_id, 'created_utc', epoch_ms(ts) // 1000,
+                'author', 'a' || user_id, 'created_utc', epoch_us(ts) // 1000000,
                 'url', 'https://r.example/' || event_id,
                 'public_metrics', json_object('like_count', v, 'reply_count', v % 7)) AS VARCHAR)
             WHEN 'youtube' THEN CAST(json_object('title', substr(text, 1, 40),

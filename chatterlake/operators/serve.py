@@ -226,10 +226,10 @@ def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
         for name, df in tables.items()
     ]
-    return _union(counts)
+    return union_all(counts)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame]) -> DataFrame:
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

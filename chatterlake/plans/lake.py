@@ -27,15 +27,25 @@ class Lake:
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source_dir}/{name}.parquet")
 
+    def folder(self, name: str) -> str:
+        return f"{storage.shared_root(self.spark)}/{storage.digest(self.source_dir)}/{name}"
+
     def layer(self, name: str) -> DataFrame:
         """A layer as a table; built on first use, then read from where it was written."""
         key = (self.spark.sparkContext.applicationId, self.source_dir, name)
         if key not in _written:
-            path = f"{storage.shared_root(self.spark)}/{storage.digest(self.source_dir)}/{name}"
-            partition = PARTITIONS.get(name)
-            _written[key] = storage.write_table(LAYERS[name](self), path, partition)
+            _written[key] = storage.write_table(
+                LAYERS[name](self), self.folder(name), PARTITIONS.get(name)
+            )
         return _written[key]
 
+    def layers(self, *names: str) -> dict[str, DataFrame]:
+        return {name: self.layer(name) for name in names}
+
+    def fresh(self, name: str) -> str:
+        """An unused folder for a write made by one query run."""
+        return storage.fresh_path(self.spark, name)
+
     def base(self) -> DataFrame:
         return seed.post_base(self.source("events"), self.source("documents"))
 
