@@ -276,7 +276,10 @@ def with_tables(body: str) -> str:
     if not needed:
         return body
     parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    own = body.strip()
+    if own.startswith("WITH "):
+        return "WITH " + ",\n".join(parts) + ",\n" + own[len("WITH "):]
+    return "WITH " + ",\n".join(parts) + "\n" + own
 
 
 def query(name: str, sql: str | None = None):
