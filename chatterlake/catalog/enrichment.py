@@ -1 +1,263 @@
+"""Sentiment, topic and language baselines, model contracts and the full refresh."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chatterlake.catalog.registry import MEASURES, merged, pct, query, top_list
+from chatterlake.functions import models as M
+from chatterlake.functions.times import ntz
+from chatterlake.operators import enrich as K
+from chatterlake.plans.refresh import full_refresh, refresh_outcome
+
+NOW = "2024-02-01 12:00:00"
+WORDS = "regexp_extract_all(lower(coalesce({t}, '')), '([\\p{{L}}\\p{{N}}_]+)', 1)"
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _hits(values: list[str]) -> str:
+    return f"len(list_filter(w, lambda x: x IN {_in(values)}))"
+
+
+def _scores(table: str, key: str, text: str) -> str:
+    """Statement with sentiment and language of every text."""
+    langs = sorted(M.LANGUAGE_WORDS)
+    hits = ", ".join(f"{_hits(M.LANGUAGE_WORDS[c])} AS h_{c}" for c in langs)
+    best = " ".join(f"WHEN h_{c} = ranked[1] THEN '{c}'" for c in langs)
+    return f"""
+        SELECT {key}, CASE WHEN pos > neg THEN 'positive' WHEN neg > pos THEN 'negative'
+                ELSE 'neutral' END AS sentiment,
+            coalesce(greatest(pos, neg) / CAST(nullif(pos + neg, 0) AS DOUBLE), 0)
+                AS sentiment_confidence,
+            CASE WHEN decided THEN CASE {best} END ELSE 'unknown' END AS language,
+            CASE WHEN decided THEN 1.0E0 ELSE 0.0E0 END AS language_confidence
+        FROM (SELECT *, ranked[1] > 0 AND ranked[1] - ranked[2] >= 0.25E0 * ranked[1] AS decided
+            FROM (SELECT *, list_reverse_sort([{', '.join(f'h_{c}' for c in langs)}]) AS ranked
+            FROM (SELECT *, {_hits(M.POSITIVE_WORDS)} AS pos, {_hits(M.NEGATIVE_WORDS)} AS neg,
+                {hits} FROM (SELECT {key}, {WORDS.format(t=text)} AS w FROM {table}))))"""
+
+
+def _topics(table: str, key: str, text: str) -> str:
+    """Statement with the best TF-IDF term of every text."""
+    return f"""
+        SELECT k.{key}, coalesce(t.term, 'unknown') AS topic_label,
+            coalesce(floor(t.micro / 1.0E6 / t.n_terms * 1.0E6 + 0.5E0) / 1.0E6, 0)
+                AS topic_confidence
+        FROM {table} k LEFT JOIN (
+            SELECT tf.*, floor(tf * (ln((nd + 1) / df) / ln(nd + 1)) * 1.0E6 + 0.5E0) AS micro
+            FROM (SELECT {key}, term, count(*) AS tf, max(n_terms) AS n_terms,
+                    count(*) OVER (PARTITION BY term) AS df
+                FROM (SELECT {key}, len(terms) AS n_terms, unnest(terms) AS term FROM (
+                    SELECT {key}, list_concat(w, list_transform(range(1, len(w)),
+                        lambda i: w[i] || ' ' || w[i + 1])) AS terms
+                    FROM (SELECT {key}, list_filter({WORDS.format(t=text)},
+                        lambda x: length(x) >= 2 AND x NOT IN {_in(M.STOP_WORDS)}) AS w
+                        FROM {table})))
+                GROUP BY {key}, term) tf
+            CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS nd FROM {table})
+            QUALIFY row_number() OVER (PARTITION BY tf.{key} ORDER BY micro DESC, term) = 1
+        ) t ON t.{key} = k.{key}"""
+
+
+@query("score_sentiment", f"""
+    SELECT doc_id, sentiment, sentiment_confidence
+    FROM ({_scores('documents', 'doc_id', 'text')})""")
+def _(lake):
+    return K.score_sentiment(lake.source("documents")).select(
+        "doc_id", "sentiment", "sentiment_confidence"
+    )
+
+
+@query("detect_language", f"""
+    SELECT s.doc_id, d.lang, s.language, s.language_confidence
+    FROM ({_scores('documents', 'doc_id', 'text')}) s JOIN documents d USING (doc_id)""")
+def _(lake):
+    return K.detect_language(lake.source("documents")).select(
+        "doc_id", "lang", "language", "language_confidence"
+    )
+
+
+@query("extract_topic", _topics("documents", "doc_id", "text"))
+def _(lake):
+    return K.extract_topic(lake.source("documents"), "doc_id")
+
+
+# Raw model labels in several spellings, one per labelled document.
+_RAW_LABELS = [" Positive ", "LABEL_0", "label_1", "NEGATIVE", "label_2 ", "other"]
+
+
+@query("map_sentiment_label", f"""
+    SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN 'positive'
+        WHEN doc_id % 6 IN (3, 4) THEN 'negative' ELSE 'neutral' END AS label FROM labels""")
+def _(lake):
+    raw = F.get(F.array(*[F.lit(v) for v in _RAW_LABELS]), (F.col("doc_id") % 6).cast("int"))
+    return lake.source("labels").select("doc_id", M.map_sentiment_label(raw).alias("label"))
+
+
+def _responses(lake, key: str):
+    """Model answers: normal, clamped high and low, quoted confidence, empty and broken."""
+    d = F.col("doc_id")
+    value = F.concat(F.lit("  "), F.upper("lang"), F.lit(" "))
+    confidence = (
+        F.when(d % 7 == 1, F.lit("1.7")).when(d % 7 == 2, F.lit("-0.2"))
+        .when(d % 7 == 3, F.lit('"high"')).when(d % 7 == 4, F.lit("true"))
+        .otherwise((d % 10 / F.lit(10.0)).cast("string"))
+    )
+    whole = F.concat(
+        F.lit(f'{{"{key}": "'), value, F.lit('", "confidence": '), confidence, F.lit("}")
+    )
+    broken = F.when(d % 13 == 0, F.lit("{}")).when(d % 17 == 0, F.lit("not json"))
+    return lake.source("documents").select(
+        "doc_id", F.coalesce(broken, whole).alias("response")
+    )
+
+
+_BROKEN = "doc_id % 13 = 0 OR doc_id % 17 = 0"
+
+
+@query("parse_model_json", f"""
+    SELECT doc_id, kind, CASE WHEN {_BROKEN} THEN CASE kind WHEN 'label' THEN 'neutral'
+            ELSE 'unknown' END
+            WHEN kind = 'label' THEN 'neutral' WHEN kind = 'topic_label' THEN upper(lang)
+            ELSE lang END AS label,
+        CASE WHEN {_BROKEN} THEN 0.0E0 WHEN doc_id % 7 IN (1, 4) THEN 1.0E0
+            WHEN doc_id % 7 IN (2, 3) THEN 0.0E0 ELSE doc_id % 10 / 10.0E0 END AS confidence,
+        CASE WHEN {_BROKEN} THEN 'openai' ELSE 'openai/org/small-1' END AS model_name,
+        CASE WHEN {_BROKEN} THEN 'unknown' ELSE 'small-1' END AS model_version
+    FROM documents CROSS JOIN (SELECT unnest(['label', 'topic_label', 'language_code']) AS kind)""")
+def _(lake):
+    from chatterlake.operators.serve import union_all
+
+    return union_all([
+        _responses(lake, kind).select(
+            "doc_id", F.lit(kind).alias("kind"),
+            M.parse_model_json(F.col("response"), F.lit("org/small-1"), kind).alias("r"),
+        ).select("doc_id", "kind", "r.*")
+        for kind in ("label", "topic_label", "language_code")
+    ])
+
+
+@query("prompt_versions", """
+    WITH latest AS (SELECT role AS key, max((conv_id, turn, text)) AS m FROM conversations
+        GROUP BY role)
+    SELECT c.conv_id, c.turn, c.role AS key, 'v' || l.m[1] || '.' || l.m[2] AS version,
+        md5(l.m[3]) AS prompt_md5
+    FROM conversations c JOIN latest l ON l.key = c.role""")
+def _(lake):
+    turns = lake.source("conversations")
+    registrations = turns.select(
+        F.col("role").alias("key"), F.col("conv_id").alias("registered_at"),
+        F.col("turn").alias("seq"), F.col("text").alias("prompt"),
+        F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit("."),
+                 F.col("turn").cast("string")).alias("version"),
+    )
+    calls = turns.select("conv_id", "turn", F.col("role").alias("key"))
+    return K.attach_prompt(calls, K.latest_prompts(registrations)).select(
+        "conv_id", "turn", "key", "version", F.md5("prompt").alias("prompt_md5")
+    )
+
+
+@query("provider_routing", """
+    SELECT id, CASE WHEN silver_post_id % 3 = 0 THEN 'remote' ELSE 'local' END AS provider
+    FROM ai_jobs""")
+def _(lake):
+    k = F.col("silver_post_id") % 3
+    override = F.when(k == 0, F.lit("remote")).when(k == 1, F.lit(""))
+    return lake.ai_jobs.select(
+        "id", K.provider_for(override, F.lit("local")).alias("provider")
+    )
+
+
+_NATIVE = f"""
+    scores AS ({_scores('readable', 'id', 'post_text')}),
+    topics AS ({_topics('readable', 'id', 'post_text')}),
+    native AS (
+        SELECT t.*, {merged('own_hashtags', 'text_hashtags')} AS hashtags,
+            {merged('own_mentions', 'text_mentions')} AS mentions,
+            s.sentiment, s.sentiment_confidence, s.language, p.topic_label, p.topic_confidence,
+            CASE WHEN view_count > 0 THEN view_count
+                 ELSE 10 * (like_count + share_count + reply_count) END AS reach_estimate
+        FROM readable t JOIN scores s USING (id) JOIN topics p USING (id))"""
+
+
+@query("enrich_posts", f"""
+    WITH readable AS (SELECT * FROM tagged WHERE id % 97 <> 0), {_NATIVE}
+    SELECT n.id AS silver_post_id,
+        coalesce((SELECT max(ai_version) FROM annotations a WHERE a.silver_post_id = n.id), 0) + 1
+            AS ai_version,
+        array_to_string(hashtags, ',') AS hashtags, array_to_string(mentions, ',') AS mentions,
+        language, topic_label, topic_confidence, reach_estimate, sentiment, sentiment_confidence
+    FROM native n""")
+def _(lake):
+    return _enriched(lake).enrichment.select(
+        "silver_post_id", "ai_version", F.array_join("hashtags", ",").alias("hashtags"),
+        F.array_join("mentions", ",").alias("mentions"), "language", "topic_label",
+        "topic_confidence", "reach_estimate", "sentiment", "sentiment_confidence",
+    )
+
+
+def _enriched(lake):
+    """Bronze with some unreadable payloads, enriched on top of the stored versions."""
+    from chatterlake.storage import write_table
+
+    broken = lake.bronze_posts.withColumn(
+        "raw_payload", F.when(F.col("id") % 97 == 0, F.lit("{")).otherwise(F.col("raw_payload"))
+    )
+    scored = write_table(K.scored_posts(broken), lake.fresh("scored"))
+    return K.enrich_posts(scored, lake.silver_ai_enrichment, ntz(NOW))
+
+
+@query("enrich_jobs", f"""
+    SELECT id AS silver_post_id, CASE WHEN id % 97 = 0 THEN 'failed' ELSE 'completed' END
+            AS status,
+        CASE WHEN id % 97 = 0 THEN 'payload is not valid JSON' END AS error_message,
+        coalesce((SELECT max(ai_version) FROM enrichment e WHERE e.silver_post_id = s.id), 0) + 1
+            AS ai_version
+    FROM silver_posts s""")
+def _(lake):
+    return _enriched(lake).jobs.select("silver_post_id", "status", "error_message", "ai_version")
+
+
+_ITEMS = "SELECT *, unnest(hashtags) AS item FROM native_gold"
+_TOPIC_ITEMS = "SELECT *, topic_label AS item FROM native_gold"
+
+
+@query("full_refresh", f"""
+    WITH readable AS (SELECT * FROM tagged), {_NATIVE},
+    native_gold AS (SELECT n.*, r.keyword, 1 AS ai_version FROM native n
+        JOIN search_requests r ON r.id = n.search_request_id),
+    m AS (SELECT search_request_id, {MEASURES} FROM native_gold GROUP BY 1)
+    SELECT r.id AS search_request_id, r.keyword, coalesce(m.total_posts, 0) AS total_posts,
+        {pct('positive_count', 'm.total_posts', 2)} AS positive_pct,
+        {pct('negative_count', 'm.total_posts', 2)} AS negative_pct,
+        {pct('neutral_count', 'm.total_posts', 2)} AS neutral_pct, m.avg_confidence,
+        coalesce(total_likes, 0) AS total_likes, coalesce(total_views, 0) AS total_views,
+        coalesce(array_to_string(h.top_hashtags, ','), '') AS top_hashtags,
+        coalesce(array_to_string(t.top_topics, ','), '') AS top_topics
+    FROM search_requests r LEFT JOIN m ON m.search_request_id = r.id
+    LEFT JOIN ({top_list('hashtag', _ITEMS, 'search_request_id')}) h
+        ON h.search_request_id = r.id
+    LEFT JOIN ({top_list('topic', _TOPIC_ITEMS, 'search_request_id')}) t
+        ON t.search_request_id = r.id""")
+def _(lake):
+    summary = full_refresh(lake.raw_posts, lake.search_requests, ntz(NOW)).summary
+    return summary.select(
+        "search_request_id", "keyword", "total_posts", "positive_pct", "negative_pct",
+        "neutral_pct", "avg_confidence", "total_likes", "total_views",
+        F.array_join("top_hashtags", ",").alias("top_hashtags"),
+        F.array_join("top_topics", ",").alias("top_topics"),
+    )
+
+
+@query("refresh_outcome", """
+    SELECT r.id AS search_request_id, count(b.id) AS posts_crawled, count(b.id) AS posts_enriched,
+        count(b.id) > 0 AS gold_built
+    FROM search_requests r LEFT JOIN bronze_posts b ON b.search_request_id = r.id GROUP BY r.id""")
+def _(lake):
+    refreshed = full_refresh(lake.raw_posts, lake.search_requests, ntz(NOW))
+    return refresh_outcome(refreshed, lake.search_requests)
+
 

@@ -277,6 +277,8 @@ def with_tables(body: str) -> str:
         return body
     parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in needed]
     own = body.strip()
+    if own.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + own[len("WITH RECURSIVE "):]
     if own.startswith("WITH "):
         return "WITH " + ",\n".join(parts) + ",\n" + own[len("WITH "):]
     return "WITH " + ",\n".join(parts) + "\n" + own
