@@ -1 +1,189 @@
+"""Structured Streaming queries over the layers, run to the end of what is there.
+
+The layer files are not in time order, so the queries here use a watermark delay longer than
+the data; a live stream keeps the defaults of :mod:`chatterlake.streaming.streams`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chatterlake.catalog.aggregates import USAGE
+from chatterlake.catalog.registry import query
+from chatterlake.operators import budget as B
+from chatterlake.storage import write_table
+from chatterlake.streaming import streams as J
+
+WHOLE_RANGE = "60 days"
+ADMIT_LIMIT, ADMIT_HOURS = 3, 6
+
+
+def _stream(lake, name: str, files: int = 1000):
+    table = lake.layer(name)
+    return J.read_stream(lake.spark, table, lake.folder(name), files)
+
+
+def _run(stream, checkpoint: str, sink, mode: str = "append") -> None:
+    J.start(stream, checkpoint, sink, mode).awaitTermination()
+
+
+@query("stream_silver", """
+    SELECT id, platform, author_name, md5(post_text) AS text_md5, posted_at, like_count,
+        view_count, is_retweet FROM silver_posts""")
+def _(lake):
+    out = lake.fresh("stream_silver")
+    _run(J.silver_stream(_stream(lake, "bronze_posts", 4)), f"{out}/checkpoint", f"{out}/rows")
+    rows = lake.spark.read.schema(lake.silver_posts.schema).parquet(f"{out}/rows")
+    return rows.select(
+        "id", "platform", "author_name", F.md5("post_text").alias("text_md5"), "posted_at",
+        "like_count", "view_count", "is_retweet",
+    )
+
+
+@query("stream_requests", """
+    SELECT id, keyword, created_at FROM search_requests WHERE status = 'pending'""")
+def _(lake):
+    out = lake.fresh("stream_requests")
+    requests = J.pending_requests_stream(_stream(lake, "search_requests"))
+    _run(requests, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"))
+    return lake.spark.read.parquet(f"{out}/rows").select("id", "keyword", "created_at")
+
+
+@query("stream_dedup", "SELECT DISTINCT platform, platform_id FROM raw_posts")
+def _(lake):
+    out = lake.fresh("stream_dedup")
+    posts = _stream(lake, "raw_posts").select("platform", "platform_id", "fetched_at")
+    _run(J.dedup_stream(posts, WHOLE_RANGE), f"{out}/checkpoint", f"{out}/rows")
+    return lake.spark.read.schema("platform string, platform_id string").parquet(f"{out}/rows")
+
+
+_KEY = "event_type || ':' || user_id % 5"
+
+
+def _starts(lake):
+    """Start requests: one per event, for a keyword and one of five platforms."""
+    platform = (F.col("user_id") % 5).cast("string")
+    return lake.source("events").select(
+        F.col("event_id").alias("id"), "ts",
+        F.concat_ws(":", "event_type", platform).alias("dedup_key"),
+    )
+
+
+@query("stream_dedup_ttl", f"""
+    WITH RECURSIVE s AS (SELECT event_id AS id, {_KEY} AS k, ts, row_number() OVER (
+            PARTITION BY {_KEY} ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT id, k, ts AS kept, rn, true AS admitted FROM s WHERE rn = 1
+        UNION ALL SELECT s.id, s.k,
+            CASE WHEN s.ts >= r.kept + INTERVAL 300 SECOND THEN s.ts ELSE r.kept END, s.rn,
+            s.ts >= r.kept + INTERVAL 300 SECOND
+        FROM r JOIN s ON s.k = r.k AND s.rn = r.rn + 1)
+    SELECT id, admitted FROM r""")
+def _(lake):
+    return B.admit_sliding(_starts(lake), "dedup_key", "ts", "id", 1, B.REPEAT_SECONDS).select(
+        "id", "admitted"
+    )
+
+
+@query("stream_daily", """
+    SELECT search_request_id, platform, CAST(posted_at AS DATE) AS date,
+        count(*) AS total_posts, CAST(sum(like_count) AS BIGINT) AS total_likes,
+        CAST(sum(share_count) AS BIGINT) AS total_shares,
+        CAST(sum(reply_count) AS BIGINT) AS total_replies,
+        CAST(sum(view_count) AS BIGINT) AS total_views
+    FROM silver_posts WHERE posted_at IS NOT NULL GROUP BY ALL""")
+def _(lake):
+    out = lake.fresh("stream_daily")
+    daily = J.daily_stream(_stream(lake, "silver_posts", 4), WHOLE_RANGE)
+    _run(daily, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
+    changes = lake.spark.read.parquet(f"{out}/rows")
+    return J.latest_state(changes, ["search_request_id", "platform", "date"])
+
+
+@query("stream_token_usage", f"SELECT hour, hour_tokens FROM ({USAGE})")
+def _(lake):
+    out = lake.fresh("stream_tokens")
+    usage = J.token_stream(_stream(lake, "token_events", 4), WHOLE_RANGE)
+    _run(usage, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
+    return J.latest_state(lake.spark.read.parquet(f"{out}/rows"), ["hour"])
+
+
+@query("foreach_batch_gold", """
+    SELECT id, search_request_id, md5(post_text) AS text_md5, sentiment, like_count FROM gold""")
+def _(lake):
+    out = lake.fresh("stream_gold")
+    sink = J.gold_sink(
+        lake.spark, f"{out}/gold", lambda: lake.silver_posts,
+        lambda: lake.silver_ai_enrichment, lake.search_requests,
+    )
+    _run(_stream(lake, "silver_posts").select("search_request_id"), f"{out}/checkpoint", sink)
+    gold = lake.spark.read.schema(lake.gold_post_search.schema).parquet(f"{out}/gold")
+    return gold.select(
+        "id", "search_request_id", F.md5("post_text").alias("text_md5"), "sentiment", "like_count"
+    )
+
+
+def _lifecycle(lake):
+    """Stream over bronze with some unreadable payloads."""
+    out = lake.fresh("stream_jobs")
+    broken = lake.bronze_posts.withColumn(
+        "raw_payload", F.when(F.col("id") % 97 == 0, F.lit("{")).otherwise(F.col("raw_payload"))
+    )
+    table = write_table(broken, f"{out}/bronze")
+    sink = J.lifecycle_sink(f"{out}/silver", f"{out}/jobs", f"{out}/rejected")
+    _run(J.read_stream(lake.spark, table, f"{out}/bronze", 4), f"{out}/checkpoint", sink)
+    return out
+
+
+@query("job_lifecycle", """
+    SELECT 'job-' || id AS id, id AS silver_post_id,
+        CASE WHEN id % 97 = 0 THEN 'failed' ELSE 'completed' END AS status, 1 AS attempts,
+        CASE WHEN id % 97 = 0 THEN 'payload is not valid JSON' END AS error_message
+    FROM bronze_posts""")
+def _(lake):
+    return lake.spark.read.parquet(f"{_lifecycle(lake)}/jobs").drop("batch_id")
+
+
+@query("job_rejected", """
+    SELECT id, platform_id, 'payload is not valid JSON' AS payload_error FROM bronze_posts
+    WHERE id % 97 = 0""")
+def _(lake):
+    return lake.spark.read.parquet(f"{_lifecycle(lake)}/rejected").select(
+        "id", "platform_id", "payload_error"
+    )
+
+
+ADMITTED = f"""
+    WITH RECURSIVE s AS (SELECT event_id AS id, user_id AS k, ts, row_number() OVER (
+            PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    r AS (SELECT id, k, [ts] AS recent, rn, true AS admitted FROM s WHERE rn = 1
+        UNION ALL SELECT id, k, CASE WHEN len(kept) < {ADMIT_LIMIT} THEN list_append(kept, ts)
+                ELSE kept END, rn, len(kept) < {ADMIT_LIMIT}
+        FROM (SELECT s.*, list_filter(r.recent,
+                lambda t: t > s.ts - INTERVAL {ADMIT_HOURS} HOUR) AS kept
+            FROM r JOIN s ON s.k = r.k AND s.rn = r.rn + 1))
+    SELECT id, admitted FROM r"""
+
+
+def _calls(lake):
+    return lake.source("events").select(F.col("event_id").alias("id"), "user_id", "ts")
+
+
+@query("admit_sliding", ADMITTED)
+def _(lake):
+    return B.admit_sliding(
+        _calls(lake), "user_id", "ts", "id", ADMIT_LIMIT, ADMIT_HOURS * 3600
+    ).select("id", "admitted")
+
+
+@query("admit_stream", ADMITTED)
+def _(lake):
+    out = lake.fresh("stream_admit")
+    table = write_table(_calls(lake), f"{out}/calls")
+    calls = J.read_stream(lake.spark, table, f"{out}/calls")
+    decided = J.admit_stream(calls, "user_id", ADMIT_LIMIT, ADMIT_HOURS * 3600, WHOLE_RANGE)
+    _run(decided, f"{out}/checkpoint", f"{out}/rows")
+    return lake.spark.read.schema("id bigint, client bigint, admitted boolean").parquet(
+        f"{out}/rows"
+    ).select("id", "admitted")
+
 

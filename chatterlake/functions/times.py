@@ -25,6 +25,16 @@ def to_utc(stamp: Column) -> Column:
     return F.to_utc_timestamp(stamp, F.current_timezone()).cast("timestamp_ntz")
 
 
+def epoch_micros(stamp: Column) -> Column:
+    """Microseconds since the epoch of a zone-less UTC time."""
+    return F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), stamp)
+
+
+def instant(stamp: Column) -> Column:
+    """Zone-less UTC time as an instant, as watermarks need it."""
+    return F.timestamp_micros(epoch_micros(stamp))
+
+
 def epoch_to_ntz(seconds: Column) -> Column:
     """Epoch seconds to UTC; zero, negative and non-numeric give NULL."""
     s = seconds.try_cast("decimal(18,6)")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake import storage
+from chatterlake.functions.times import epoch_micros
 
 # Token budgets per hour and day, admission limit and repeat window.
 HOURLY_BUDGET = 100_000
@@ -82,9 +83,8 @@ def admit_sliding(
     cell before it. A run is read in time order in Arrow batches with at most ``max_requests``
     times in memory, so it is never held as a group.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
     width = window_seconds * 1_000_000
-    keyed = calls.withColumn("_us", micros).withColumn(
+    keyed = calls.withColumn("_us", epoch_micros(F.col(time))).withColumn(
         "_cell", F.floor(F.col("_us") / F.lit(width))
     )
     per_client = Window.partitionBy(client).orderBy("_cell")

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chatterlake.functions.times import epoch_micros, instant, to_utc
 from chatterlake.operators import gold as G
 from chatterlake.operators.silver import silver_extract
 
@@ -70,8 +71,6 @@ def latest_state(changes: DataFrame, keys: list[str]) -> DataFrame:
 
     Nothing but the newest row per key and task is shuffled.
     """
-    from pyspark.sql import Window
-
     newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
     return (
         changes.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1")
@@ -79,6 +78,13 @@ def latest_state(changes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def watermarked(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """Add ``event_time``, the instant of a zone-less UTC column, with a watermark on it."""
+    return stream.withColumn("event_time", instant(F.col(time))).withWatermark(
+        "event_time", delay
+    )
+
+
 def silver_stream(bronze: DataFrame) -> DataFrame:
     """Bronze stream to silver rows: stateless, so append works without a watermark."""
     return silver_extract(bronze)
@@ -90,21 +96,23 @@ def pending_requests_stream(requests: DataFrame) -> DataFrame:
 
 def dedup_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
     """One post per (platform, platform_id); state is dropped after the delay."""
-    return posts.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(
+    return watermarked(posts, "fetched_at", delay).dropDuplicatesWithinWatermark(
         ["platform", "platform_id"]
-    )
+    ).drop("event_time")
 
 
 def repeat_requests_stream(starts: DataFrame, delay: str = REPEAT_DELAY) -> DataFrame:
     """Drop a start request repeated within the delay. Columns dedup_key, ts."""
-    return starts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedup_key"])
+    return watermarked(starts, "ts", delay).dropDuplicatesWithinWatermark(
+        ["dedup_key"]
+    ).drop("event_time")
 
 
 def daily_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
     """Daily counts and sums as posts arrive; state of a day is dropped after the delay."""
-    day = F.window("posted_at", "1 day")
+    day = F.window("event_time", "1 day")
     return (
-        posts.withWatermark("posted_at", delay)
+        watermarked(posts, "posted_at", delay)
         .groupBy(day.alias("w"), "search_request_id", "platform")
         .agg(
             F.count(F.lit(1)).alias("total_posts"), F.sum("like_count").alias("total_likes"),
@@ -113,7 +121,7 @@ def daily_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
             F.sum("view_count").alias("total_views"),
         )
         .select(
-            "search_request_id", "platform", F.to_date("w.start").alias("date"), "total_posts",
+            "search_request_id", "platform", F.to_date(to_utc(F.col("w.start"))).alias("date"), "total_posts",
             "total_likes", "total_shares", "total_replies", "total_views",
         )
     )
@@ -122,9 +130,9 @@ def daily_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
 def token_stream(events: DataFrame, delay: str = TOKEN_DELAY) -> DataFrame:
     """Tokens per hour; hours older than the delay leave the state."""
     return (
-        events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"))
+        watermarked(events, "ts", delay).groupBy(F.window("event_time", "1 hour").alias("w"))
         .agg(F.sum("tokens").alias("hour_tokens"))
-        .select(F.col("w.start").alias("hour"), "hour_tokens")
+        .select(to_utc(F.col("w.start")).alias("hour"), "hour_tokens")
     )
 
 
@@ -185,9 +193,8 @@ def admit_stream(
     they expire with the watermark.
     """
     width = window_seconds * 1_000_000
-    source = calls.withWatermark("ts", delay).select(
-        F.col(client).alias("client"), "ts", "id",
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+    source = watermarked(calls, "ts", delay).select(
+        F.col(client).alias("client"), "event_time", "id", epoch_micros(F.col("ts")).alias("us")
     )
 
     def decide(
