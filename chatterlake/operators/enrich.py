@@ -43,8 +43,8 @@ def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
 def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """How often each one- or two-word term occurs in a post: (key, term, tf, n_terms).
 
-    Stop words go before pairs are formed. All terms of a post come from one row, so counting
-    combines within the task before anything is shuffled.
+    Stop words go before pairs are formed. A post's terms are sorted and counted inside its own
+    row, from the ends of runs of equal terms, so this needs no shuffle.
     """
     kept = F.filter(
         M.words(F.col(text)), lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS)
@@ -55,21 +55,30 @@ def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
     terms = F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
-    exploded = tokens.select(key, terms.alias("terms")).select(
-        key, F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
+    ordered = tokens.select(key, F.sort_array(terms).alias("terms"))
+    ends = F.filter(
+        F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
+        lambda e: ~F.get(F.col("terms"), e["at"] + 1).eqNullSafe(e["term"]),
     )
-    return exploded.groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.max("n_terms").alias("n_terms")
+    runs = ordered.select(key, F.size("terms").alias("n_terms"), ends.alias("ends"))
+    counted = F.transform(
+        "ends",
+        lambda e, i: F.struct(
+            e["term"].alias("term"),
+            (e["at"] - F.coalesce(F.get(F.col("ends"), i - 1)["at"], F.lit(-1))).alias("tf"),
+        ),
     )
+    return runs.select(key, "n_terms", F.inline(counted))
 
 
 def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Best term of every post by TF-IDF: (key, topic_label, topic_confidence).
 
     Posts without a usable term get ('unknown', 0.0). Scores are compared as whole millionths
-    and ties go to the smaller term, so the choice does not depend on the partitioning. A term
-    found in a third of all posts is a hot join key on the term side only; the document
-    frequency side holds one row per term, so such a partition can be split.
+    and ties go to the smaller term, so the choice does not depend on the partitioning. Document
+    frequencies combine map-side to one row per term and are the hashed side of the join, which
+    leaves the many (post, term) rows unsorted. A term found in a third of all posts makes a hot
+    key on the post side only, and such a partition can be split.
     """
     tf = topic_terms(posts, key, text)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -78,7 +87,7 @@ def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     micro = F.floor(F.col("tf") * idf * F.lit(1e6) + F.lit(0.5))
     best = Window.partitionBy(key).orderBy(F.desc("micro"), "term")
     top = (
-        tf.join(df, "term").withColumn("micro", micro)
+        tf.join(df.hint("shuffle_hash"), "term").withColumn("micro", micro)
         .withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
         .select(
             key, F.col("term").alias("topic_label"),
