@@ -66,7 +66,7 @@ def _topics(table: str, key: str, text: str) -> str:
     SELECT doc_id, sentiment, sentiment_confidence
     FROM ({_scores('documents', 'doc_id', 'text')})""")
 def _(lake):
-    return K.score_sentiment(lake.source("documents")).select(
+    return K.score_sentiment(lake.spread("documents")).select(
         "doc_id", "sentiment", "sentiment_confidence"
     )
 
@@ -75,14 +75,14 @@ def _(lake):
     SELECT s.doc_id, d.lang, s.language, s.language_confidence
     FROM ({_scores('documents', 'doc_id', 'text')}) s JOIN documents d USING (doc_id)""")
 def _(lake):
-    return K.detect_language(lake.source("documents")).select(
+    return K.detect_language(lake.spread("documents")).select(
         "doc_id", "lang", "language", "language_confidence"
     )
 
 
 @query("extract_topic", _topics("documents", "doc_id", "text"))
 def _(lake):
-    return K.extract_topic(lake.source("documents"), "doc_id")
+    return K.extract_topic(lake.spread("documents"), "doc_id")
 
 
 # Raw model labels in several spellings, one per labelled document.

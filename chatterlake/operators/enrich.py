@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake import storage
 from chatterlake.functions import models as M
 from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
@@ -18,6 +19,7 @@ from chatterlake.schemas import SILVER_POSTS
 # Names under which the native baselines report.
 TOPIC_MODEL = "local/tfidf-topic"
 SENTIMENT_MODEL = "local/lexicon-sentiment"
+TERM_BUCKETS = 1 << 16
 
 
 def score_sentiment(posts: DataFrame, text: str = "text") -> DataFrame:
@@ -40,22 +42,24 @@ def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_words", "_l")
 
 
+def _terms(text: Column) -> tuple[Column, Column]:
+    """Words of a text that may form a topic, and the pairs of neighbouring ones."""
+    kept = F.filter(M.words(text), lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS))
+    pairs = F.zip_with(
+        F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
+        lambda a, b: F.concat(a, F.lit(" "), b),
+    )
+    return kept, F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
+
+
 def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """How often each one- or two-word term occurs in a post: (key, term, tf, n_terms).
+    """The one- and two-word terms of every post: (key, n_terms, counted array<(term, tf)>).
 
     Stop words go before pairs are formed. A post's terms are sorted and counted inside its own
     row, from the ends of runs of equal terms, so this needs no shuffle.
     """
-    kept = F.filter(
-        M.words(F.col(text)), lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS)
-    )
-    tokens = posts.select(key, kept.alias("w"))
-    pairs = F.zip_with(
-        F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    terms = F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
-    ordered = tokens.select(key, F.sort_array(terms).alias("terms"))
+    kept, terms = _terms(F.col(text))
+    ordered = posts.select(key, kept.alias("w")).select(key, F.sort_array(terms).alias("terms"))
     ends = F.filter(
         F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
         lambda e: ~F.get(F.col("terms"), e["at"] + 1).eqNullSafe(e["term"]),
@@ -68,26 +72,69 @@ def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
             (e["at"] - F.coalesce(F.get(F.col("ends"), i - 1)["at"], F.lit(-1))).alias("tf"),
         ),
     )
-    return runs.select(key, "n_terms", F.inline(counted))
+    return runs.select(key, "n_terms", counted.alias("counted"))
+
+
+def document_frequency(posts: DataFrame, text: str = "text") -> DataFrame:
+    """Number of posts each term occurs in, combined map-side: (term, df)."""
+    kept, terms = _terms(F.col(text))
+    listed = posts.select(kept.alias("w")).select(
+        F.explode_outer(F.array_distinct(terms)).alias("term")
+    ).filter("term IS NOT NULL")
+    return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _micro(score: Column) -> Column:
+    return F.floor(score * F.lit(1e6) + F.lit(0.5))
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _idf(df: Column, total: Column) -> Column:
+    return F.log((total + 1) / df) / F.log(total + 1)
 
 
 def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Best term of every post by TF-IDF: (key, topic_label, topic_confidence).
 
     Posts without a usable term get ('unknown', 0.0). Scores are compared as whole millionths
-    and ties go to the smaller term, so the choice does not depend on the partitioning. Document
-    frequencies combine map-side to one row per term and are the hashed side of the join, which
-    leaves the many (post, term) rows unsorted. A term found in a third of all posts makes a hot
-    key on the post side only, and such a partition can be split.
+    and ties go to the smaller term, so the choice does not depend on the partitioning.
+
+    Most terms of a post cannot win, and dropping those inside the row keeps them out of every
+    shuffle. No term scores above its own count, and none below its count times the idf of its
+    hash bucket, whose frequency is the sum over all its terms; so a term whose count is below
+    the best of those lower bounds is out. The bounds are a fixed number of doubles. The exact
+    frequencies are one row per term and the hashed side of the join; a term that occurs in a
+    third of all posts is a hot key on the post side only, and such a partition can be split.
+
+    The outer generator is on purpose: for an inner one Spark infers a size filter and repeats
+    the whole array computation in it.
     """
-    tf = topic_terms(posts, key, text)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    spark = posts.sparkSession
     total = posts.select(F.count(F.lit(1))).scalar().cast("double")
-    idf = F.log((total + 1) / F.col("df")) / F.log(total + 1)
-    micro = F.floor(F.col("tf") * idf * F.lit(1e6) + F.lit(0.5))
+    df = storage.write_table(
+        document_frequency(posts, text), storage.fresh_path(spark, "term_counts")
+    )
+    floors = ["0"] * TERM_BUCKETS
+    summed = df.groupBy(_bucket(F.col("term")).alias("b")).agg(F.sum("df").alias("df"))
+    for b, low in summed.select("b", F.greatest(_idf(F.col("df"), total), F.lit(0.0))).collect():
+        floors[b] = repr(low)
+    bounds = F.split(F.lit(",".join(floors)), ",").cast("array<double>")
+    low = F.transform(
+        "counted", lambda e: _micro(e["tf"] * F.get(bounds, _bucket(e["term"])))
+    )
+    candidates = (
+        topic_terms(posts, key, text).withColumn("low", F.array_max(low))
+        .select(key, "n_terms", F.inline_outer(
+            F.filter("counted", lambda e: _micro(e["tf"]) >= F.col("low"))))
+        .filter("term IS NOT NULL")
+    )
     best = Window.partitionBy(key).orderBy(F.desc("micro"), "term")
     top = (
-        tf.join(df.hint("shuffle_hash"), "term").withColumn("micro", micro)
+        candidates.join(df.hint("shuffle_hash"), "term")
+        .withColumn("micro", _micro(F.col("tf") * _idf(F.col("df"), total)))
         .withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
         .select(
             key, F.col("term").alias("topic_label"),

@@ -46,6 +46,12 @@ class Lake:
         """An unused folder for a write made by one query run."""
         return storage.fresh_path(self.spark, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A source for CPU-heavy row work: dealt out when it has fewer splits than cores."""
+        df = self.source(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def base(self) -> DataFrame:
         return seed.post_base(self.source("events"), self.source("documents"))
 
