@@ -166,6 +166,24 @@ def _(lake):
     return V.engagement_comparison(_analytics(lake), IDS)
 
 
+@query("cross_campaign", f"""
+    SELECT keyword AS campaign, positive_pct AS positive, negative_pct AS negative,
+        neutral_pct AS neutral, total_likes AS likes, total_shares AS shares,
+        total_replies AS replies, total_views AS views, v.days, v.posts
+    FROM ({ANALYTICS}) a JOIN (SELECT search_request_id, count(DISTINCT date) AS days,
+        count(*) AS posts FROM dated GROUP BY 1) v USING (search_request_id)
+    WHERE search_request_id IN {_ID_LIST}""")
+def _(lake):
+    analytics = _analytics(lake)
+    volume = V.volume_comparison(analytics, lake.gold_post_search, IDS).groupBy("campaign").agg(
+        F.count("date").alias("days"), F.sum("count").alias("posts")
+    )
+    return (
+        V.sentiment_comparison(analytics, IDS)
+        .join(V.engagement_comparison(analytics, IDS), "campaign").join(volume, "campaign")
+    )
+
+
 @query("comparison_table", f"""
     SELECT keyword AS campaign, platform, total_posts, positive_pct, negative_pct, neutral_pct,
         floor(avg_confidence * 1000.0E0 + 0.5E0) / 1000.0E0 AS avg_confidence,
