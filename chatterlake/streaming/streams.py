@@ -165,7 +165,7 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
     the rejected folder with its error.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = silver_extract(batch, keep_extras=True)
+        rows = silver_extract(batch, keep_extras=True).persist()
         error = F.col("payload_error")
         good = rows.filter(error.isNull()).drop(
             "payload_hashtags", "payload_mentions", "payload_error"
@@ -179,6 +179,7 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
         bad = batch.join(rows.filter(error.isNotNull()).select("id", "payload_error"), "id")
         for df, path in [(good, silver_path), (jobs, jobs_path), (bad, rejected_path)]:
             batch_folder(path)(df, batch_id)
+        rows.unpersist()
 
     return write
 
