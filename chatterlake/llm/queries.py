@@ -6,16 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatterlake.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from chatterlake.llm import exact_dedup, packing, wavelet
 from chatterlake.llm.common import table
+from chatterlake.storage import fresh_path
+
+
+def op2_wavelet_shards(spark: SparkSession, source_dir: str) -> DataFrame:
+    path = fresh_path(spark, "wavelet-shards")
+    wavelet.write_shards(table(spark, source_dir, "documents"), path)
+    return wavelet.read_shards(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_exact_dedup(spark: SparkSession, source_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, source_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, source_dir: str) -> DataFrame:
+    return packing.pack(table(spark, source_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_wavelet_shards": op2_wavelet_shards,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_packing": op5_packing,
 }
 
 ORACLES: dict[str, str] = {
