@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import exact_dedup, packing, wavelet
+from chatterlake.llm import exact_dedup, packing, simhash, wavelet
 from chatterlake.llm.common import table
 from chatterlake.storage import fresh_path
 
@@ -30,10 +30,16 @@ def op5_packing(spark: SparkSession, source_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+def op8_simhash(spark: SparkSession, source_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, source_dir, "documents")).select(
+        "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {
