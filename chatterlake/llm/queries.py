@@ -8,11 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import exact_dedup, packing, simhash, wavelet
-from chatterlake.llm.common import table
+from chatterlake.llm import exact_dedup, packing, quality, simhash, wavelet
+from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
 
+def quality_weights(docs: DataFrame, labels: DataFrame):
+    """The classifier learnt from labelled documents outside the held-out fifth."""
+    return quality.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0).select(
+        "doc_id", F.col("quality").alias("label")))
+
+
+def op1_quality(spark: SparkSession, source_dir: str) -> DataFrame:
+    docs = table(spark, source_dir, "documents")
+    weights = quality_weights(docs, table(spark, source_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), weights).select(
+        "doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_wavelet_shards(spark: SparkSession, source_dir: str) -> DataFrame:
     path = fresh_path(spark, "wavelet-shards")
     wavelet.write_shards(table(spark, source_dir, "documents"), path)
@@ -36,6 +50,7 @@ def op8_simhash(spark: SparkSession, source_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
