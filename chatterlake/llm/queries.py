@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import exact_dedup, packing, quality, simhash, wavelet
+from chatterlake.llm import decontaminate, exact_dedup, packing, quality, simhash, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -44,6 +44,10 @@ def op5_packing(spark: SparkSession, source_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+def op7_decontaminate(spark: SparkSession, source_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, source_dir, "documents"), table(spark, source_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, source_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, source_dir, "documents")).select(
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -54,9 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
+    "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
 }
