@@ -40,7 +40,7 @@ def _shape(word: str) -> int:
 
 
 class Features:
-    """Bucket numbers of the n-grams of a text; words seen by a task are hashed once."""
+    """Bucket numbers of the n-grams of a text; words are hashed once."""
 
     def __init__(self, max_words: int = 400_000):
         self._known: dict[str, int] = {}
@@ -73,6 +73,10 @@ class Features:
         return (every >> np.uint64(64 - 18)).astype(np.int64)
 
 
+#: The words that a Python worker has seen, for all of its tasks.
+_worker = Features()
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -118,8 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int
 
     def learn(shard):
         shard = shard.sort_values(["order_", "text_"], kind="stable")
-        features = Features()
-        rows = [(*_vector(features.buckets(t)), int(y)) for t, y in zip(shard["text_"], shard["label_"])]
+        rows = [(*_vector(_worker.buckets(t)), int(y)) for t, y in zip(shard["text_"], shard["label_"])]
         w = follow_the_leader(rows, BUCKETS + 1, epochs)
         kept = np.flatnonzero(w)
         return pd.DataFrame({"bucket": np.append(kept, -1), "w": np.append(w[kept], 1.0) * len(rows)})
@@ -146,11 +149,10 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = Features()
         for texts in batches:
             out = np.empty(len(texts))
             for i, t in enumerate(texts):
-                b = features.buckets(t)
+                b = _worker.buckets(t)
                 out[i] = bias + (_SCALE * float(compact[b].sum(dtype=np.float64)) / len(b) if len(b) else 0.0)
             yield pd.Series(sigmoid(out))
 

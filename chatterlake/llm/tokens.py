@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with the encodings of repeated words kept per task."""
+"""Token ids of whole texts, with the encodings of repeated words kept per worker."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ class WordCache:
     is encoded once. Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_chars: int = 8_000_000):
+    def __init__(self, path: str, max_chars: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -63,9 +63,19 @@ class WordCache:
         return out
 
 
-def encode_batches(rows: Iterable, path: str, block_chars: int = 4_000_000) -> Iterator[tuple]:
+_caches: dict[str, WordCache] = {}
+
+
+def _cache(path: str) -> WordCache:
+    """One cache for all tasks that a Python worker runs."""
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
+
+
+def encode_batches(rows: Iterable, path: str, block_chars: int = 2_000_000) -> Iterator[tuple]:
     """(doc_id, ids with the end id) of Arrow batches with columns doc_id, text, in their order."""
-    cache = WordCache(path)
+    cache = _cache(path)
     end = array("I", [END_ID]).tobytes()
     for batch in rows:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -1,9 +1,9 @@
 """Token shards as wavelet matrices.
 
 Documents are range-partitioned by doc_id, encoded in that order and gathered into shards of
-about ``shard_tokens`` tokens. A shard is one compressed binary file: bit-planes from the highest bit
-to the lowest, each a stable partition of the one before, with a directory of ranks, plus the ids and
-lengths of its documents. Access, counting (rank) and occurrence lookup (select) work on the planes
+about ``shard_tokens`` tokens. A shard is one compressed binary file: the alphabet of its tokens,
+bit-planes of their ranks in it from the highest bit to the lowest, each a stable partition of the one
+before, with a directory of counts, plus the ids and lengths of its documents. Access, counting (rank) and occurrence lookup (select) work on the planes
 without rebuilding the ids. The files travel as the ``payload`` of a Parquet table, so Spark's commit
 protocol, and not a task, decides which of them exist after an executor is lost.
 """
@@ -21,7 +21,7 @@ from chatterlake.llm.tokens import encode_batches, tokenizer_path
 
 SHARD_TOKENS = 1 << 19
 MAGIC = b"WMX1"
-_HEAD = struct.Struct("<4sBQQ")  # magic, planes, tokens, documents
+_HEAD = struct.Struct("<4sBQQI")  # magic, planes, tokens, documents, symbols
 _PART = struct.Struct("<QII")  # zeros of a plane, bytes of its bits, bytes of its directory
 _SHARDS = ("part bigint, shard bigint, first_doc_id bigint, n_docs bigint, n_tokens bigint, "
            "start_in_part bigint, payload binary")
@@ -63,10 +63,10 @@ class _Plane:
 
 
 class WaveletMatrix:
-    """A sequence of symbols below 2 ** planes."""
+    """A sequence over a sorted alphabet; the planes hold ranks in it."""
 
-    def __init__(self, planes: list[_Plane], n: int):
-        self.planes, self.n = planes, n
+    def __init__(self, planes: list[_Plane], n: int, alphabet: np.ndarray):
+        self.planes, self.n, self.alphabet = planes, n, alphabet
 
     def __len__(self) -> int:
         return self.n
@@ -74,17 +74,20 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
-        width = max(1, int(ids.max()).bit_length() if n else 1)
-        sequence = ids.astype(np.uint16 if width <= 16 else np.uint32)
+        used = np.bincount(ids) > 0
+        alphabet = np.flatnonzero(used).astype(np.uint32)
+        width = max(1, (len(alphabet) - 1).bit_length())
+        kind = np.uint16 if width <= 16 else np.uint32
+        sequence = (np.cumsum(used) - 1).astype(kind)[ids]
         planes = []
         for level in range(width - 1, -1, -1):
-            bits = (sequence & sequence.dtype.type(1 << level)) != 0
-            ones = sequence[bits]
+            bits = (sequence & kind(1 << level)) != 0
             packed = np.packbits(bits, bitorder="little").tobytes()
             words = np.frombuffer(packed + bytes(-len(packed) % 8 or 8 * (not packed)), np.uint64)
-            planes.append(_Plane(words, n, n - len(ones)))
-            sequence = np.concatenate([sequence[~bits], ones])
-        return cls(planes, n)
+            zeros, ones = np.flatnonzero(~bits), np.flatnonzero(bits)
+            planes.append(_Plane(words, n, len(zeros)))
+            sequence = np.concatenate([sequence.take(zeros), sequence.take(ones)])
+        return cls(planes, n, alphabet)
 
     def symbols(self) -> np.ndarray:
         """The whole sequence: from the lowest plane up, each partition is undone."""
@@ -92,10 +95,10 @@ class WaveletMatrix:
         for level, plane in enumerate(reversed(self.planes)):
             bits = plane.unpacked()
             above = np.empty_like(out)
-            above[~bits] = out[:plane.zeros]
-            above[bits] = out[plane.zeros:] | out.dtype.type(1 << level)
+            above[np.flatnonzero(~bits)] = out[:plane.zeros]
+            above[np.flatnonzero(bits)] = out[plane.zeros:] | out.dtype.type(1 << level)
             out = above
-        return out
+        return self.alphabet[out] if self.n else out
 
     def access(self, positions) -> np.ndarray:
         """Symbols at the given positions."""
@@ -106,10 +109,16 @@ class WaveletMatrix:
             ones = plane.ones(i)
             i = np.where(bit, plane.zeros + ones, i - ones)
             out = (out << 1) | bit
-        return out
+        return self.alphabet[out].astype(np.int64) if len(i) else out
+
+    def _rank(self, symbol: int) -> int:
+        """Rank of a symbol in the alphabet, -1 if it does not occur."""
+        r = int(np.searchsorted(self.alphabet, symbol))
+        return r if symbol >= 0 and r < len(self.alphabet) and self.alphabet[r] == symbol else -1
 
     def _range(self, symbol: int, lo: int, hi: int) -> tuple[int, int]:
-        if symbol < 0 or symbol >> len(self.planes):
+        symbol = self._rank(symbol)
+        if symbol < 0:
             return 0, 0
         edge = np.array([lo, hi], np.int64)
         for k, plane in enumerate(self.planes):
@@ -125,7 +134,7 @@ class WaveletMatrix:
     def occurrences(self, symbol: int) -> np.ndarray:
         """All positions of a symbol, ascending."""
         a, b = self._range(symbol, 0, self.n)
-        i = np.arange(a, b, dtype=np.int64)
+        i, symbol = np.arange(a, b, dtype=np.int64), self._rank(symbol)
         for k, plane in enumerate(reversed(self.planes)):
             one = bool(symbol >> k & 1)
             i = plane.select(i - plane.zeros if one else i, one) if len(i) else i
@@ -138,10 +147,10 @@ def pack_shard(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
 
     press = zstandard.ZstdCompressor(level=1).compress
     matrix = WaveletMatrix.build(ids)
-    out = [_HEAD.pack(MAGIC, len(matrix.planes), len(ids), len(doc_ids))]
+    out = [_HEAD.pack(MAGIC, len(matrix.planes), len(ids), len(doc_ids), len(matrix.alphabet))]
     known = np.array([x is not None for x in doc_ids], np.uint8)
     table = press(np.array([x or 0 for x in doc_ids], "<i8").tobytes() + known.tobytes()
-                  + np.array(lengths, "<i8").tobytes())
+                  + np.array(lengths, "<i8").tobytes() + matrix.alphabet.astype("<u4").tobytes())
     out += [struct.pack("<I", len(table)), table]
     for plane in matrix.planes:
         bits, ranks = press(plane.words.tobytes()), press(plane.before[::8].tobytes())
@@ -157,7 +166,7 @@ def open_shard(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    magic, width, n, n_docs = _HEAD.unpack_from(data)
+    magic, width, n, n_docs, n_symbols = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a wavelet shard")
     at = _HEAD.size
@@ -180,7 +189,8 @@ def open_shard(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
     doc_ids = np.frombuffer(table, "<i8", n_docs).tolist()
     known = np.frombuffer(table, np.uint8, n_docs, 8 * n_docs)
     lengths = np.frombuffer(table, "<i8", n_docs, 9 * n_docs)
-    return WaveletMatrix(planes, n), [d if k else None for d, k in zip(doc_ids, known)], lengths
+    alphabet = np.frombuffer(table, "<u4", n_symbols, 17 * n_docs)
+    return WaveletMatrix(planes, n, alphabet), [d if k else None for d, k in zip(doc_ids, known)], lengths
 
 
 def _shards(rows: Iterator, path: str, shard_tokens: int) -> Iterator:
