@@ -73,10 +73,14 @@ class Features:
         return (every >> np.uint64(64 - 18)).astype(np.int64)
 
 
-#: The words that a Python worker has seen, for all of its tasks.
 _worker = Features()
 
 
+def worker_buckets(text: str | None) -> np.ndarray:
+    """Buckets of a text by the words that this Python worker has seen in all of its tasks."""
+    return _worker.buckets(text)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
@@ -122,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", max_rows: int
 
     def learn(shard):
         shard = shard.sort_values(["order_", "text_"], kind="stable")
-        rows = [(*_vector(_worker.buckets(t)), int(y)) for t, y in zip(shard["text_"], shard["label_"])]
+        rows = [(*_vector(worker_buckets(t)), int(y)) for t, y in zip(shard["text_"], shard["label_"])]
         w = follow_the_leader(rows, BUCKETS + 1, epochs)
         kept = np.flatnonzero(w)
         return pd.DataFrame({"bucket": np.append(kept, -1), "w": np.append(w[kept], 1.0) * len(rows)})
@@ -152,7 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
         for texts in batches:
             out = np.empty(len(texts))
             for i, t in enumerate(texts):
-                b = _worker.buckets(t)
+                b = worker_buckets(t)
                 out[i] = bias + (_SCALE * float(compact[b].sum(dtype=np.float64)) / len(b) if len(b) else 0.0)
             yield pd.Series(sigmoid(out))
 
