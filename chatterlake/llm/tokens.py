@@ -26,23 +26,33 @@ class WordCache:
     is encoded once. Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_chars: int = 4_000_000):
+    def __init__(self, path: str, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._max_chars = max_chars
+        self._max_words = max_words
         self._known: dict[str, bytes] = {}
-        self._chars = 0
+        self._older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch(texts, add_special_tokens=False)
+        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
+    def _learn(self, needed: set[str]) -> None:
+        """Make all needed words known; of the others, those used since the last turn are kept."""
+        known, older = self._known, self._older
+        if len(known) > self._max_words:
+            self._older = older = known
+            self._known = known = {}
+        fresh = needed.difference(known)
+        new = fresh.difference(older)
+        known.update((w, older[w]) for w in fresh.difference(new))
+        new = list(new)
+        known.update(zip(new, self._ids([" " + w for w in new])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self._chars > self._max_chars:
-            self._known, self._chars = {}, 0
-        known, out, cut = self._known, [b""] * len(texts), []
+        out, cut = [b""] * len(texts), []
         whole = [i for i, t in enumerate(texts) if _INNER_SPACE.search(t)]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
@@ -50,16 +60,14 @@ class WordCache:
         needed: set[str] = set()
         for i, text in enumerate(texts):
             if i not in skip and text:
-                parts = (" " + text).split(" ")[1:]
-                needed.update(parts[1:])
-                cut.append((i, parts))
-        new = [w for w in needed if w not in known]
-        for word, ids in zip(new, self._ids([" " + w for w in new])):
-            known[word] = ids
-        self._chars += sum(map(len, new))
-        heads = self._ids([parts[0] for _, parts in cut])
-        for (i, parts), head in zip(cut, heads):
-            out[i] = head + b"".join(map(known.__getitem__, parts[1:]))
+                head, *rest = text.split(" ")
+                needed.update(rest)
+                cut.append((i, head, rest))
+        self._learn(needed)
+        heads = self._ids([head for _, head, _ in cut])
+        lookup = self._known.__getitem__
+        for (i, _, rest), head in zip(cut, heads):
+            out[i] = head + b"".join(map(lookup, rest))
         return out
 
 
