@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, exact_dedup, packing, quality, simhash, wavelet
+from chatterlake.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -53,6 +53,10 @@ def op8_simhash(spark: SparkSession, source_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, source_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, source_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_wavelet_shards": op2_wavelet_shards,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
