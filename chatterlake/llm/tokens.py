@@ -7,6 +7,8 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+from chatterlake.llm.common import batches
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 0
@@ -26,7 +28,7 @@ class WordCache:
     is encoded once. Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -35,8 +37,11 @@ class WordCache:
         self._older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in encoded]
+        out: list[bytes] = []
+        for part in batches(len(texts), 2048):  # an encoding takes far more memory than its ids
+            encoded = self._tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)
+            out += [array("I", e.ids).tobytes() for e in encoded]
+        return out
 
     def _learn(self, needed: set[str]) -> None:
         """Make all needed words known; of the others, those used since the last turn are kept."""
