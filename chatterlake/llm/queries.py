@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, exact_dedup, packing, pii, quality, simhash, wavelet
+from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, packing, pii, quality, simhash, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -38,6 +38,13 @@ def op3_exact_dedup(spark: SparkSession, source_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, source_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, source_dir: str) -> DataFrame:
+    docs = table(spark, source_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    model = language.train(docs.where(bucket != 2))
+    return language.predict(docs, model).select("doc_id", (bucket == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, source_dir: str) -> DataFrame:
     return packing.pack(table(spark, source_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -53,6 +60,10 @@ def op8_simhash(spark: SparkSession, source_dir: str) -> DataFrame:
         "doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_derivatives(spark: SparkSession, source_dir: str) -> DataFrame:
+    return derivatives.derive(derivatives.responses(table(spark, source_dir, "pages")))
+
+
 def op10_pii(spark: SparkSession, source_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, source_dir, "documents"))
 
@@ -61,13 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_wavelet_shards": op2_wavelet_shards,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
+    "op9_derivatives": op9_derivatives,
     "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
+    "op9_derivatives": derivatives.ORACLE,
 }
