@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, packing, pii, quality, simhash, wavelet
+from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, packing, pii, quality, simhash, substring_dedup, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -51,6 +51,11 @@ def op5_packing(spark: SparkSession, source_dir: str) -> DataFrame:
         "sequence_id", "offset")
 
 
+def op6_substring_dedup(spark: SparkSession, source_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, source_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_decontaminate(spark: SparkSession, source_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, source_dir, "documents"), table(spark, source_dir, "benchmark"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_derivatives": op9_derivatives,

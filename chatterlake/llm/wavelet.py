@@ -126,6 +126,17 @@ class WaveletMatrix:
             edge = plane.zeros + ones if symbol >> (len(self.planes) - 1 - k) & 1 else edge - ones
         return int(edge[0]), int(edge[1])
 
+    def rank_many(self, symbols: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """For each pair, how often the symbol stands before the position; symbols must occur."""
+        rank = np.searchsorted(self.alphabet, symbols)
+        edge, start = np.asarray(positions, np.int64), np.zeros(len(rank), np.int64)
+        for k, plane in enumerate(self.planes):
+            one = (rank >> (len(self.planes) - 1 - k) & 1).astype(bool)
+            ends, starts = plane.ones(edge), plane.ones(start)
+            edge = np.where(one, plane.zeros + ends, edge - ends)
+            start = np.where(one, plane.zeros + starts, start - starts)
+        return edge - start
+
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
         """Occurrences of a symbol in [lo, hi)."""
         a, b = self._range(symbol, lo, self.n if hi is None else hi)
