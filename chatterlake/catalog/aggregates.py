@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from chatterlake.catalog.ingest import COUNTED, LAYER_COUNTS
 from chatterlake.catalog.registry import avg, pct, query, top_list
+from chatterlake.functions.times import ntz
 from chatterlake.operators import budget as B
 from chatterlake.operators import enrich as K
 from chatterlake.operators import gold as G
 from chatterlake.operators import lifecycle as L
 from chatterlake.operators import serve as V
+from chatterlake.plans.lake import BUILT_AT
 
 _LISTS = """array_to_string(top_hashtags, ',') AS top_hashtags,
     array_to_string(top_topics, ',') AS top_topics"""
@@ -22,14 +24,14 @@ def _joined_lists(df, *names):
 
 @query("campaign_daily", f"SELECT * EXCLUDE (top_hashtags, top_topics), {_LISTS} FROM daily")
 def campaign_daily(lake):
-    return _joined_lists(G.campaign_daily(lake.gold_post_search), "top_hashtags", "top_topics")
+    return _joined_lists(G.campaign_daily(lake.gold_post_search, at=ntz(BUILT_AT)), "top_hashtags", "top_topics")
 
 
 @query("campaign_summary", f"""
     SELECT * EXCLUDE (top_hashtags, top_topics, platforms), {_LISTS},
         array_to_string(platforms, ',') AS platforms FROM summary""")
 def _(lake):
-    rows = G.campaign_summary(lake.gold_post_search, lake.search_requests)
+    rows = G.campaign_summary(lake.gold_post_search, lake.search_requests, at=ntz(BUILT_AT))
     return _joined_lists(rows, "top_hashtags", "top_topics", "platforms")
 
 

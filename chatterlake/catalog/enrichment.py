@@ -8,7 +8,7 @@ from chatterlake.catalog.registry import MEASURES, merged, pct, query, top_list
 from chatterlake.functions import models as M
 from chatterlake.functions.times import ntz
 from chatterlake.operators import enrich as K
-from chatterlake.plans.refresh import full_refresh, refresh_outcome
+from chatterlake.plans.refresh import full_refresh, refresh_outcome, refresh_states
 
 NOW = "2024-02-01 12:00:00"
 WORDS = "regexp_extract_all(lower(coalesce({t}, '')), '([\\p{{L}}\\p{{N}}_]+)', 1)"
@@ -66,7 +66,7 @@ def _topics(table: str, key: str, text: str) -> str:
     SELECT doc_id, sentiment, sentiment_confidence
     FROM ({_scores('documents', 'doc_id', 'text')})""")
 def _(lake):
-    return K.score_sentiment(lake.spread("documents")).select(
+    return K.score_sentiment(lake.source("documents")).select(
         "doc_id", "sentiment", "sentiment_confidence"
     )
 
@@ -75,14 +75,14 @@ def _(lake):
     SELECT s.doc_id, d.lang, s.language, s.language_confidence
     FROM ({_scores('documents', 'doc_id', 'text')}) s JOIN documents d USING (doc_id)""")
 def _(lake):
-    return K.detect_language(lake.spread("documents")).select(
+    return K.detect_language(lake.source("documents")).select(
         "doc_id", "lang", "language", "language_confidence"
     )
 
 
 @query("extract_topic", _topics("documents", "doc_id", "text"))
 def _(lake):
-    return K.extract_topic(lake.spread("documents"), "doc_id")
+    return K.extract_topic(lake.source("documents"), "doc_id", work=lake.folder("work/topics"))
 
 
 # Raw model labels in several spellings, one per labelled document.
@@ -192,22 +192,24 @@ _NATIVE = f"""
         language, topic_label, topic_confidence, reach_estimate, sentiment, sentiment_confidence
     FROM native n""")
 def _(lake):
-    return _enriched(lake).enrichment.select(
+    enriched = K.enrich_posts(
+        _scored(lake), lake.silver_ai_enrichment, ntz(NOW), lake.folder("work/enrich")
+    )
+    return enriched.enrichment.select(
         "silver_post_id", "ai_version", F.array_join("hashtags", ",").alias("hashtags"),
         F.array_join("mentions", ",").alias("mentions"), "language", "topic_label",
         "topic_confidence", "reach_estimate", "sentiment", "sentiment_confidence",
     )
 
 
-def _enriched(lake):
-    """Bronze with some unreadable payloads, enriched on top of the stored versions."""
+def _scored(lake):
+    """Bronze with some unreadable payloads, typed and scored."""
     from chatterlake.storage import write_table
 
     broken = lake.bronze_posts.withColumn(
         "raw_payload", F.when(F.col("id") % 97 == 0, F.lit("{")).otherwise(F.col("raw_payload"))
     )
-    scored = write_table(K.scored_posts(broken), lake.fresh("scored"))
-    return K.enrich_posts(scored, lake.silver_ai_enrichment, ntz(NOW))
+    return write_table(K.scored_posts(broken), lake.folder("work/scored"))
 
 
 @query("enrich_jobs", f"""
@@ -215,17 +217,21 @@ def _enriched(lake):
             AS status,
         CASE WHEN id % 97 = 0 THEN 'payload is not valid JSON' END AS error_message,
         coalesce((SELECT max(ai_version) FROM enrichment e WHERE e.silver_post_id = s.id), 0) + 1
-            AS ai_version
+            AS ai_version,
+        CAST(least(3, 1 + coalesce((SELECT max(attempts) FROM ai_jobs j
+            WHERE j.silver_post_id = s.id AND j.status = 'failed'), 0)) AS INTEGER) AS attempts
     FROM silver_posts s""")
 def _(lake):
-    return _enriched(lake).jobs.select("silver_post_id", "status", "error_message", "ai_version")
+    failed = lake.ai_jobs.filter("status = 'failed'")
+    jobs = K.enrichment_jobs(_scored(lake), lake.silver_ai_enrichment, ntz(NOW), failed)
+    return jobs.select("silver_post_id", "status", "error_message", "ai_version", "attempts")
 
 
 _ITEMS = "SELECT *, unnest(hashtags) AS item FROM native_gold"
 _TOPIC_ITEMS = "SELECT *, topic_label AS item FROM native_gold"
 
 
-@query("full_refresh", f"""
+_SUMMARY = f"""
     WITH readable AS (SELECT * FROM tagged), {_NATIVE},
     native_gold AS (SELECT n.*, r.keyword, 1 AS ai_version FROM native n
         JOIN search_requests r ON r.id = n.search_request_id),
@@ -241,10 +247,22 @@ _TOPIC_ITEMS = "SELECT *, topic_label AS item FROM native_gold"
     LEFT JOIN ({top_list('hashtag', _ITEMS, 'search_request_id')}) h
         ON h.search_request_id = r.id
     LEFT JOIN ({top_list('topic', _TOPIC_ITEMS, 'search_request_id')}) t
-        ON t.search_request_id = r.id""")
+        ON t.search_request_id = r.id"""
+
+
+@query("full_refresh", _SUMMARY)
 def _(lake):
-    summary = full_refresh(lake.raw_posts, lake.search_requests, ntz(NOW)).summary
-    return summary.select(
+    return _summary_of(_refreshed(lake))
+
+
+def _refreshed(lake):
+    return full_refresh(
+        lake.raw_posts, lake.search_requests, ntz(NOW), lake.folder("work/full_refresh")
+    )
+
+
+def _summary_of(refreshed):
+    return refreshed.summary.select(
         "search_request_id", "keyword", "total_posts", "positive_pct", "negative_pct",
         "neutral_pct", "avg_confidence", "total_likes", "total_views",
         F.array_join("top_hashtags", ",").alias("top_hashtags"),
@@ -252,12 +270,25 @@ def _(lake):
     )
 
 
+@query("full_pipeline", """
+    WITH readable AS (SELECT * FROM tagged), {native},
+    native_gold AS (SELECT n.*, r.keyword, 1 AS ai_version FROM native n
+        JOIN search_requests r ON r.id = n.search_request_id)
+    SELECT search_request_id, platform, CAST(posted_at AS DATE) AS date, {measures}
+    FROM native_gold WHERE posted_at IS NOT NULL
+    GROUP BY search_request_id, platform, CAST(posted_at AS DATE)""".format(
+        native=_NATIVE, measures=MEASURES))
+def _(lake):
+    """The daily rows of a whole run from raw posts to gold."""
+    return _refreshed(lake).daily.drop("top_hashtags", "top_topics", "created_at")
+
+
 @query("refresh_outcome", """
     SELECT r.id AS search_request_id, count(b.id) AS posts_crawled, count(b.id) AS posts_enriched,
         count(b.id) > 0 AS gold_built
     FROM search_requests r LEFT JOIN bronze_posts b ON b.search_request_id = r.id GROUP BY r.id""")
 def _(lake):
-    refreshed = full_refresh(lake.raw_posts, lake.search_requests, ntz(NOW))
-    return refresh_outcome(refreshed, lake.search_requests)
+    rows, jobs = refresh_states(lake.raw_posts, ntz(NOW), lake.folder("work/refresh_states"))
+    return refresh_outcome(rows, jobs, lake.search_requests)
 
 

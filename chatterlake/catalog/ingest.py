@@ -10,12 +10,15 @@ from chatterlake.functions import text as X
 from chatterlake.functions import times as T
 from chatterlake.operators import gold as G
 from chatterlake.operators import silver as S
+from chatterlake.operators.serve import union_all
 from chatterlake.plans.export import export_layers, write_gold_partitioned
 from chatterlake.plans.lake import LAYERS
 from chatterlake.plans.views import publish_views
+from chatterlake.schemas import TABLES
 from chatterlake.sources import normalise, seed
 from chatterlake.sources.payload import read_raw_payload, with_payload
 from chatterlake.sources.tables import scan_layer
+from chatterlake.storage import write_table
 
 START, END = "2024-01-05", "2024-01-25"
 
@@ -28,11 +31,34 @@ def _text(c):
 
 
 @query("scan_layer", """
-    SELECT id, search_request_id, crawl_run_id, platform, platform_id, author_handle, fetched_at
-    FROM bronze_posts""")
+    SELECT id, search_request_id, crawl_run_id, platform, platform_id, author_handle, fetched_at,
+        length(raw_payload) AS payload_chars FROM bronze_posts""")
 def _(lake):
     lake.layer("bronze_posts")
-    return scan_layer(lake.spark, lake.folder("bronze_posts"), "bronze_posts").drop("raw_payload")
+    rows = scan_layer(lake.spark, lake.folder("bronze_posts"), "bronze_posts")
+    return rows.withColumn("payload_chars", F.length("raw_payload")).drop("raw_payload")
+
+
+_SQL_TABLES = {"gold_post_search": "gold", "silver_ai_enrichment": "enrichment",
+               "gold_build_tracking": "tracking", "gold_campaign_daily": "daily",
+               "gold_campaign_summary": "summary"}
+_NO_SQL = [f"{kind}_model_{what}" for kind in ("metadata", "sentiment") for what in ("name", "version")]
+
+
+@query("scan_layers", " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{c}' AS column_name, count({c}) AS filled"
+    f" FROM {_SQL_TABLES.get(table, table)}"
+    for table, columns in TABLES.items() for c in columns if c not in _NO_SQL))
+def _(lake):
+    """Filled values of every column of the ten stored layers."""
+    parts = []
+    for table, columns in TABLES.items():
+        lake.layer(table)
+        names = [c for c in columns if c not in _NO_SQL]
+        counts = scan_layer(lake.spark, lake.folder(table), table).agg(*[F.count(c).alias(c) for c in names])
+        parts.append(counts.unpivot([], names, "column_name", "filled")
+                     .withColumn("table_name", F.lit(table)))
+    return union_all(parts)
 
 
 @query("read_raw_payload", """
@@ -194,7 +220,9 @@ def _(lake):
         F.when(F.col("platform") == "youtube", _youtube_item())
         .when(F.col("platform") == "reddit", reddit).otherwise(_tweet_item())
     )
-    items = _range(lake.base().select("platform", item.alias("item")))
+    items = write_table(
+        _range(lake.base().select("platform", item.alias("item"))), lake.folder("work/items"),
+        "platform")
     return normalise.route_by_platform(items).select("platform", "platform_id", "author_handle")
 
 
@@ -204,11 +232,12 @@ def _(lake):
     FROM events e""")
 def _(lake):
     crawled = lake.source("events").select(
-        F.col("event_id").alias("id"), F.col("event_type").alias("keyword"),
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("sr-"), "event_type").alias("request_id"),
         F.to_date("ts").alias("crawl_day"), F.lit("temporary").alias("search_request_id"),
         F.lit("temporary").alias("crawl_run_id"),
     )
-    return normalise.assign_lineage_ids(crawled, lake.search_requests, lake.crawl_runs).select(
+    return normalise.assign_lineage_ids(crawled, lake.crawl_runs).select(
         "id", "search_request_id", "crawl_run_id"
     )
 
@@ -252,10 +281,11 @@ LAYER_COUNTS = """
     UNION ALL SELECT 'ai_jobs', (SELECT count(*) FROM ai_jobs)
     UNION ALL SELECT 'gold_post_search', (SELECT count(*) FROM gold)
     UNION ALL SELECT 'gold_campaign_daily', (SELECT count(*) FROM daily)
-    UNION ALL SELECT 'gold_campaign_summary', (SELECT count(*) FROM summary)"""
+    UNION ALL SELECT 'gold_campaign_summary', (SELECT count(*) FROM summary)
+    UNION ALL SELECT 'gold_build_tracking', (SELECT count(*) FROM tracking)"""
 COUNTED = ["search_requests", "crawl_runs", "bronze_posts", "silver_posts",
            "silver_ai_enrichment", "ai_jobs", "gold_post_search", "gold_campaign_daily",
-           "gold_campaign_summary"]
+           "gold_campaign_summary", "gold_build_tracking"]
 
 
 @query("export_layers", LAYER_COUNTS)

@@ -37,13 +37,16 @@ def _(lake):
     WHERE created_at >= TIMESTAMP '{CUT}'
     UNION ALL SELECT 'enrichment', id FROM enrichment WHERE ai_version = 2
     UNION ALL SELECT 'daily', search_request_id || platform || date FROM daily
-    WHERE date >= DATE '2024-01-10'""")
+    WHERE date >= DATE '2024-01-10'
+    UNION ALL SELECT 'posts', id || ':' || length(post_text) FROM gold
+    WHERE created_at >= TIMESTAMP '{CUT}'""")
 def _(lake):
     silver, enrichment, daily = (
         lake.silver_posts.select("id", "created_at"),
         lake.silver_ai_enrichment.select("id", "silver_post_id", "ai_version"),
         lake.gold_campaign_daily.select(*G.DAILY_KEYS),
     )
+    posts = lake.gold_post_search
     old_silver = silver.filter(F.col("created_at") < ntz(CUT))
     twice = enrichment.unionByName(enrichment)
     key = F.concat(*[F.col(c).cast("string") for c in G.DAILY_KEYS])
@@ -55,6 +58,9 @@ def _(lake):
         .select(F.lit("enrichment").alias("what"), "id"),
         S.append_new(daily, daily.filter("date < DATE'2024-01-10'"), G.DAILY_KEYS, ["date"])
         .select(F.lit("daily").alias("what"), key.alias("id")),
+        S.append_new(posts, posts.filter(F.col("created_at") < ntz(CUT)), ["id"], ["created_at"])
+        .select(F.lit("posts").alias("what"),
+                F.concat_ws(":", "id", F.length("post_text")).alias("id")),
     ])
 
 
@@ -204,11 +210,12 @@ def _(lake):
     )
 
 
-_PURGED = {"ai_jobs": "created_at", "silver_posts": "created_at", "bronze_posts": "fetched_at",
+_PURGED = {"gold_campaign_daily": "created_at", "gold_campaign_summary": "created_at", "ai_jobs": "created_at", "silver_posts": "created_at", "bronze_posts": "fetched_at",
            "crawl_runs": "started_at", "search_requests": "created_at",
            "gold_post_search": "created_at", "silver_ai_enrichment": "created_at",
            "gold_build_tracking": "last_built_at"}
-_SQL_NAMES = {"gold_post_search": "gold", "silver_ai_enrichment": "enrichment",
+_SQL_NAMES = {"gold_campaign_daily": "daily", "gold_campaign_summary": "summary",
+              "gold_post_search": "gold", "silver_ai_enrichment": "enrichment",
               "gold_build_tracking": "tracking"}
 
 
@@ -238,20 +245,26 @@ def _(lake):
 
 
 @query("stamp_lineage", f"""
-    SELECT d.search_request_id, d.platform, d.date, r.run AS source_crawl_run_id,
+    SELECT d.what, d.key, r.run AS source_crawl_run_id,
         j.job AS enrichment_job_id, TIMESTAMP '{NOW}' AS lineage_updated_at
-    FROM daily d
+    FROM (SELECT 'daily' AS what, search_request_id, platform || date AS key FROM daily
+        UNION ALL SELECT 'summary', search_request_id, search_request_id FROM summary
+        UNION ALL SELECT 'posts', search_request_id, CAST(id AS VARCHAR) FROM gold) d
     LEFT JOIN (SELECT search_request_id, max_by(id, (completed_at, id)) AS run FROM crawl_runs
         WHERE status = 'completed' GROUP BY 1) r USING (search_request_id)
     LEFT JOIN (SELECT s.search_request_id, max_by(j.id, (j.completed_at, j.id)) AS job
         FROM ai_jobs j JOIN silver_posts s ON s.id = j.silver_post_id
         WHERE j.status = 'completed' GROUP BY 1) j USING (search_request_id)""")
 def _(lake):
-    runs = G.latest_completed_run(lake.crawl_runs)
-    jobs = G.latest_completed_job(lake.ai_jobs, lake.silver_posts)
-    return G.stamp_lineage(lake.gold_campaign_daily, runs, jobs, ntz(NOW)).select(
-        *G.DAILY_KEYS, "source_crawl_run_id", "enrichment_job_id", "lineage_updated_at"
-    )
+    keys = [
+        ("daily", lake.gold_campaign_daily, F.concat("platform", F.col("date").cast("string"))),
+        ("summary", lake.gold_campaign_summary, F.col("search_request_id")),
+        ("posts", lake.gold_post_search, F.col("id").cast("string")),
+    ]
+    return union_all([
+        df.select(F.lit(what).alias("what"), key.alias("key"), "source_crawl_run_id",
+                  "enrichment_job_id", "lineage_updated_at") for what, df, key in keys
+    ])
 
 
 @query("evolve_schema", """

@@ -207,9 +207,9 @@ def _(lake):
 
 @query("completed_requests", """
     SELECT id, keyword, start_date, end_date FROM search_requests WHERE status = 'completed'
-    ORDER BY created_at, id LIMIT 10000""")
+    ORDER BY created_at, id""")
 def _(lake):
-    return V.oldest_in_state(lake.search_requests, "completed", 10_000).select(
+    return V.oldest_in_state(lake.search_requests, "completed", None).select(
         "id", "keyword", "start_date", "end_date"
     )
 

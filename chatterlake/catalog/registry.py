@@ -220,7 +220,7 @@ CTES: dict[str, str] = {
     "dated": f"SELECT *, {_DAY} AS date FROM gold WHERE posted_at IS NOT NULL",
     "daily": f"""
         SELECT m.*, coalesce(h.top_hashtags, []) AS top_hashtags,
-            coalesce(t.top_topics, []) AS top_topics
+            coalesce(t.top_topics, []) AS top_topics, TIMESTAMP '2024-02-01 12:00:00' AS created_at
         FROM (SELECT {_DAILY_KEYS}, {MEASURES} FROM dated GROUP BY {_DAILY_KEYS}) m
         LEFT JOIN ({top_list('hashtag', _HASHTAGS.format(t='dated'), _DAILY_KEYS)}) h
             USING (search_request_id, platform, date)
@@ -238,7 +238,7 @@ CTES: dict[str, str] = {
             coalesce(total_replies, 0) AS total_replies, coalesce(total_views, 0) AS total_views,
             coalesce(h.top_hashtags, []) AS top_hashtags,
             coalesce(t.top_topics, []) AS top_topics, coalesce(p.platforms, []) AS platforms,
-            coalesce(m.ai_version, 1) AS ai_version
+            coalesce(m.ai_version, 1) AS ai_version, TIMESTAMP '2024-02-01 12:00:00' AS created_at
         FROM search_requests r
         LEFT JOIN (SELECT search_request_id, {MEASURES} FROM gold GROUP BY 1) m
             ON m.search_request_id = r.id

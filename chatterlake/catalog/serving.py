@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chatterlake.catalog.aggregates import STATS, TOP_HASHTAGS
+from chatterlake.catalog.aggregates import STATS, TOP_HASHTAGS, TOP_TOPICS
 from chatterlake.catalog.registry import query
 from chatterlake.operators import serve as V
 
@@ -70,12 +70,9 @@ def _(lake):
 
 
 @query("all_summaries", """
-    SELECT s.search_request_id, s.keyword, s.total_posts, r.created_at FROM summary s
-    JOIN search_requests r ON r.id = s.search_request_id""")
+    SELECT search_request_id, keyword, total_posts, created_at FROM summary""")
 def _(lake):
-    made = lake.search_requests.select(F.col("id").alias("search_request_id"), "created_at")
-    rows = lake.gold_campaign_summary.join(made, "search_request_id")
-    return V.newest(rows, "created_at", tie="search_request_id").select(
+    return V.newest(lake.gold_campaign_summary, "created_at", tie="search_request_id").select(
         "search_request_id", "keyword", "total_posts", "created_at"
     )
 
@@ -138,6 +135,15 @@ def _(lake):
     return V.campaign_items(_summary(lake), lake.gold_post_search, "hashtag")
 
 
+@query("campaign_analytics_topics", f"""
+    SELECT search_request_id, unnest(top_topics) AS topic, 0 AS count,
+        unnest(range(1, len(top_topics) + 1)) AS rank FROM summary WHERE keyword <> 'view'
+    UNION ALL SELECT search_request_id, topic, count, rank FROM ({TOP_TOPICS})
+    WHERE search_request_id = 'sr-view'""")
+def _(lake):
+    return V.campaign_items(_summary(lake), lake.gold_post_search, "topic")
+
+
 @query("cross_campaign_union", f"""
     SELECT * FROM ({ANALYTICS}) WHERE search_request_id IN {_ID_LIST}""")
 def _(lake):
@@ -145,21 +151,21 @@ def _(lake):
 
 
 @query("cross_campaign_sentiment", f"""
-    SELECT keyword AS campaign, positive_pct AS positive, negative_pct AS negative,
+    SELECT search_request_id, keyword AS campaign, positive_pct AS positive, negative_pct AS negative,
         neutral_pct AS neutral FROM ({ANALYTICS}) WHERE search_request_id IN {_ID_LIST}""")
 def _(lake):
     return V.sentiment_comparison(_analytics(lake), IDS)
 
 
 @query("cross_campaign_volume", f"""
-    SELECT keyword AS campaign, date, count(*) AS count FROM dated
+    SELECT search_request_id, keyword AS campaign, date, count(*) AS count FROM dated
     WHERE search_request_id IN {_ID_LIST} GROUP BY ALL""")
 def _(lake):
     return V.volume_comparison(_analytics(lake), lake.gold_post_search, IDS)
 
 
 @query("cross_campaign_engagement", f"""
-    SELECT keyword AS campaign, total_likes AS likes, total_shares AS shares,
+    SELECT search_request_id, keyword AS campaign, total_likes AS likes, total_shares AS shares,
         total_replies AS replies, total_views AS views
     FROM ({ANALYTICS}) WHERE search_request_id IN {_ID_LIST}""")
 def _(lake):
@@ -167,7 +173,7 @@ def _(lake):
 
 
 @query("cross_campaign", f"""
-    SELECT keyword AS campaign, positive_pct AS positive, negative_pct AS negative,
+    SELECT search_request_id, keyword AS campaign, positive_pct AS positive, negative_pct AS negative,
         neutral_pct AS neutral, total_likes AS likes, total_shares AS shares,
         total_replies AS replies, total_views AS views, v.days, v.posts
     FROM ({ANALYTICS}) a JOIN (SELECT search_request_id, count(DISTINCT date) AS days,
@@ -175,17 +181,18 @@ def _(lake):
     WHERE search_request_id IN {_ID_LIST}""")
 def _(lake):
     analytics = _analytics(lake)
-    volume = V.volume_comparison(analytics, lake.gold_post_search, IDS).groupBy("campaign").agg(
+    volume = V.volume_comparison(analytics, lake.gold_post_search, IDS).groupBy("search_request_id").agg(
         F.count("date").alias("days"), F.sum("count").alias("posts")
     )
     return (
         V.sentiment_comparison(analytics, IDS)
-        .join(V.engagement_comparison(analytics, IDS), "campaign").join(volume, "campaign")
+        .join(V.engagement_comparison(analytics, IDS).drop("campaign"), "search_request_id")
+        .join(volume, "search_request_id")
     )
 
 
 @query("comparison_table", f"""
-    SELECT keyword AS campaign, platform, total_posts, positive_pct, negative_pct, neutral_pct,
+    SELECT search_request_id, keyword AS campaign, platform, total_posts, positive_pct, negative_pct, neutral_pct,
         floor(avg_confidence * 1000.0E0 + 0.5E0) / 1000.0E0 AS avg_confidence,
         total_likes AS likes, total_shares AS shares, total_replies AS replies,
         total_views AS views FROM ({ANALYTICS})""")
@@ -194,13 +201,13 @@ def _(lake):
 
 
 @query("melt_metrics", f"""
-    SELECT campaign, metric, CAST(value AS DOUBLE) AS value FROM (
-        SELECT keyword AS campaign, total_likes AS likes, total_shares AS shares,
+    SELECT search_request_id, campaign, metric, CAST(value AS DOUBLE) AS value FROM (
+        SELECT search_request_id, keyword AS campaign, total_likes AS likes, total_shares AS shares,
             total_replies AS replies, total_views AS views FROM ({ANALYTICS}))
     UNPIVOT (value FOR metric IN (likes, shares, replies, views))""")
 def _(lake):
     return V.melt_metrics(
-        V.engagement_comparison(_analytics(lake)), "campaign",
+        V.engagement_comparison(_analytics(lake)), ["search_request_id", "campaign"],
         ["likes", "shares", "replies", "views"],
     )
 

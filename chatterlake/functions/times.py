@@ -20,9 +20,16 @@ def day(value: str | date) -> Column:
     return F.lit(str(value)).cast("date")
 
 
+def _EPOCH() -> Column:
+    return ntz("1970-01-01 00:00:00")
+
+
 def to_utc(stamp: Column) -> Column:
     """Zoned timestamp to UTC wall clock, whatever zone the session uses."""
-    return F.to_utc_timestamp(stamp, F.current_timezone()).cast("timestamp_ntz")
+    micros = F.unix_micros(stamp)
+    days, rest = F.floor(micros / 86_400_000_000), F.pmod(micros, F.lit(86_400_000_000))
+    return _EPOCH() + F.make_dt_interval(
+        days=days.cast("int"), secs=rest.cast("decimal(18,6)") / F.lit(1_000_000))
 
 
 def epoch_micros(stamp: Column) -> Column:

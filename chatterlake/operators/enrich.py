@@ -42,24 +42,27 @@ def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
     }).drop("_words", "_l")
 
 
-def _terms(text: Column) -> tuple[Column, Column]:
-    """Words of a text that may form a topic, and the pairs of neighbouring ones."""
-    kept = F.filter(M.words(text), lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS))
+def topic_words(words: Column) -> Column:
+    """Words of a post that may form a topic, in their order."""
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS))
+
+
+def _terms() -> Column:
+    """The words of column ``w`` and the pairs of neighbouring ones."""
     pairs = F.zip_with(
         F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
         lambda a, b: F.concat(a, F.lit(" "), b),
     )
-    return kept, F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
+    return F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
 
 
-def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
+def topic_terms(words: DataFrame, key: str) -> DataFrame:
     """The one- and two-word terms of every post: (key, n_terms, counted array<(term, tf)>).
 
-    Stop words go before pairs are formed. A post's terms are sorted and counted inside its own
+    Stop words are gone before pairs are formed. A post's terms are sorted and counted inside its own
     row, from the ends of runs of equal terms, so this needs no shuffle.
     """
-    kept, terms = _terms(F.col(text))
-    ordered = posts.select(key, kept.alias("w")).select(key, F.sort_array(terms).alias("terms"))
+    ordered = words.select(key, F.sort_array(_terms()).alias("terms"))
     ends = F.filter(
         F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
         lambda e: ~F.get(F.col("terms"), e["at"] + 1).eqNullSafe(e["term"]),
@@ -75,12 +78,10 @@ def topic_terms(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return runs.select(key, "n_terms", counted.alias("counted"))
 
 
-def document_frequency(posts: DataFrame, text: str = "text") -> DataFrame:
+def document_frequency(words: DataFrame) -> DataFrame:
     """Number of posts each term occurs in, combined map-side: (term, df)."""
-    kept, terms = _terms(F.col(text))
-    listed = posts.select(kept.alias("w")).select(
-        F.explode_outer(F.array_distinct(terms)).alias("term")
-    ).filter("term IS NOT NULL")
+    listed = words.select(F.explode_outer(F.array_distinct(_terms())).alias("term")).filter(
+        "term IS NOT NULL")
     return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -96,9 +97,22 @@ def _idf(df: Column, total: Column) -> Column:
     return F.log((total + 1) / df) / F.log(total + 1)
 
 
-def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
+def extract_topic(posts: DataFrame, key: str, text: str = "text", work: str | None = None) -> DataFrame:
+    """Best term of every post by TF-IDF: see :func:`topic_of_words`.
+
+    The words are split off once and written, since frequencies and scores both read them.
+    """
+    work = work or storage.fresh_path(posts.sparkSession, "topics")
+    words = posts.select(key, topic_words(M.words(F.col(text))).alias("w"))
+    return topic_of_words(storage.write_table(words, f"{work}/words"), key, work)
+
+
+def topic_of_words(words: DataFrame, key: str, work: str) -> DataFrame:
     """Best term of every post by TF-IDF: (key, topic_label, topic_confidence).
 
+    ``words`` holds a post's usable words in column ``w``; term counts are written below ``work``,
+    where a later run overwrites them.
+
     Posts without a usable term get ('unknown', 0.0). Scores are compared as whole millionths
     and ties go to the smaller term, so the choice does not depend on the partitioning.
 
@@ -106,17 +120,14 @@ def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
     shuffle. No term scores above its own count, and none below its count times the idf of its
     hash bucket, whose frequency is the sum over all its terms; so a term whose count is below
     the best of those lower bounds is out. The bounds are a fixed number of doubles. The exact
-    frequencies are one row per term and the hashed side of the join; a term that occurs in a
-    third of all posts is a hot key on the post side only, and such a partition can be split.
+    frequencies are one row per term; a term that occurs in a third of all posts is a hot key on
+    the post side only, and such a partition can be split.
 
     The outer generator is on purpose: for an inner one Spark infers a size filter and repeats
     the whole array computation in it.
     """
-    spark = posts.sparkSession
-    total = posts.select(F.count(F.lit(1))).scalar().cast("double")
-    df = storage.write_table(
-        document_frequency(posts, text), storage.fresh_path(spark, "term_counts")
-    )
+    total = words.select(F.count(F.lit(1))).scalar().cast("double")
+    df = storage.write_table(document_frequency(words), f"{work}/term_counts")
     floors = ["0"] * TERM_BUCKETS
     summed = df.groupBy(_bucket(F.col("term")).alias("b")).agg(F.sum("df").alias("df"))
     for b, low in summed.select("b", F.greatest(_idf(F.col("df"), total), F.lit(0.0))).collect():
@@ -126,14 +137,14 @@ def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
         "counted", lambda e: _micro(e["tf"] * F.get(bounds, _bucket(e["term"])))
     )
     candidates = (
-        topic_terms(posts, key, text).withColumn("low", F.array_max(low))
+        topic_terms(words, key).withColumn("low", F.array_max(low))
         .select(key, "n_terms", F.inline_outer(
             F.filter("counted", lambda e: _micro(e["tf"]) >= F.col("low"))))
         .filter("term IS NOT NULL")
     )
     best = Window.partitionBy(key).orderBy(F.desc("micro"), "term")
     top = (
-        candidates.join(df.hint("shuffle_hash"), "term")
+        candidates.join(df, "term")
         .withColumn("micro", _micro(F.col("tf") * _idf(F.col("df"), total)))
         .withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
         .select(
@@ -142,7 +153,7 @@ def extract_topic(posts: DataFrame, key: str, text: str = "text") -> DataFrame:
             .alias("topic_confidence"),
         )
     )
-    return posts.select(key).join(top, key, "left").select(
+    return words.select(key).join(top, key, "left").select(
         key, F.coalesce("topic_label", F.lit(M.UNKNOWN)).alias("topic_label"),
         F.coalesce("topic_confidence", F.lit(0.0)).alias("topic_confidence"),
     )
@@ -222,7 +233,10 @@ class Enriched(NamedTuple):
 
 
 def scored_posts(bronze: DataFrame) -> DataFrame:
-    """Silver rows with tags, sentiment, language and payload error: one pass, no shuffle."""
+    """Silver rows with tags, sentiment, language, topic words (``w``) and payload error.
+
+    One parse and one tokenisation per post, no shuffle.
+    """
     tagged = with_tags(silver_extract(bronze, keep_extras=True))
     words = tagged.withColumn("_words", M.words(F.col("post_text")))
     scored = words.withColumn("_s", M.sentiment(F.col("_words"))).withColumn(
@@ -231,11 +245,44 @@ def scored_posts(bronze: DataFrame) -> DataFrame:
     return scored.select(
         *tagged.columns, F.col("_s.label").alias("sentiment"),
         F.col("_s.confidence").alias("sentiment_confidence"),
-        F.col("_l.code").alias("language"),
+        F.col("_l.code").alias("language"), topic_words(F.col("_words")).alias("w"),
+    )
+
+
+def _versions(scored: DataFrame, previous: DataFrame) -> DataFrame:
+    return max_ai_version(scored, previous).select("id", F.col("next_version").alias("ai_version"))
+
+
+def enrichment_jobs(
+    scored: DataFrame, previous: DataFrame, at: Column, jobs: DataFrame | None = None
+) -> DataFrame:
+    """One job row per post: failed where the payload is not JSON, else completed.
+
+    ``jobs`` holds earlier jobs: a post that was tried before has one attempt more than its last
+    try, up to the maximum. Nothing but ids and states is read.
+    """
+    state = scored.select("id", "payload_error").join(_versions(scored, previous), "id")
+    tried = F.lit(0)
+    if jobs is not None:
+        last = jobs.groupBy("silver_post_id").agg(F.max("attempts").alias("_tried"))
+        state = state.join(last, F.col("id") == F.col("silver_post_id"), "left")
+        tried = F.coalesce("_tried", F.lit(0))
+    most = F.lit(3)
+    return state.select(
+        F.concat_ws("-", F.lit("job"), "id", "ai_version").alias("id"),
+        F.col("id").alias("silver_post_id"), F.lit("full_enrichment").alias("job_type"),
+        F.when(F.col("payload_error").isNull(), F.lit("completed")).otherwise(F.lit("failed"))
+        .alias("status"),
+        "ai_version", F.least(tried + 1, most).cast("int").alias("attempts"),
+        most.alias("max_attempts"),
+        F.col("payload_error").alias("error_message"), at.alias("started_at"),
+        at.alias("completed_at"), at.alias("created_at"),
     )
 
 
-def enrich_posts(scored: DataFrame, previous: DataFrame, at: Column) -> Enriched:
+def enrich_posts(
+    scored: DataFrame, previous: DataFrame, at: Column, work: str, jobs: DataFrame | None = None
+) -> Enriched:
     """Silver step for a whole table: typed rows, model outputs and one job row per post.
 
     ``scored`` comes from :func:`scored_posts`, best written to a table first because all three
@@ -243,26 +290,14 @@ def enrich_posts(scored: DataFrame, previous: DataFrame, at: Column) -> Enriched
     silver row stays, as does every other post. The version is one above the stored highest.
     Only the topic step shuffles text, as terms; every other join is on narrow rows by id.
     """
-    versions = max_ai_version(scored, previous).select(
-        "id", F.col("next_version").alias("ai_version")
-    )
     good = scored.filter("payload_error IS NULL")
     annotations = (
         good.select("id", "sentiment", "sentiment_confidence", "language")
-        .join(extract_topic(good.select("id", "post_text"), "id", "post_text"), "id")
-        .join(versions, "id").withColumnRenamed("id", "silver_post_id")
-    )
-    state = scored.select("id", "payload_error").join(versions, "id")
-    jobs = state.select(
-        F.concat_ws("-", F.lit("job"), "id", "ai_version").alias("id"),
-        F.col("id").alias("silver_post_id"), F.lit("full_enrichment").alias("job_type"),
-        F.when(F.col("payload_error").isNull(), F.lit("completed")).otherwise(F.lit("failed"))
-        .alias("status"),
-        "ai_version", F.lit(1).alias("attempts"), F.lit(3).alias("max_attempts"),
-        F.col("payload_error").alias("error_message"), at.alias("started_at"),
-        at.alias("completed_at"), at.alias("created_at"),
+        .join(topic_of_words(good.select("id", "w"), "id", work), "id")
+        .join(_versions(scored, previous), "id").withColumnRenamed("id", "silver_post_id")
     )
-    return Enriched(scored.select(*SILVER_POSTS), enrichment_rows(good, annotations), jobs)
+    return Enriched(scored.select(*SILVER_POSTS), enrichment_rows(good, annotations),
+                    enrichment_jobs(scored, previous, at, jobs))
 
 
 def enrich_outcome(jobs: DataFrame) -> DataFrame:

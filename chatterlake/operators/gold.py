@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
+from chatterlake.functions.times import to_utc
 
 DAILY_KEYS = ["search_request_id", "platform", "date"]
 
@@ -223,8 +224,15 @@ def with_day(gold: DataFrame) -> DataFrame:
     return gold.filter("posted_at IS NOT NULL").withColumn("date", F.to_date("posted_at"))
 
 
-def campaign_daily(gold: DataFrame, n: int = 5) -> DataFrame:
-    """One row per campaign, platform and day. The post text never enters a shuffle."""
+def _now() -> Column:
+    return to_utc(F.current_timestamp())
+
+
+def campaign_daily(gold: DataFrame, n: int = 5, at: Column | None = None) -> DataFrame:
+    """One row per campaign, platform and day. The post text never enters a shuffle.
+
+    ``at`` is the build time stored as ``created_at``, the present by default.
+    """
     dated = with_day(gold)
     base = dated.groupBy(*DAILY_KEYS).agg(*measures())
     lists = top_lists(dated, DAILY_KEYS, n)
@@ -232,6 +240,7 @@ def campaign_daily(gold: DataFrame, n: int = 5) -> DataFrame:
         "search_request_id", "keyword", "platform", "date", "total_posts", "positive_count",
         "negative_count", "neutral_count", "avg_confidence", "top_hashtags", "top_topics",
         "total_likes", "total_shares", "total_replies", "total_views", "ai_version",
+        (_now() if at is None else at).alias("created_at"),
     )
 
 
@@ -248,10 +257,12 @@ def platforms_of_campaign(gold: DataFrame) -> DataFrame:
     )
 
 
-def campaign_summary(gold: DataFrame, requests: DataFrame, n: int = 5) -> DataFrame:
+def campaign_summary(
+    gold: DataFrame, requests: DataFrame, n: int = 5, at: Column | None = None
+) -> DataFrame:
     """One row per request, also for campaigns without posts, whose percentages are NULL.
 
-    Dates come from the request.
+    Dates come from the request; ``at`` is the build time, the present by default.
     """
     key = ["search_request_id"]
     zero = F.lit(0).cast("bigint")
@@ -278,6 +289,7 @@ def campaign_summary(gold: DataFrame, requests: DataFrame, n: int = 5) -> DataFr
         "top_hashtags", "top_topics",
         F.coalesce("platforms", _empty()).alias("platforms"),
         F.coalesce("ai_version", F.lit(1)).alias("ai_version"),
+        (_now() if at is None else at).alias("created_at"),
     )
 
 

@@ -27,7 +27,11 @@ TERMINAL = ["completed", "failed"]
 
 
 def upsert_requests(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Insert new requests; a known id only takes status, posts_found and updated_at."""
+    """Insert new requests; a known id only takes status, posts_found and updated_at.
+
+    Of several incoming rows of one id the one updated last counts.
+    """
+    incoming = newest_change(incoming, "updated_at")
     updated = {"status", "posts_found", "updated_at"}
     s, i = stored.alias("s"), incoming.alias("i")
     joined = s.join(i, F.col("s.id") == F.col("i.id"), "full_outer")
@@ -39,8 +43,18 @@ def upsert_requests(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     ])
 
 
+def newest_change(changes: DataFrame, at: str = "at") -> DataFrame:
+    """The last change of every id; where times tie or are missing, the greatest row counts."""
+    rest = [c for c in changes.columns if c not in ("id", at)]
+    order = F.struct(*([at] if at in changes.columns else []), *rest)
+    return changes.groupBy("id").agg(F.max(order).alias("_c")).select(
+        *["id" if c == "id" else F.col(f"_c.{c}").alias(c) for c in changes.columns]
+    )
+
+
 def _apply(stored: DataFrame, changes: DataFrame, new_values: dict[str, Column]) -> DataFrame:
-    """Left-join ``changes`` by id and replace columns where a change exists."""
+    """Left-join the newest of ``changes`` by id and replace columns where a change exists."""
+    changes = newest_change(changes)
     renamed = changes.select(*[F.col(c).alias(f"_{c}") for c in changes.columns])
     joined = stored.join(renamed, stored["id"] == renamed["_id"], "left")
     hit = F.col("_id").isNotNull()

@@ -39,7 +39,7 @@ def take_page(ordered: DataFrame, limit: int | None, offset: int = 0) -> DataFra
 def filter_posts(
     gold: DataFrame, keyword: str, sentiment: str | None = None, platform: str | None = None,
     language: str | None = None, date_from: Moment | None = None, date_to: Moment | None = None,
-    limit: int | None = 100, offset: int = 0,
+    limit: int | None = None, offset: int = 0,
 ) -> DataFrame:
     """Posts of one keyword in the half-open range [from, to), newest first."""
     hits = gold.filter(F.col("keyword") == keyword)
@@ -79,7 +79,7 @@ class Page(NamedTuple):
     total: DataFrame
 
 
-def search_posts(gold: DataFrame, limit: int | None = 50, offset: int = 0, **filters) -> Page:
+def search_posts(gold: DataFrame, limit: int | None = None, offset: int = 0, **filters) -> Page:
     """One page of :func:`matching_posts`, newest first, and the total number of matches."""
     hits = matching_posts(gold, **filters)
     total = hits.agg(F.count(F.lit(1)).alias("total"))
@@ -111,7 +111,9 @@ def post_card() -> list[Column]:
     ]
 
 
-def post_explorer(gold: DataFrame, limit: int | None = 50, offset: int = 0, **filters) -> DataFrame:
+def post_explorer(
+    gold: DataFrame, limit: int | None = None, offset: int = 0, **filters
+) -> DataFrame:
     """Search result as cards with the real total."""
     page = search_posts(gold, limit, offset, **filters)
     return page.rows.select("id", *post_card()).withColumn("total", page.total.scalar())
@@ -283,14 +285,14 @@ def only(analytics: DataFrame, ids: list[str] | None) -> DataFrame:
 
 def sentiment_comparison(analytics: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return only(analytics, ids).select(
-        F.col("keyword").alias("campaign"),
+        "search_request_id", F.col("keyword").alias("campaign"),
         *[F.col(f"{s}_pct").alias(s) for s in ("positive", "negative", "neutral")],
     )
 
 
 def engagement_comparison(analytics: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return only(analytics, ids).select(
-        F.col("keyword").alias("campaign"),
+        "search_request_id", F.col("keyword").alias("campaign"),
         *[F.col(f"total_{m}").alias(m) for m in ("likes", "shares", "replies", "views")],
     )
 
@@ -301,21 +303,21 @@ def volume_comparison(
     """Daily volume of the chosen campaigns; the posts are filtered before they are counted."""
     names = only(analytics, ids).select("search_request_id", F.col("keyword").alias("campaign"))
     return daily_volume(only(gold, ids)).join(names, "search_request_id").select(
-        "campaign", "date", "count"
+        "search_request_id", "campaign", "date", "count"
     )
 
 
 def comparison_table(analytics: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return only(analytics, ids).select(
-        F.col("keyword").alias("campaign"), "platform", "total_posts", "positive_pct",
+        "search_request_id", F.col("keyword").alias("campaign"), "platform", "total_posts", "positive_pct",
         "negative_pct", "neutral_pct",
         N.half_up(F.col("avg_confidence"), 3).alias("avg_confidence"),
         *[F.col(f"total_{m}").alias(m) for m in ("likes", "shares", "replies", "views")],
     )
 
 
-def melt_metrics(wide: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """Wide to long: (key, metric, value)."""
-    return wide.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
-        [key], metrics, "metric", "value"
+def melt_metrics(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Wide to long: (keys, metric, value)."""
+    return wide.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(
+        keys, metrics, "metric", "value"
     )

@@ -68,8 +68,8 @@ def silver_extract(bronze: DataFrame, keep_extras: bool = False) -> DataFrame:
         for c in ("hashtags", "mentions")
     ]
     extras.append(
-        F.when(p["_corrupt_record"].isNotNull(), F.lit("payload is not valid JSON"))
-        .alias("payload_error")
+        F.when(p["_corrupt_record"].isNotNull() & F.try_parse_json("raw_payload").isNull(),
+               F.lit("payload is not valid JSON")).alias("payload_error")
     )
     return with_payload(bronze).select(
         "id", F.col("id").alias("bronze_post_id"), "search_request_id", "platform",
@@ -115,19 +115,32 @@ def with_tags(silver: DataFrame, strict_mentions: bool = False) -> DataFrame:
     return merged.drop("_h", "_m", "payload_hashtags", "payload_mentions")
 
 
-def dedup_posts(incoming: DataFrame) -> DataFrame:
-    """Keep the first arrival of each (platform, platform_id).
+def _first_only(incoming: DataFrame, key: list[str], first_by: list[str], row: str) -> DataFrame:
+    """Drop all but the first row of each key; ``row`` names a row.
 
-    The rank filter is pushed below the shuffle as a per-task group limit, so even a post that
-    makes up a third of the input sends at most one row per task.
+    Only keys, order and row names are ranked; the few later rows are then dropped by name. A key
+    with a NULL part equals no other key, so such rows all stay. Of rows that repeat a name, as a
+    batch sent twice does, one stays; no other row is shuffled for that.
     """
-    first = Window.partitionBy(*POST_KEY).orderBy("fetched_at", "id")
-    return (
-        incoming.withColumn("_rank", F.row_number().over(first))
-        .filter("_rank = 1").drop("_rank")
+    order = Window.partitionBy(*key).orderBy(*first_by, row)
+    narrow = incoming.select(*dict.fromkeys([*key, *first_by, row])).dropna(subset=key)
+    later = (
+        narrow.withColumn("_first", F.first(row).over(order)).filter(F.col(row) != F.col("_first"))
+        .select(F.col(row).alias("_later"))
+    )
+    twice = narrow.groupBy(F.col(row).alias("_twice")).count().filter("count > 1").select("_twice")
+    kept = incoming.join(later, F.col(row) == F.col("_later"), "left_anti")
+    same = F.col(row) == F.col("_twice")
+    return kept.join(twice, same, "left_anti").unionByName(
+        kept.join(twice, same, "left_semi").dropDuplicates([row])
     )
 
 
+def dedup_posts(incoming: DataFrame) -> DataFrame:
+    """Keep the first arrival of each (platform, platform_id). Post ids name rows."""
+    return _first_only(incoming, POST_KEY, ["fetched_at", "id"], "id")
+
+
 def dedup_bronze(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows an insert-or-ignore would add: new keys only, first writer wins."""
     return append_new(incoming, existing, POST_KEY, ["fetched_at", "id"])
@@ -137,12 +150,15 @@ def append_new(
     incoming: DataFrame, existing: DataFrame, key: list[str], first_by: list[str]
 ) -> DataFrame:
     """Rows whose key is not stored yet; of repeats inside the batch the first one counts."""
+    fresh = incoming.join(existing.select(*key), key, "left_anti")
+    if "id" in incoming.columns and "id" not in key:
+        return _first_only(fresh, key, first_by, "id")
+    return fresh.dropDuplicates(key) if set(first_by) <= set(key) else _ranked(fresh, key, first_by)
+
+
+def _ranked(rows: DataFrame, key: list[str], first_by: list[str]) -> DataFrame:
     first = Window.partitionBy(*key).orderBy(*first_by)
-    once = (
-        incoming.withColumn("_rank", F.row_number().over(first))
-        .filter("_rank = 1").drop("_rank")
-    )
-    return once.join(existing.select(*key), key, "left_anti")
+    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
 
 
 def unenriched_posts(

@@ -13,9 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chatterlake import storage
+from chatterlake.functions.times import ntz
 from chatterlake.operators import enrich, gold, silver
 from chatterlake.sources import seed
 
+#: Build time of the gold layers, fixed so that a rebuild gives the same rows.
+BUILT_AT = "2024-02-01 12:00:00"
+
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -46,12 +50,6 @@ class Lake:
         """An unused folder for a write made by one query run."""
         return storage.fresh_path(self.spark, name)
 
-    def spread(self, name: str) -> DataFrame:
-        """A source for CPU-heavy row work: dealt out when it has fewer splits than cores."""
-        df = self.source(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def base(self) -> DataFrame:
         return seed.post_base(self.source("events"), self.source("documents"))
 
@@ -72,6 +70,12 @@ def _enrichment(lake: Lake) -> DataFrame:
     return enrich.enrichment_rows(tagged, lake.annotations)
 
 
+def _stamped(lake: Lake, df: DataFrame) -> DataFrame:
+    runs = gold.latest_completed_run(lake.crawl_runs)
+    jobs = gold.latest_completed_job(lake.ai_jobs, lake.silver_posts)
+    return gold.stamp_lineage(df, runs, jobs, ntz(BUILT_AT))
+
+
 LAYERS: dict[str, Callable[[Lake], DataFrame]] = {
     "search_requests": lambda lake: seed.search_requests(lake.source("events")),
     "crawl_runs": lambda lake: seed.crawl_runs(lake.source("events")),
@@ -81,17 +85,21 @@ LAYERS: dict[str, Callable[[Lake], DataFrame]] = {
     "annotations": _annotations,
     "silver_ai_enrichment": _enrichment,
     "ai_jobs": lambda lake: seed.ai_jobs(lake.silver_posts, lake.annotations),
-    "gold_post_search": lambda lake: gold.gold_post_search(
+    "gold_post_search": lambda lake: _stamped(lake, gold.gold_post_search(
         lake.silver_posts, lake.silver_ai_enrichment, lake.search_requests
-    ),
-    "gold_campaign_daily": lambda lake: gold.campaign_daily(lake.gold_post_search),
-    "gold_campaign_summary": lambda lake: gold.campaign_summary(
-        lake.gold_post_search, lake.search_requests
-    ),
+    )),
+    "gold_campaign_daily": lambda lake: _stamped(lake, gold.campaign_daily(
+        lake.gold_post_search, at=ntz(BUILT_AT)
+    )),
+    "gold_campaign_summary": lambda lake: _stamped(lake, gold.campaign_summary(
+        lake.gold_post_search, lake.search_requests, at=ntz(BUILT_AT)
+    )),
     "gold_build_tracking": lambda lake: seed.build_tracking(lake.source("events")),
     "token_events": lambda lake: seed.token_events(
         lake.source("events"), lake.source("documents")
     ),
 }
 
-PARTITIONS = {"gold_post_search": "search_request_id"}
+PARTITIONS = dict.fromkeys(
+    ["bronze_posts", "silver_posts", "gold_post_search", "gold_campaign_daily"], "search_request_id"
+)

@@ -58,13 +58,13 @@ CAMPAIGN_DAILY = dict(
     search_request_id=_S, keyword=_S, platform=_S, date=_DAY, total_posts=_L,
     positive_count=_L, negative_count=_L, neutral_count=_L, avg_confidence=_D,
     top_hashtags=_A, top_topics=_A, total_likes=_L, total_shares=_L, total_replies=_L,
-    total_views=_L, ai_version=_I,
+    total_views=_L, ai_version=_I, created_at=_TS,
 )
 CAMPAIGN_SUMMARY = dict(
     search_request_id=_S, keyword=_S, start_date=_DAY, end_date=_DAY, total_posts=_L,
     positive_pct=_D, negative_pct=_D, neutral_pct=_D, avg_confidence=_D, total_engagement=_L,
     total_likes=_L, total_shares=_L, total_replies=_L, total_views=_L, top_hashtags=_A,
-    top_topics=_A, platforms=_A, ai_version=_I,
+    top_topics=_A, platforms=_A, ai_version=_I, created_at=_TS,
 )
 BUILD_TRACKING = dict(search_request_id=_S, last_built_at=_TS, posts_processed=_L)
 

@@ -149,13 +149,15 @@ NORMALISERS = {"reddit": normalize_reddit, "youtube": normalize_youtube}
 def route_by_platform(items: DataFrame) -> DataFrame:
     """Send every item through the normaliser of its ``platform`` column.
 
-    Branches filter on the stored column, so a table partitioned by platform is read once.
+    Items of any other platform, and those without one, take the common form. Branches filter on
+    the stored column, so a table partitioned by platform is read once.
     """
     branches = [
         run(items.filter(F.col("platform") == name).drop("platform"))
         for name, run in NORMALISERS.items()
     ]
-    rest = items.filter(~F.col("platform").isin(list(NORMALISERS)))
+    known = F.coalesce(F.col("platform").isin(list(NORMALISERS)), F.lit(False))
+    rest = items.filter(~known)
     common = normalize_tweets(rest.withColumnRenamed("platform", "_platform"))
     branches.append(common.withColumn("platform", F.col("_platform")).drop("_platform"))
     result = branches[0]
@@ -164,20 +166,16 @@ def route_by_platform(items: DataFrame) -> DataFrame:
     return result
 
 
-def assign_lineage_ids(crawled: DataFrame, requests: DataFrame, runs: DataFrame) -> DataFrame:
-    """Set the saved request and run ids on crawled rows, by keyword and crawl day."""
-    owner = requests.select("keyword", F.col("id").alias("search_request_id"))
-    run = runs.select(
-        "search_request_id", F.to_date("started_at").alias("crawl_day"),
-        F.col("id").alias("crawl_run_id"),
-    )
-    bare = crawled.drop("search_request_id", "crawl_run_id")
-    return bare.join(owner, "keyword").join(run, ["search_request_id", "crawl_day"])
-
-
-def limit_per_request(posts: DataFrame, max_results: int, order: list[str]) -> DataFrame:
-    """The result limit of a search, applied to every request at once."""
-    w = Window.partitionBy("search_request_id").orderBy(*order)
-    return posts.withColumn("_n", F.row_number().over(w)).filter(
-        F.col("_n") <= max_results).drop("_n")
+def assign_lineage_ids(crawled: DataFrame, runs: DataFrame) -> DataFrame:
+    """Set the saved request and run ids on crawled rows.
 
+    A crawled row knows the request it was fetched for (``request_id``) and its ``crawl_day``; the
+    run is the newest one of that request and day. A row of a day without a run stays, without a
+    run id. Requests are told apart by id, since several may share a keyword.
+    """
+    run = runs.groupBy(
+        F.col("search_request_id").alias("request_id"), F.to_date("started_at").alias("crawl_day"),
+    ).agg(F.max_by("id", F.struct("started_at", "id")).alias("crawl_run_id"))
+    bare = crawled.drop("search_request_id", "crawl_run_id")
+    return bare.join(run, ["request_id", "crawl_day"], "left").withColumnRenamed(
+        "request_id", "search_request_id")

@@ -23,7 +23,8 @@ PAYLOAD_SCHEMA = """
 def with_payload(posts: DataFrame) -> DataFrame:
     """Add column ``p``: the parsed payload, NULL when the payload is NULL.
 
-    Text that is not JSON leaves every key NULL and lands in ``p._corrupt_record``.
+    Text that is not JSON leaves every key NULL and lands in ``p._corrupt_record``. A key whose
+    value has another shape is NULL, and the others keep theirs; that record lands there too.
     """
     return posts.withColumn("p", F.from_json("raw_payload", PAYLOAD_SCHEMA))
 

@@ -159,17 +159,15 @@ def gold_sink(
 
 
 def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
-    """Batch function that stores good rows, one job row per post and the rejected rows.
+    """Batch function that stores silver rows, one job row per post and the rejected rows.
 
-    Job state follows from the row: a readable payload completes, any other fails and goes to
-    the rejected folder with its error.
+    Job state follows from the row: a readable payload completes, any other fails, keeps its
+    silver row and goes to the rejected folder with its error.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = silver_extract(batch, keep_extras=True).persist()
         error = F.col("payload_error")
-        good = rows.filter(error.isNull()).drop(
-            "payload_hashtags", "payload_mentions", "payload_error"
-        )
+        typed = rows.drop("payload_hashtags", "payload_mentions", "payload_error")
         jobs = rows.select(
             F.concat(F.lit("job-"), F.col("id").cast("string")).alias("id"),
             F.col("id").alias("silver_post_id"),
@@ -177,9 +175,11 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
             F.lit(1).alias("attempts"), error.alias("error_message"),
         )
         bad = batch.join(rows.filter(error.isNotNull()).select("id", "payload_error"), "id")
-        for df, path in [(good, silver_path), (jobs, jobs_path), (bad, rejected_path)]:
-            batch_folder(path)(df, batch_id)
-        rows.unpersist()
+        try:
+            for df, path in [(typed, silver_path), (jobs, jobs_path), (bad, rejected_path)]:
+                batch_folder(path)(df, batch_id)
+        finally:
+            rows.unpersist()
 
     return write
 
