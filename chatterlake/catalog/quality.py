@@ -22,7 +22,7 @@ PAGE = "posted_at DESC NULLS LAST, id"
 def _(lake):
     hits = V.filter_posts(
         lake.gold_post_search, "click", "positive", "twitter", "en", "2024-01-03", "2024-01-28",
-        limit=50, offset=10,
+        limit=50, offset=10, requests=lake.search_requests,
     )
     return hits.select("id", "sentiment", "platform", "language", "posted_at")
 

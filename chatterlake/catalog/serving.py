@@ -33,7 +33,9 @@ def _(lake):
     SELECT id, posted_at FROM gold WHERE keyword = 'signup' ORDER BY {PAGE}
     LIMIT 100 OFFSET 20""")
 def _(lake):
-    return V.filter_posts(lake.gold_post_search, "signup", limit=100, offset=20).select(
+    return V.filter_posts(
+        lake.gold_post_search, "signup", limit=100, offset=20, requests=lake.search_requests
+    ).select(
         "id", "posted_at"
     )
 

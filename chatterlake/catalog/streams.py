@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatterlake.catalog.aggregates import USAGE
-from chatterlake.catalog.registry import query
+from chatterlake.catalog.registry import MEASURES, query
 from chatterlake.operators import budget as B
 from chatterlake.storage import write_table
 from chatterlake.streaming import streams as J
@@ -69,7 +69,7 @@ def _starts(lake):
     )
 
 
-@query("stream_dedup_ttl", f"""
+REPEATS = f"""
     WITH RECURSIVE s AS (SELECT event_id AS id, {_KEY} AS k, ts, row_number() OVER (
             PARTITION BY {_KEY} ORDER BY ts, event_id) AS rn FROM events),
     r AS (SELECT id, k, ts AS kept, rn, true AS admitted FROM s WHERE rn = 1
@@ -77,26 +77,61 @@ def _starts(lake):
             CASE WHEN s.ts >= r.kept + INTERVAL 300 SECOND THEN s.ts ELSE r.kept END, s.rn,
             s.ts >= r.kept + INTERVAL 300 SECOND
         FROM r JOIN s ON s.k = r.k AND s.rn = r.rn + 1)
-    SELECT id, admitted FROM r""")
+    SELECT id, admitted FROM r"""
+
+
+@query("dedup_ttl", REPEATS)
 def _(lake):
     return B.admit_sliding(_starts(lake), "dedup_key", "ts", "id", 1, B.REPEAT_SECONDS).select(
         "id", "admitted"
     )
 
 
-@query("stream_daily", """
-    SELECT search_request_id, platform, CAST(posted_at AS DATE) AS date,
-        count(*) AS total_posts, CAST(sum(like_count) AS BIGINT) AS total_likes,
-        CAST(sum(share_count) AS BIGINT) AS total_shares,
-        CAST(sum(reply_count) AS BIGINT) AS total_replies,
-        CAST(sum(view_count) AS BIGINT) AS total_views
-    FROM silver_posts WHERE posted_at IS NOT NULL GROUP BY ALL""")
+def _timed_stream(lake, calls, name: str):
+    """A stream over some files of ``calls``, then one of a call far later, after which the watermark
+    has passed all others."""
+    out = lake.fresh(name)
+    table = write_table(calls, f"{out}/calls")
+    last = calls.limit(1).withColumn("id", F.lit(-1).cast("bigint")).withColumn(
+        "ts", F.expr("TIMESTAMP_NTZ'2100-01-01'"))
+    last.write.mode("append").parquet(f"{out}/calls")
+    return out, J.read_stream(lake.spark, table, f"{out}/calls", 3)
+
+
+def _decisions(lake, out: str, decided):
+    _run(decided.select("id", "admitted"), f"{out}/checkpoint", f"{out}/rows")
+    return lake.spark.read.schema("id bigint, admitted boolean").parquet(f"{out}/rows").filter("id >= 0")
+
+
+@query("stream_dedup_ttl", REPEATS)
+def _(lake):
+    out, starts = _timed_stream(lake, _starts(lake), "stream_ttl")
+    return _decisions(lake, out, J.repeat_requests_stream(starts, B.REPEAT_SECONDS, WHOLE_RANGE))
+
+
+_DAY_KEYS = ["search_request_id", "platform", "date"]
+
+
+@query("stream_daily", f"""
+    SELECT search_request_id, platform, date, {MEASURES} FROM dated
+    GROUP BY search_request_id, platform, date""")
 def _(lake):
     out = lake.fresh("stream_daily")
-    daily = J.daily_stream(_stream(lake, "silver_posts", 4), WHOLE_RANGE)
+    daily = J.daily_stream(_stream(lake, "gold_post_search", 4), WHOLE_RANGE)
     _run(daily, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
     changes = lake.spark.read.parquet(f"{out}/rows")
-    return J.latest_state(changes, ["search_request_id", "platform", "date"])
+    return J.latest_state(changes, _DAY_KEYS)
+
+
+@query("stream_daily_tags", """
+    SELECT search_request_id, platform, date, item, count(*) AS count FROM (
+        SELECT search_request_id, platform, date, unnest(hashtags) AS item FROM dated)
+    WHERE item <> '' GROUP BY ALL""")
+def _(lake):
+    out = lake.fresh("stream_tags")
+    tags = J.daily_tags_stream(_stream(lake, "gold_post_search", 4), "hashtag", WHOLE_RANGE)
+    _run(tags, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
+    return J.latest_state(lake.spark.read.parquet(f"{out}/rows"), [*_DAY_KEYS, "item"])
 
 
 @query("stream_token_usage", f"SELECT hour, hour_tokens FROM ({USAGE})")
@@ -112,11 +147,10 @@ def _(lake):
 def _(lake):
     out = lake.fresh("stream_gold")
     sink = J.gold_sink(
-        lake.spark, f"{out}/gold", lambda: lake.silver_posts,
-        lambda: lake.silver_ai_enrichment, lake.search_requests,
+        lake.spark, f"{out}/gold", lambda: lake.silver_ai_enrichment, lake.search_requests
     )
-    _run(_stream(lake, "silver_posts").select("search_request_id"), f"{out}/checkpoint", sink)
-    gold = lake.spark.read.schema(lake.gold_post_search.schema).parquet(f"{out}/gold")
+    _run(_stream(lake, "silver_posts", 4), f"{out}/checkpoint", sink)
+    gold = J.latest_state(lake.spark.read.parquet(f"{out}/gold"), ["id"])
     return gold.select(
         "id", "search_request_id", F.md5("post_text").alias("text_md5"), "sentiment", "like_count"
     )
@@ -177,13 +211,6 @@ def _(lake):
 
 @query("admit_stream", ADMITTED)
 def _(lake):
-    out = lake.fresh("stream_admit")
-    table = write_table(_calls(lake), f"{out}/calls")
-    calls = J.read_stream(lake.spark, table, f"{out}/calls")
-    decided = J.admit_stream(calls, "user_id", ADMIT_LIMIT, ADMIT_HOURS * 3600, WHOLE_RANGE)
-    _run(decided, f"{out}/checkpoint", f"{out}/rows")
-    return lake.spark.read.schema("id bigint, client bigint, admitted boolean").parquet(
-        f"{out}/rows"
-    ).select("id", "admitted")
-
-
+    out, calls = _timed_stream(lake, _calls(lake), "stream_admit")
+    return _decisions(lake, out, J.admit_stream(
+        calls, "user_id", ADMIT_LIMIT, ADMIT_HOURS * 3600, WHOLE_RANGE))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -106,13 +107,14 @@ def admit_sliding(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = None, []
+        current, recent = None, deque()
         for batch in batches:
             verdicts = []
             for who, run, now in zip(batch[client], batch["_run"], batch["_us"]):
                 if (who, run) != current:
-                    current, recent = (who, run), []
-                recent = [t for t in recent if t > now - width]
+                    current, recent = (who, run), deque()
+                while recent and recent[0] <= now - width:
+                    recent.popleft()
                 ok = len(recent) < max_requests
                 if ok:
                     recent.append(now)

@@ -39,10 +39,18 @@ def take_page(ordered: DataFrame, limit: int | None, offset: int = 0) -> DataFra
 def filter_posts(
     gold: DataFrame, keyword: str, sentiment: str | None = None, platform: str | None = None,
     language: str | None = None, date_from: Moment | None = None, date_to: Moment | None = None,
-    limit: int | None = None, offset: int = 0,
+    limit: int | None = None, offset: int = 0, requests: DataFrame | None = None,
 ) -> DataFrame:
-    """Posts of one keyword in the half-open range [from, to), newest first."""
+    """Posts of one keyword in the half-open range [from, to), newest first.
+
+    With the table of ``requests`` the keyword becomes campaign ids first, by which the gold table
+    is partitioned, so only their partitions are read.
+    """
     hits = gold.filter(F.col("keyword") == keyword)
+    if requests is not None:
+        ids = requests.filter(F.col("keyword") == keyword).select(
+            F.col("id").alias("search_request_id"))
+        hits = hits.join(ids, "search_request_id", "left_semi")
     for column, wanted in [("sentiment", sentiment), ("platform", platform),
                            ("language", language)]:
         if wanted is not None:

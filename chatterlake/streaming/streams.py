@@ -6,6 +6,8 @@ Checkpoints and outputs live in the shared folder, so a restarted query continue
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -25,6 +27,7 @@ CRAWL_INTERVAL = "15 seconds"
 DAILY_DELAY = "2 days"
 TOKEN_DELAY = "25 hours"
 REPEAT_DELAY = "5 minutes"
+REPEAT_SECONDS = 300
 
 
 def read_stream(
@@ -101,29 +104,39 @@ def dedup_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
     ).drop("event_time")
 
 
-def repeat_requests_stream(starts: DataFrame, delay: str = REPEAT_DELAY) -> DataFrame:
-    """Drop a start request repeated within the delay. Columns dedup_key, ts."""
-    return watermarked(starts, "ts", delay).dropDuplicatesWithinWatermark(
-        ["dedup_key"]
-    ).drop("event_time")
+def repeat_requests_stream(
+    starts: DataFrame, ttl_seconds: int = REPEAT_SECONDS, delay: str = REPEAT_DELAY
+) -> DataFrame:
+    """Start requests (dedup_key, ts, id) with ``admitted``: false within the time to live of the last
+    accepted start of the same key. A refused start does not prolong it."""
+    return admit_stream(starts, "dedup_key", 1, ttl_seconds, delay)
 
 
 def daily_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
-    """Daily counts and sums as posts arrive; state of a day is dropped after the delay."""
+    """Daily figures as gold posts arrive, with the measures of the daily table.
+
+    State of a day is dropped after the delay; in append mode a day is given out then.
+    """
     day = F.window("event_time", "1 day")
     return (
         watermarked(posts, "posted_at", delay)
-        .groupBy(day.alias("w"), "search_request_id", "platform")
-        .agg(
-            F.count(F.lit(1)).alias("total_posts"), F.sum("like_count").alias("total_likes"),
-            F.sum("share_count").alias("total_shares"),
-            F.sum("reply_count").alias("total_replies"),
-            F.sum("view_count").alias("total_views"),
-        )
-        .select(
-            "search_request_id", "platform", F.to_date(to_utc(F.col("w.start"))).alias("date"), "total_posts",
-            "total_likes", "total_shares", "total_replies", "total_views",
-        )
+        .groupBy(day.alias("w"), "search_request_id", "platform").agg(*G.measures())
+        .withColumn("date", F.to_date(to_utc(F.col("w.start")))).drop("w")
+    )
+
+
+def daily_tags_stream(posts: DataFrame, kind: str, delay: str = DAILY_DELAY) -> DataFrame:
+    """Uses of each hashtag or topic per campaign, platform and day, from which the day's top list
+    is ranked. One state row per item; no list is held."""
+    item = F.explode("hashtags") if kind == "hashtag" else F.col("topic_label")
+    day = F.window("event_time", "1 day")
+    return (
+        watermarked(posts, "posted_at", delay)
+        .select("event_time", "search_request_id", "platform", item.alias("item"))
+        .filter("item IS NOT NULL AND item <> ''")
+        .groupBy(day.alias("w"), "search_request_id", "platform", "item")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .withColumn("date", F.to_date(to_utc(F.col("w.start")))).drop("w")
     )
 
 
@@ -137,23 +150,19 @@ def token_stream(events: DataFrame, delay: str = TOKEN_DELAY) -> DataFrame:
 
 
 def gold_sink(
-    spark: SparkSession, gold_path: str, silver: Callable[[], DataFrame],
-    enrichment: Callable[[], DataFrame], requests: DataFrame,
+    spark: SparkSession, gold_path: str, enrichment: Callable[[], DataFrame], requests: DataFrame,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch function that rebuilds the gold partitions of the campaigns in the batch.
+    """Batch function that stores the gold rows of the silver posts in the batch.
 
-    The rows of a campaign are rebuilt from all its stored posts and replace its partition, so
-    a replayed batch changes nothing.
+    Only the batch is built; its rows go to partitions of its own, so a trigger costs what the
+    batch holds and a replayed batch replaces itself. Where posts can arrive again, read the
+    newest row of each id with :func:`latest_state`.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("search_request_id").distinct()
-        posts = silver().join(touched, "search_request_id", "left_semi")
-        rows = G.gold_post_search(posts, enrichment(), requests)
-        (
-            rows.hint("rebalance", "search_request_id").write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("search_request_id").parquet(gold_path)
-        )
+        ids = batch.select(F.col("id").alias("silver_post_id"))
+        side = enrichment().join(ids, "silver_post_id", "left_semi")
+        rows = G.gold_post_search(batch, side, requests)
+        batch_folder(gold_path)(rows, batch_id)
 
     return write
 
@@ -188,10 +197,13 @@ def admit_stream(
     calls: DataFrame, client: str, max_requests: int, window_seconds: int,
     delay: str = REPEAT_DELAY,
 ) -> DataFrame:
-    """Sliding-window admission with the admitted times of each client as state.
+    """Sliding-window admission, decided in event time.
 
-    Columns: ``client``, ``ts``, ``id``. At most ``max_requests`` times are kept per client and
-    they expire with the watermark.
+    Columns: ``client``, ``ts``, ``id``. A call waits in the state of its client until the watermark
+    has passed it, so calls are decided in the order of their times (ties by id) however files and
+    triggers cut them, and the result is that of the batch operator. The state holds the calls of the
+    last ``delay`` and at most ``max_requests`` admitted times. A call later than the
+    watermark is dropped, as in every watermarked query.
     """
     width = window_seconds * 1_000_000
     source = watermarked(calls, "ts", delay).select(
@@ -201,25 +213,35 @@ def admit_stream(
     def decide(
         key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])
-        verdicts = []
-        for now in rows["us"]:
-            recent = [t for t in recent if t > now - width]
-            verdicts.append(len(recent) < max_requests)
-            if verdicts[-1]:
-                recent.append(int(now))
-        state.update((recent,))
+        held_us, held_id, recent = map(list, state.get) if state.exists else ([], [], [])
+        for batch in batches:
+            held_us += batch["us"].tolist()
+            held_id += batch["id"].tolist()
         mark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(mark, int(rows["us"].max() // 1000)) + window_seconds * 1000)
-        yield rows[["id", "client"]].assign(admitted=verdicts)
+        waiting = sorted(zip(held_us, held_id))
+        due = bisect_right(waiting, mark * 1000, key=lambda x: x[0])
+        admitted, times = [], deque(recent)
+        for us, _ in waiting[:due]:
+            while times and times[0] <= us - width:
+                times.popleft()
+            admitted.append(len(times) < max_requests)
+            if admitted[-1]:
+                times.append(us)
+        rest = waiting[due:]
+        if rest or (times and times[-1] + width > mark * 1000):
+            state.update(([u for u, _ in rest], [i for _, i in rest], list(times)))
+            wake = rest[0][0] if rest else times[-1] + width
+            state.setTimeoutTimestamp(max(mark + 1, -(-wake // 1000)))
+        elif state.exists:
+            state.remove()
+        if due:
+            yield pd.DataFrame({"id": [i for _, i in waiting[:due]], "client": key[0],
+                                "admitted": admitted})
 
     id_type = calls.schema["id"].dataType.simpleString()
     client_type = calls.schema[client].dataType.simpleString()
     return source.groupBy("client").applyInPandasWithState(
         decide, f"id {id_type}, client {client_type}, admitted boolean",
-        "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout,
+        f"held_us array<bigint>, held_id array<{id_type}>, recent array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
