@@ -6,6 +6,9 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from unicodedata import category
+
+import numpy as np
 
 from chatterlake.llm.common import batches
 
@@ -15,23 +18,43 @@ END_ID = 0
 ID_BYTES = 4
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: A space between two white-space characters (or at the end after one) may belong to a longer
-#: white-space token, so such a text is not cut at its spaces.
-_INNER_SPACE = re.compile(r"\s (?!\S)")
+SPECIAL = "<|endoftext|>"
+#: Characters from here on (ideographs, symbols beyond the basic plane) are left to the library.
+_COVERED = 0x2E80
+_FAR = re.compile(f"[{chr(_COVERED)}-\U0010ffff]")
+
+
+def _class_of(initial: str) -> str:
+    """The covered characters of a general category, as ranges for a character class."""
+    codes = [c for c in range(_COVERED) if category(chr(c))[0] == initial]
+    starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+
+
+def _pre_tokens() -> re.Pattern:
+    """The byte-level pre-tokeniser: contractions, letters, numbers, signs, white space."""
+    letters, numbers = _class_of("L"), _class_of("N")
+    space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f"
+    return re.compile(
+        f" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letters}{numbers}]+"
+        f"|[{space}]+(?![^{space}])|[{space}]+")
 
 
 class WordCache:
     """Encode texts with a byte-level BPE file of the tokenizers library.
 
-    The byte-level pre-tokeniser starts a new token at every space that touches a character other
-    than white space, so a text is the sequence of its space-led pieces and each distinct piece
-    is encoded once. Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+    The pre-tokeniser cuts a text into words that are encoded one by one, so every distinct word needs
+    to be encoded once. Words not used for a whole turn are forgotten. Ids are those of
+    ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
     def __init__(self, path: str, max_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._cut = _pre_tokens().findall
+        self._break = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._max_words = max_words
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -44,35 +67,46 @@ class WordCache:
         return out
 
     def _learn(self, needed: set[str]) -> None:
-        """Make all needed words known; of the others, those used since the last turn are kept."""
+        if len(self._known) > self._max_words:
+            self._older, self._known = self._known, {}
         known, older = self._known, self._older
-        if len(known) > self._max_words:
-            self._older = older = known
-            self._known = known = {}
         fresh = needed.difference(known)
         new = fresh.difference(older)
-        known.update((w, older[w]) for w in fresh.difference(new))
-        new = list(new)
-        known.update(zip(new, self._ids([" " + w for w in new])))
+        known.update((w, older[w]) for w in fresh.intersection(older))
+        blank = [w for w in new if w.isspace()]
+        known.update(zip(blank, self._ids(blank)))
+        self._encode_words(known, list(new.difference(blank)))
+
+    def _encode_words(self, known: dict[str, bytes], words: list[str]) -> None:
+        """Encode words as lines of one text: between two of them a line break is always a token of
+        its own, and no token within them has its id."""
+        for part in batches(len(words), 4096):
+            line = "\n".join(words[part])
+            encoded = self._tokenizer.encode_batch_fast([line], add_special_tokens=False)[0]
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self._break), len(ids))
+            starts = np.append(0, ends[:-1] + 1)
+            data = ids.tobytes()
+            known.update((w, data[a:b]) for w, a, b in zip(
+                words[part], (starts * ID_BYTES).tolist(), (ends * ID_BYTES).tolist()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, cut = [b""] * len(texts), []
-        whole = [i for i, t in enumerate(texts) if _INNER_SPACE.search(t)]
+        out, cut, needed = [b""] * len(texts), [], set()
+        whole = []
+        for i, text in enumerate(texts):
+            if _FAR.search(text) or SPECIAL in text:
+                whole.append(i)
+            else:
+                words = self._cut(text)
+                needed.update(words)
+                cut.append((i, words))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
-        skip = set(whole)
-        needed: set[str] = set()
-        for i, text in enumerate(texts):
-            if i not in skip and text:
-                head, *rest = text.split(" ")
-                needed.update(rest)
-                cut.append((i, head, rest))
         self._learn(needed)
-        heads = self._ids([head for _, head, _ in cut])
         lookup = self._known.__getitem__
-        for (i, _, rest), head in zip(cut, heads):
-            out[i] = head + b"".join(map(lookup, rest))
+        for i, words in cut:
+            out[i] = b"".join(map(lookup, words))
         return out
 
 
