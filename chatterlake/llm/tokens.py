@@ -49,7 +49,7 @@ class WordCache:
     ``Tokenizer.encode(text, add_special_tokens=False)``.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)

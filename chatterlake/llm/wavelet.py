@@ -169,7 +169,7 @@ def pack_shard(ids: np.ndarray, doc_ids: list, lengths: list[int]) -> bytes:
     return b"".join(out)
 
 
-def open_shard(data: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
+def open_shard(data: bytes | memoryview) -> tuple[WaveletMatrix, list, np.ndarray]:
     """The matrix of a shard file, the ids of its documents and their lengths.
 
     The directory in the file holds every eighth rank; the ranks between are counted from the words.
@@ -256,13 +256,13 @@ def _documents(rows: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in rows:
-        for row in batch.to_pylist():
-            matrix, doc_ids, lengths = open_shard(row["payload"])
+        for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            matrix, doc_ids, lengths = open_shard(memoryview(payload.as_buffer()))
             data = memoryview(matrix.symbols().astype("<u4").tobytes())
             ends = np.cumsum(lengths)
             starts = ends - lengths
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc_ids, pa.int64()), pa.array(starts + row["start"], pa.int64()),
+                pa.array(doc_ids, pa.int64()), pa.array(starts + first, pa.int64()),
                 pa.array(lengths, pa.int64()),
                 pa.array([data[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary()),
             ], names=["doc_id", "start", "n_tokens", "ids"])
@@ -292,11 +292,11 @@ def symbol_counts(spark: SparkSession, path: str, symbols: list[int]) -> DataFra
         import pyarrow as pa
 
         for batch in rows:
-            for row in batch.to_pylist():
-                matrix = open_shard(row["payload"])[0]
+            for part, shard, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2)):
+                matrix = open_shard(memoryview(payload.as_buffer()))[0]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["part"]] * len(symbols), pa.int64()),
-                    pa.array([row["shard"]] * len(symbols), pa.int64()),
+                    pa.array([part] * len(symbols), pa.int64()),
+                    pa.array([shard] * len(symbols), pa.int64()),
                     pa.array(symbols, pa.int64()),
                     pa.array([matrix.count(s) for s in symbols], pa.int64()),
                 ], names=["part", "shard", "symbol", "n"])
