@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def text_schema(df: DataFrame, *names: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within the block, Spark hands at most ``rows`` rows at a time to Python: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def batches(n: int, width: int):
     """Slices that cut ``range(n)`` into blocks of ``width``."""
     return (slice(a, min(a + width, n)) for a in range(0, n, width))

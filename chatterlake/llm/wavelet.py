@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chatterlake.llm.common import arrow_rows
 from chatterlake.llm.tokens import encode_batches, tokenizer_path
 
 SHARD_TOKENS = 1 << 19
@@ -248,8 +249,10 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", tokenizer: str
     def run(rows):
         return _shards(rows, file, shard_tokens)
 
-    (docs.select("doc_id", text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", text)
-     .mapInArrow(run, _SHARDS).write.mode("overwrite").option("compression", "none").parquet(path))
+    shards = (docs.select("doc_id", text).repartitionByRange("doc_id")
+              .sortWithinPartitions("doc_id", text).mapInArrow(run, _SHARDS))
+    with arrow_rows(docs.sparkSession, 1000):
+        shards.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
 def _documents(rows: Iterator) -> Iterator:
