@@ -88,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_derivatives": derivatives.ORACLE,
 }

@@ -26,7 +26,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlake.llm.common import batches
 from chatterlake.llm.wavelet import WaveletMatrix
 from chatterlake.storage import fresh_path, write_table
 
@@ -46,27 +45,40 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-class _WordHashes:
-    """64-bit hashes of words; those a worker has seen are kept."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BLOCK = 1 << 20
 
-    def __init__(self, most: int = 300_000):
-        self._known: dict[bytes, int] = {}
-        self._most = most
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self._known
-        if len(known) > self._most:
-            known.clear()
-        digest = xxhash.xxh64_intdigest
-        known.update((w, digest(w)) for w in set(words).difference(known))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-_hashes = _WordHashes()
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, each from the bytes of its word alone.
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return _hashes.of(words)
+    Long texts are taken in blocks that end at white space.
+    """
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    out, start = [], 0
+    while start < len(data):
+        end = min(start + _BLOCK, len(data))
+        if end < len(data):
+            gap = _SPACE[data[end:]]
+            end += int(gap.argmax()) if gap.any() else len(gap)
+        out.append(_block_hashes(data[start:end]))
+        start = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _block_hashes(data: np.ndarray) -> np.ndarray:
+    inside = np.concatenate([[False], ~_SPACE[data], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
+    up, down = _powers_to(len(data) + 1, 0)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    return _mixed((total[edge[:, 1]] - total[edge[:, 0]]) * down[edge[:, 0]])
 
 
 def _powers_to(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,24 +98,35 @@ def rolling(h: np.ndarray, width: int, which: int = 0) -> np.ndarray:
         return np.zeros(0, np.uint64)
     up, down = _powers_to(len(h), which)
     total = np.concatenate([[np.uint64(0)], np.cumsum(h * up)])
-    out = (total[width:] - total[:-width]) * down[:n]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(32))
+    return _mixed((total[width:] - total[:-width]) * down[:n])
+
 
+def anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each window, the least hash among its grams.
 
-def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: the position of its anchor; and the hashes of all grams."""
-    grams = rolling(h, gram)
-    span = window - gram + 1
-    n = len(h) - window + 1
+    Least values of whole blocks from either side give those of every stretch in linear time.
+    """
+    grams, span = rolling(h, gram), window - gram + 1
+    n = len(grams) - span + 1
     if n <= 0:
-        return np.zeros(0, np.int64), grams
-    at = np.empty(n, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    for part in batches(n, 1 << 16):
-        at[part] = view[part].argmin(axis=1) + np.arange(part.start, part.stop)
-    return at, grams
+        return np.zeros(0, np.uint64)
+    blocks = np.full(-(-len(grams) // span) * span, ~np.uint64(0))
+    blocks[:len(grams)] = grams
+    blocks = blocks.reshape(-1, span)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[span - 1:span - 1 + n])
+
+
+def stretches(of_window: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows of runs with one anchor, cut after ``most`` windows."""
+    first = np.flatnonzero(np.append(True, of_window[1:] != of_window[:-1])[:len(of_window)])
+    length = np.diff(np.append(first, len(of_window)))
+    parts = -(-length // most)
+    first = np.repeat(first, parts)
+    step = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = first + step * most
+    return first, np.append(first[1:], len(of_window)) - 1
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -117,13 +140,11 @@ def _profile(rows: Iterator, window: int, gram: int) -> Iterator:
     for batch in rows:
         n_words, first, second, found = [], [], [], []
         for t in batch.column(2):
-            words = split_words(t.as_py())
-            h = word_hashes(words)
-            at, grams = anchors(h, window, gram)
-            n_words.append(len(words))
+            h = word_hashes(t.as_py())
+            n_words.append(len(h))
             first.append(rolling(h, len(h))[0] if len(h) else np.uint64(0))
             second.append(rolling(h, len(h), 1)[0] if len(h) else np.uint64(0))
-            found.append(_signed(np.unique(grams[at])))
+            found.append(_signed(np.unique(anchors(h, window, gram))))
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array(n_words, pa.int64()),
             pa.array(_signed(np.array(first, np.uint64))), pa.array(_signed(np.array(second, np.uint64))),
@@ -145,11 +166,9 @@ def _segments(rows: Iterator, window: int, gram: int) -> Iterator:
         out: list[list] = [[] for _ in names]
         for doc_id, text_hash, text, repeated, hot in zip(*(batch.column(i).to_pylist() for i in range(5))):
             words = split_words(text)
-            h = word_hashes(words)
-            at, grams = anchors(h, window, gram)
-            of_window = _signed(grams[at])
-            edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            last = np.append(edge[1:], len(at)) - 1
+            h = word_hashes(text)
+            of_window = _signed(anchors(h, window, gram))
+            edge, last = stretches(of_window, window - gram + 1)
             wanted = np.isin(of_window[edge], np.array(repeated, np.int64))
             is_hot = np.isin(of_window[edge], np.array(hot, np.int64))
             for a, b in zip(edge[wanted & ~is_hot].tolist(), last[wanted & ~is_hot].tolist()):
@@ -384,3 +403,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, **
         .mapInArrow(lambda rows: _cut(rows, window),
                     "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
     )
+
+
+ORACLE = """
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    win AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS words FROM (
+            SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM (
+            SELECT *, min(doc_id) OVER (PARTITION BY words) AS least FROM win) WHERE least < doc_id),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS words FROM (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d)
+        ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+        sha256(coalesce(words, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""

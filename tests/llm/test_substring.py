@@ -78,3 +78,21 @@ def test_index_finds_windows_of_smaller_owners(sequences, data):
         assert hit.tolist() == [
             any(s[a:a + 4] == other[b:b + 4] for other, o in zip(sequences, owners) if o < owner
                 for b in range(len(other) - 3)) for a in range(len(s) - 3)]
+
+
+@pytest.mark.parametrize("text", ["", " \t", "a", "  ab\x0bé\x85 c\n\nab ", "x" * 50 + " y"])
+def test_word_hashes_by_words(text, monkeypatch):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    assert substring_dedup.split_words(text) == [w.encode() for w in words]
+    whole = substring_dedup.word_hashes(text)
+    assert len(whole) == len(words)
+    assert [whole[i] == whole[j] for i in range(len(words)) for j in range(len(words))] == [
+        a == b for a in words for b in words]
+    monkeypatch.setattr(substring_dedup, "_BLOCK", 3)
+    assert substring_dedup.word_hashes(text).tolist() == whole.tolist()
+
+
+def test_stretches_are_cut():
+    first, last = substring_dedup.stretches(np.array([7, 7, 7, 7, 7, 1, 7]), 2)
+    assert first.tolist() == [0, 2, 4, 5, 6] and last.tolist() == [1, 3, 4, 5, 6]
+    assert substring_dedup.stretches(np.zeros(0, np.int64), 2)[0].tolist() == []
