@@ -40,29 +40,34 @@ def _shape(word: str) -> int:
 
 
 class Features:
-    """Bucket numbers of the n-grams of a text; words are hashed once."""
+    """Bucket numbers of the n-grams of a text; words are hashed once and kept up to a bound."""
 
-    def __init__(self, max_words: int = 400_000):
-        self._known: dict[str, int] = {}
-        self._hash: list[int] = []
-        self._shape: list[int] = []
+    def __init__(self, max_words: int = 150_000):
         self._max = max_words
+        self._known: dict[str, int] = {}
+        self._hash = np.zeros(1024, np.uint64)
+        self._shape = np.zeros(1024, np.uint64)
+
+    def _learn(self, new: set[str]) -> None:
+        known, start = self._known, len(self._known)
+        room = start + len(new)
+        if room > len(self._hash):
+            self._hash, self._shape = (
+                np.concatenate([x, np.zeros(room, np.uint64)]) for x in (self._hash, self._shape))
+        for k, w in enumerate(new, start):
+            known[w] = k
+            self._hash[k] = xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass"), 1)
+            self._shape[k] = _shape(w)
 
     def buckets(self, text: str | None) -> np.ndarray:
         words = (text or "").split()
-        known = self._known
-        if len(known) > self._max:
-            known.clear()
-            self._hash, self._shape = [], []
-        for w in set(words).difference(known):
-            known[w] = len(self._hash)
-            self._hash.append(xxhash.xxh64_intdigest(w.lower().encode("utf-8", "surrogatepass"), 1))
-            self._shape.append(_shape(w))
-        codes = [known[w] for w in words]
-        if not codes:
+        if not words:
             return np.zeros(0, np.int64)
-        h = np.array([self._hash[c] for c in codes], np.uint64)
-        s = np.array([self._shape[c] for c in codes], np.uint64)
+        if len(self._known) > self._max:
+            self.__init__(self._max)
+        self._learn(set(words).difference(self._known))
+        codes = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        h, s = self._hash[codes], self._shape[codes]
         s[1:] |= (h[1:] == h[:-1]).astype(np.uint64) << np.uint64(12)
         s = (s + np.uint64(1)) * _PRIME
         with np.errstate(over="ignore"):
