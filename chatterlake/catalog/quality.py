@@ -34,7 +34,8 @@ def _(lake):
     FROM hits ORDER BY {PAGE} LIMIT 50 OFFSET 50""")
 def _(lake):
     page = V.search_posts(
-        lake.gold_post_search, 50, 50, keyword="TION", start="2024-01-02", end="2024-01-29"
+        lake.gold_post_search, 50, 50, lake.folder("work/search"), keyword="TION",
+        start="2024-01-02", end="2024-01-29",
     )
     return V.with_total(page).select(
         "id", F.md5("post_text").alias("text_md5"), "posted_at", "total"
@@ -240,9 +241,9 @@ def _(lake):
     WHERE crawl_run_id = 'cr-click-2024-01-05'""")
 def _(lake):
     parts = [("request", {"search_request_id": "sr-view"}),
-             ("run", {"crawl_run_id": "cr-click-2024-01-05"})]
+             ("run", {"search_request_id": "sr-click", "crawl_run_id": "cr-click-2024-01-05"})]
     return V.union_all([
-        V.newest(V.lookup(lake.bronze_posts, **key), "fetched_at")
+        V.lookup(lake.bronze_posts, **key)
         .select(F.lit(owner).alias("owner"), "id", "fetched_at") for owner, key in parts
     ])
 

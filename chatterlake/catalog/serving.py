@@ -220,7 +220,8 @@ def _(lake):
     SELECT id, {CARD}, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY {PAGE} LIMIT 50""")
 def _(lake):
     return _short(V.post_explorer(
-        lake.gold_post_search, 50, 0, keyword="an", sentiment="positive", platform="reddit"
+        lake.gold_post_search, 50, 0, lake.folder("work/explorer"), keyword="an",
+        sentiment="positive", platform="reddit",
     ))
 
 

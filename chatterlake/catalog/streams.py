@@ -134,12 +134,15 @@ def _(lake):
     return J.latest_state(lake.spark.read.parquet(f"{out}/rows"), [*_DAY_KEYS, "item"])
 
 
-@query("stream_token_usage", f"SELECT hour, hour_tokens FROM ({USAGE})")
+@query("stream_token_usage", f"""
+    SELECT *, hour_tokens > 10000 AS over_hourly, day_tokens > 150000 AS over_daily
+    FROM ({USAGE})""")
 def _(lake):
     out = lake.fresh("stream_tokens")
     usage = J.token_stream(_stream(lake, "token_events", 4), WHOLE_RANGE)
     _run(usage, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
-    return J.latest_state(lake.spark.read.parquet(f"{out}/rows"), ["hour"])
+    hours = J.latest_state(lake.spark.read.parquet(f"{out}/rows"), ["hour"])
+    return B.budget_state(hours, hourly=10_000, daily=150_000)
 
 
 @query("foreach_batch_gold", """

@@ -30,6 +30,13 @@ def token_usage(
     hours = events.groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.sum("tokens").alias("hour_tokens")
     ).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "hour_tokens")
+    return budget_state(hours, hourly, daily)
+
+
+def budget_state(
+    hours: DataFrame, hourly: int = HOURLY_BUDGET, daily: int = DAILY_BUDGET
+) -> DataFrame:
+    """Day totals and budget flags for hourly sums (hour, hour_tokens), stored or streamed."""
     day = F.to_date("hour")
     so_far = Window.partitionBy(day).orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
     return hours.select(

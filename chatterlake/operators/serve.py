@@ -12,6 +12,7 @@ from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
 from chatterlake.functions.times import ntz
 from chatterlake.operators.gold import rank_items, tag_counts
+from chatterlake.storage import write_table
 
 Moment = str | date | datetime
 
@@ -87,11 +88,22 @@ class Page(NamedTuple):
     total: DataFrame
 
 
-def search_posts(gold: DataFrame, limit: int | None = None, offset: int = 0, **filters) -> Page:
-    """One page of :func:`matching_posts`, newest first, and the total number of matches."""
+def search_posts(
+    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None, **filters
+) -> Page:
+    """One page of :func:`matching_posts`, newest first, and the total number of matches.
+
+    With a folder ``work`` the texts are searched once: ids and times of the matches are written there,
+    counted and paged, and only the campaigns on the page are read again.
+    """
     hits = matching_posts(gold, **filters)
-    total = hits.agg(F.count(F.lit(1)).alias("total"))
-    return Page(take_page(hits.orderBy(*newest_first()), limit, offset), total)
+    if work is None:
+        total = hits.agg(F.count(F.lit(1)).alias("total"))
+        return Page(take_page(hits.orderBy(*newest_first()), limit, offset), total)
+    found = write_table(hits.select("search_request_id", "id", "posted_at"), work)
+    page = take_page(found.orderBy(*newest_first()), limit, offset)
+    rows = gold.join(page.select("search_request_id", "id"), ["search_request_id", "id"], "left_semi")
+    return Page(rows.orderBy(*newest_first()), found.agg(F.count(F.lit(1)).alias("total")))
 
 
 def with_total(page: Page) -> DataFrame:
@@ -120,10 +132,10 @@ def post_card() -> list[Column]:
 
 
 def post_explorer(
-    gold: DataFrame, limit: int | None = None, offset: int = 0, **filters
+    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None, **filters
 ) -> DataFrame:
     """Search result as cards with the real total."""
-    page = search_posts(gold, limit, offset, **filters)
+    page = search_posts(gold, limit, offset, work, **filters)
     return page.rows.select("id", *post_card()).withColumn("total", page.total.scalar())
 
 
