@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 18
+BUCKET_BITS = 18
+BUCKETS = 1 << BUCKET_BITS
 #: Bound of the training set; documented limit of this operator.
 TRAINING_ROWS = 16_000
 LEARNERS = 8
@@ -75,7 +76,7 @@ class Features:
             every = np.concatenate([h, s, *pairs])
             every ^= every >> np.uint64(32)
             every *= _PRIME
-        return (every >> np.uint64(64 - 18)).astype(np.int64)
+        return (every >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 _worker = Features()

@@ -319,11 +319,15 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
     profile = write_table(
         keyed.mapInArrow(lambda rows: _profile(rows, window, gram), _PROFILE), fresh_path(spark, "profiles"))
     same = ["words_a", "words_b", "n_words"]
-    least = profile.groupBy(*same).agg(F.min("doc_id").alias("least"))
+    # stored first, so that the join can be split where a third of all rows are copies of one text
+    least = write_table(
+        profile.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) & (F.col("n_words") >= window)).drop("n"),
+        fresh_path(spark, "copied-texts"))
     marked = write_table(
-        profile.drop("anchors").join(least, same).select(
+        profile.drop("anchors").join(least, same, "left").select(
             "doc_id", "text_hash", "n_words",
-            ((F.col("doc_id") > F.col("least")) & (F.col("n_words") >= window)).alias("copied")).distinct(),
+            F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copied")).distinct(),
         fresh_path(spark, "marked"))
     places = profile.where(F.col("n_words") >= window).join(
         marked.where(~F.col("copied")).select("doc_id", "text_hash"), ["doc_id", "text_hash"]
