@@ -85,15 +85,17 @@ def _(lake):
     return K.extract_topic(lake.source("documents"), "doc_id", work=lake.folder("work/topics"))
 
 
-# Raw model labels in several spellings, one per labelled document.
-_RAW_LABELS = [" Positive ", "LABEL_0", "label_1", "NEGATIVE", "label_2 ", "other"]
-
-
-@query("map_sentiment_label", f"""
-    SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN 'positive'
-        WHEN doc_id % 6 IN (3, 4) THEN 'negative' ELSE 'neutral' END AS label FROM labels""")
+@query("map_sentiment_label", """
+    SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive'
+        ELSE 'neutral' END AS label FROM labels""")
 def _(lake):
-    raw = F.get(F.array(*[F.lit(v) for v in _RAW_LABELS]), (F.col("doc_id") % 6).cast("int"))
+    """Raw labels as models spell them, one per labelled document."""
+    bad, good = F.col("toxic") == 1, F.col("quality") == 1
+    raw = (
+        F.when(bad & good, F.lit("label_2 ")).when(bad, F.lit("NEGATIVE"))
+        .when(good, F.when(F.col("doc_id") % 2 == 0, F.lit(" Positive ")).otherwise(F.lit("LABEL_0")))
+        .otherwise(F.when(F.col("doc_id") % 2 == 0, F.lit("label_1")).otherwise(F.lit("other")))
+    )
     return lake.source("labels").select("doc_id", M.map_sentiment_label(raw).alias("label"))
 
 
@@ -161,11 +163,12 @@ def _(lake):
 
 
 @query("provider_routing", """
-    SELECT id, CASE WHEN silver_post_id % 3 = 0 THEN 'remote' ELSE 'local' END AS provider
+    SELECT id, CASE WHEN status = 'failed' THEN 'remote' ELSE 'local' END AS provider
     FROM ai_jobs""")
 def _(lake):
-    k = F.col("silver_post_id") % 3
-    override = F.when(k == 0, F.lit("remote")).when(k == 1, F.lit(""))
+    """Failed jobs are sent elsewhere; pending ones have a blank setting, others none."""
+    state = F.col("status")
+    override = F.when(state == "failed", F.lit("remote")).when(state == "pending", F.lit(""))
     return lake.ai_jobs.select(
         "id", K.provider_for(override, F.lit("local")).alias("provider")
     )

@@ -15,6 +15,7 @@ from chatterlake.storage import write_table
 from chatterlake.streaming import streams as J
 
 WHOLE_RANGE = "60 days"
+WHOLE_SECONDS = 60 * 86_400
 ADMIT_LIMIT, ADMIT_HOURS = 3, 6
 
 
@@ -49,14 +50,6 @@ def _(lake):
     return lake.spark.read.parquet(f"{out}/rows").select("id", "keyword", "created_at")
 
 
-@query("stream_dedup", "SELECT DISTINCT platform, platform_id FROM raw_posts")
-def _(lake):
-    out = lake.fresh("stream_dedup")
-    posts = _stream(lake, "raw_posts").select("platform", "platform_id", "fetched_at")
-    _run(J.dedup_stream(posts, WHOLE_RANGE), f"{out}/checkpoint", f"{out}/rows")
-    return lake.spark.read.schema("platform string, platform_id string").parquet(f"{out}/rows")
-
-
 _KEY = "event_type || ':' || user_id % 5"
 
 
@@ -103,6 +96,17 @@ def _decisions(lake, out: str, decided):
     return lake.spark.read.schema("id bigint, admitted boolean").parquet(f"{out}/rows").filter("id >= 0")
 
 
+@query("stream_dedup", "SELECT id, platform, platform_id FROM bronze_posts")
+def _(lake):
+    """Ids of the first arrivals, as the batch operator keeps them."""
+    calls = lake.raw_posts.select(
+        "id", F.concat_ws(":", "platform", "platform_id").alias("key"), F.col("fetched_at").alias("ts"))
+    out, posts = _timed_stream(lake, calls, "stream_dedup")
+    kept = _decisions(lake, out, J.first_arrivals_stream(posts, "key", WHOLE_SECONDS, WHOLE_RANGE))
+    return lake.raw_posts.select("id", "platform", "platform_id").join(
+        kept.filter("admitted").select("id"), "id")
+
+
 @query("stream_dedup_ttl", REPEATS)
 def _(lake):
     out, starts = _timed_stream(lake, _starts(lake), "stream_ttl")

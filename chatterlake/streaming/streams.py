@@ -104,6 +104,17 @@ def dedup_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
     ).drop("event_time")
 
 
+def first_arrivals_stream(
+    posts: DataFrame, key: str, ttl_seconds: int, delay: str = DAILY_DELAY
+) -> DataFrame:
+    """Posts (``key``, ts, id) with ``admitted``: true for the first one of its key by time and id.
+
+    Unlike :func:`dedup_stream`, which keeps what a trigger happens to read first, this waits for the
+    watermark. A key is forgotten ``ttl_seconds`` after its first post.
+    """
+    return admit_stream(posts, key, 1, ttl_seconds, delay)
+
+
 def repeat_requests_stream(
     starts: DataFrame, ttl_seconds: int = REPEAT_SECONDS, delay: str = REPEAT_DELAY
 ) -> DataFrame:
