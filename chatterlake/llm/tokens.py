@@ -120,7 +120,7 @@ def _cache(path: str) -> WordCache:
     return _caches[path]
 
 
-def encode_batches(rows: Iterable, path: str, block_chars: int = 2_000_000) -> Iterator[tuple]:
+def encode_batches(rows: Iterable, path: str, block_chars: int = 1_000_000) -> Iterator[tuple]:
     """(doc_id, ids with the end id) of Arrow batches with columns doc_id, text, in their order."""
     cache = _cache(path)
     end = array("I", [END_ID]).tobytes()
