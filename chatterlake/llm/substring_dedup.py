@@ -11,8 +11,8 @@ statistics are taken at few ends, since a match settles all windows within it an
 windows around it.
 
 An anchor of more than ``HOT_DOCUMENTS`` documents would fill a shard with the many contexts of one
-passage. Its windows travel one by one instead, as segments of their own that go where their own
-hash sends them; equal ones are reduced before and after the shuffle.
+passage. Of its segments, too, equal ones are reduced to one; what is left is told apart window by
+window, each going where its own hash sends it.
 """
 
 from __future__ import annotations
@@ -154,11 +154,12 @@ def _profile(rows: Iterator, window: int, gram: int) -> Iterator:
 
 _PROFILE = "doc_id bigint, text_hash bigint, n_words bigint, words_a bigint, words_b bigint, anchors array<bigint>"
 _SEGMENT = ("doc_id bigint, text_hash bigint, anchor bigint, segment bigint, first bigint, last bigint, "
-            "words binary")
+            "words binary, whole array<bigint>, other array<bigint>")
 
 
 def _segments(rows: Iterator, window: int, gram: int) -> Iterator:
-    """The segments of repeated anchors: windows ``first`` to ``last`` and, unless hot, their words."""
+    """The segments of repeated anchors: windows ``first`` to ``last`` and their words, or, where the
+    anchor is hot, two hashes of each window."""
     import pyarrow as pa
 
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
@@ -171,19 +172,17 @@ def _segments(rows: Iterator, window: int, gram: int) -> Iterator:
             edge, last = stretches(of_window, window - gram + 1)
             wanted = np.isin(of_window[edge], np.array(repeated, np.int64))
             is_hot = np.isin(of_window[edge], np.array(hot, np.int64))
-            for a, b in zip(edge[wanted & ~is_hot].tolist(), last[wanted & ~is_hot].tolist()):
+            hashes = [_signed(rolling(h, window, k)) for k in (0, 1)] if is_hot.any() else None
+            for a, b, apart in zip(*(x[wanted].tolist() for x in (edge, last, is_hot))):
                 part = b" ".join(words[a:b + window])
-                for column, value in zip(out, (doc_id, text_hash, int(of_window[a]),
-                                               xxhash.xxh64_intdigest(part, 5) - (1 << 63), a, b, part)):
+                each = [x[a:b + 1].tolist() for x in hashes] if apart else (None, None)
+                for column, value in zip(out, (
+                        doc_id, text_hash, int(of_window[a]), xxhash.xxh64_intdigest(part, 5) - (1 << 63), a, b,
+                        None if apart else part, *each)):
                     column.append(value)
-            if is_hot.any():
-                whole, other = _signed(rolling(h, window)), _signed(rolling(h, window, 1))
-                lone = np.concatenate([np.arange(a, b + 1) for a, b in zip(edge[is_hot], last[is_hot])])
-                for column, values in zip(out, ([doc_id] * len(lone), [text_hash] * len(lone), whole[lone].tolist(),
-                                                other[lone].tolist(), lone.tolist(), lone.tolist(), [None] * len(lone))):
-                    column.extend(values)
+        kinds = {"words": pa.binary(), "whole": pa.list_(pa.int64()), "other": pa.list_(pa.int64())}
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.binary() if n == "words" else pa.int64()) for c, n in zip(out, names)], names=names)
+            [pa.array(c, kinds.get(n, pa.int64())) for c, n in zip(out, names)], names=names)
 
 
 class FMIndex:
@@ -301,6 +300,20 @@ def _search(shard: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame(out).astype("int64")
 
 
+def _hot_matches(segments: DataFrame) -> DataFrame:
+    """Windows of hot segments that also stand in a segment of a smaller document, by their hashes."""
+    spark = segments.sparkSession
+    hashes = ["whole", "other"]
+    windows = write_table(
+        segments.select("anchor", "segment", "owner", F.posexplode(F.arrays_zip(*hashes)).alias("from_", "h"))
+        .select("anchor", "segment", "owner", "from_", "h.*"), fresh_path(spark, "hot-windows"))
+    least = write_table(
+        windows.groupBy(*hashes).agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1").drop("n"), fresh_path(spark, "hot-repeats"))
+    return windows.join(least, hashes).where("owner > least").select(
+        "anchor", "segment", F.col("from_").cast("bigint"), F.col("from_").cast("bigint").alias("to_"))
+
+
 #: A null doc_id counts as larger than all others.
 def _id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("bigint"), F.lit((1 << 63) - 1))
@@ -344,18 +357,20 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
         .mapInArrow(lambda rows: _segments(rows, window, gram), _SEGMENT), fresh_path(spark, "segments"))
     groups = ["anchor", "segment"]
     # distinct segments with their smallest document; of these, anchors with one segment are settled
-    distinct = segments.groupBy(*groups).agg(F.min("doc_id").alias("owner"), F.first("words").alias("words"),
+    distinct = segments.groupBy(*groups).agg(F.min("doc_id").alias("owner"),
+                                            *[F.first(c).alias(c) for c in ("words", "whole", "other")],
                                             F.first(F.col("last") - F.col("first") + window).alias("size"))
     distinct = write_table(distinct, fresh_path(spark, "distinct-segments"))
-    several = distinct.where("words IS NOT NULL").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    searched = write_table(distinct.join(several.select("anchor"), "anchor", "left_semi"), fresh_path(spark, "searched"))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_ = write_table(distinct.join(several.select("anchor"), "anchor", "left_semi"), fresh_path(spark, "open-segments"))
+    searched = open_.where("words IS NOT NULL").drop("whole", "other")
     size = searched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_words))
     hits = (
         searched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard").applyInPandas(lambda s: _search(s, window), "anchor bigint, segment bigint, from_ bigint, to_ bigint")
     )
-    found = write_table(hits, fresh_path(spark, "matches"))
+    found = write_table(hits.unionByName(_hot_matches(open_.where("whole IS NOT NULL"))), fresh_path(spark, "matches"))
     narrow = segments.select("doc_id", "text_hash", *groups, "first", "last")
     owned = narrow.join(distinct.select(*groups, "owner"), groups)
     ranges = (
