@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake import storage
 from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
 from chatterlake.functions.times import parse_posted_at
@@ -118,18 +119,23 @@ def with_tags(silver: DataFrame, strict_mentions: bool = False) -> DataFrame:
 def _first_only(incoming: DataFrame, key: list[str], first_by: list[str], row: str) -> DataFrame:
     """Drop all but the first row of each key; ``row`` names a row.
 
-    Only keys, order and row names are ranked; the few later rows are then dropped by name. A key
-    with a NULL part equals no other key, so such rows all stay. Of rows that repeat a name, as a
-    batch sent twice does, one stays; no other row is shuffled for that.
+    Only keys, order and row names are ranked. The names of the later rows are written, so Spark knows
+    how few they are before it decides how to drop them, and rows with their texts need not
+    move. A key with a NULL part equals no other key, so such rows all stay. Of rows that repeat a
+    name, as a batch sent twice does, one stays; only those are shuffled for it.
     """
+    spark = incoming.sparkSession
     order = Window.partitionBy(*key).orderBy(*first_by, row)
     narrow = incoming.select(*dict.fromkeys([*key, *first_by, row])).dropna(subset=key)
-    later = (
+    later = storage.write_table(
         narrow.withColumn("_first", F.first(row).over(order)).filter(F.col(row) != F.col("_first"))
-        .select(F.col(row).alias("_later"))
-    )
-    twice = narrow.groupBy(F.col(row).alias("_twice")).count().filter("count > 1").select("_twice")
+        .select(F.col(row).alias("_later")), storage.fresh_path(spark, "later-rows"))
+    twice = storage.write_table(
+        narrow.groupBy(F.col(row).alias("_twice")).count().filter("count > 1").select("_twice"),
+        storage.fresh_path(spark, "repeated-rows"))
     kept = incoming.join(later, F.col(row) == F.col("_later"), "left_anti")
+    if twice.isEmpty():
+        return kept
     same = F.col(row) == F.col("_twice")
     return kept.join(twice, same, "left_anti").unionByName(
         kept.join(twice, same, "left_semi").dropDuplicates([row])
