@@ -361,8 +361,10 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
                                             *[F.first(c).alias(c) for c in ("words", "whole", "other")],
                                             F.first(F.col("last") - F.col("first") + window).alias("size"))
     distinct = write_table(distinct, fresh_path(spark, "distinct-segments"))
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = write_table(distinct.join(several.select("anchor"), "anchor", "left_semi"), fresh_path(spark, "open-segments"))
+    several = write_table(
+        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
+        fresh_path(spark, "open-anchors"))
+    open_ = write_table(distinct.join(several, "anchor", "left_semi"), fresh_path(spark, "open-segments"))
     searched = open_.where("words IS NOT NULL").drop("whole", "other")
     size = searched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_words))

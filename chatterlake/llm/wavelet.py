@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chatterlake.llm.common import arrow_rows
 from chatterlake.llm.tokens import encode_batches, tokenizer_path
 
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 17
 MAGIC = b"WMX1"
 _HEAD = struct.Struct("<4sBQQI")  # magic, planes, tokens, documents, symbols
 _PART = struct.Struct("<QII")  # zeros of a plane, bytes of its bits, bytes of its directory
