@@ -4,8 +4,9 @@ Patterns with a check (a range, a checksum, a number of digits) give the base sp
 propose further, overlapping candidates: numbers that fail the check, phone numbers without a plus
 sign, mail addresses with the signs spelt out. Boosted trees learn from format and context, never from
 the check itself, how likely a candidate of that look passes its check. A kind's threshold is the
-least score above which held-out candidates pass in at least ``PRECISION`` of cases, and candidates above
-it are added to the base spans.
+least score above which candidates pass in at least ``PRECISION`` of cases, by scores of trees that did
+not see their documents and with ``PRIOR`` further cases at the kind's own rate; candidates above it are
+added to the base spans. No number of candidates is asked for, so small tables go by the same rule.
 
 Texts are searched in the row. Features are small integers, so the training set is the table of
 their distinct combinations with counts, whose size is bounded by the number of combinations; the trees
@@ -25,7 +26,8 @@ from chatterlake.storage import fresh_path, write_table
 
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.98
-LEAST_CALIBRATION = 50
+PRIOR = 1.0
+FOLDS = 5
 ROUNDS = 20
 DEPTH = 3
 
@@ -178,34 +180,47 @@ def probability(trees: list) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
+def _scores(trees: list, x: np.ndarray) -> np.ndarray:
+    margin = sum((_tree_value(t, x) for t in trees), np.zeros(len(x)))
+    return 1 / (1 + np.exp(-margin))
+
+
 def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
     """Trees, and per kind the calibrated threshold; a kind without one adds nothing.
 
-    The driver receives one row per distinct combination of features, a number bounded by their
-    ranges. A fifth of the documents, by crc32 of their ids, calibrates and does not train.
+    The driver receives one row per distinct combination of features and fold, a number bounded by
+    their ranges. Documents fall into ``FOLDS`` folds by crc32 of their ids; a fold is scored by trees of
+    the others, and all of them calibrate. The trees returned are those of all documents.
     """
+    fold = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
     table = (
-        found.where("proposed").groupBy(*FEATURES, (crc_bucket(F.col("doc_id"), 5) == 0).alias("held"))
-        .agg(F.count_if("passed").alias("good"), F.count_if(~F.col("passed")).alias("bad")).collect()
+        found.where("proposed").groupBy(*FEATURES, fold.alias("fold"))
+        .agg(F.count_if("passed").alias("good"), F.count_if(~F.col("passed")).alias("bad"))
+        .orderBy(*FEATURES, "fold").collect()
     )
+    if not table:
+        return [], {}
     x = np.array([[r[f] for f in FEATURES] for r in table], np.int64).reshape(len(table), len(FEATURES))
-    held = np.array([bool(r.held) for r in table], bool)
+    folds = np.array([r.fold for r in table], np.int64)
     good, bad = (np.array([r[c] for r in table], float) for c in ("good", "bad"))
-    if held.all():
-        return [], {}
-    trees = fit_trees(x[~held], good[~held], bad[~held])
-    margin = sum(_tree_value(t, x) for t in trees)
-    score = 1 / (1 + np.exp(-margin))
+    score = np.zeros(len(x))
+    for k in set(folds):
+        seen = folds != k
+        trees = fit_trees(x[seen], good[seen], bad[seen]) if seen.any() else []
+        score[~seen] = _scores(trees, x[~seen])
     thresholds = {}
     for kind in range(len(KINDS)):
-        rows = np.flatnonzero(held & (x[:, 0] == kind))
+        rows = np.flatnonzero(x[:, 0] == kind)
+        if not len(rows):
+            continue
         rows = rows[np.argsort(-score[rows], kind="stable")]
         passed, seen = good[rows].cumsum(), (good[rows] + bad[rows]).cumsum()
-        last = np.append(score[rows][1:] < score[rows][:-1], True)[:len(rows)]  # ties stay together
-        fit = np.flatnonzero(last & (passed >= PRECISION * seen) & (seen >= LEAST_CALIBRATION))
+        last = np.append(score[rows][1:] < score[rows][:-1], True)  # ties stay together
+        rate = passed[-1] / seen[-1]
+        fit = np.flatnonzero(last & (passed + PRIOR * rate >= PRECISION * (seen + PRIOR)))
         if len(fit):
             thresholds[kind] = float(score[rows][fit[-1]])
-    return trees, thresholds
+    return fit_trees(x, good, bad), thresholds
 
 
 def spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:

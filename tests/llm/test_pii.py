@@ -82,6 +82,16 @@ def test_look_alikes_are_added(spark):
     assert clean[0] == "w0 ring [phone] or [email] ok" and clean[601] == texts[601]
 
 
+@pytest.mark.parametrize("n", [12, 60, 240])
+def test_thresholds_at_every_size(spark, n):
+    # as before the number of held-out candidates decided, 12 and 60 mail addresses gave no threshold
+    texts = [f"w{i} write to me{i}@mail.example.com ok" for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees, thresholds = pii.learn(pii.candidates(pii._searched(docs, "text")))
+    assert trees and 0 in thresholds
+    assert pii.learn(pii.candidates(pii._searched(docs.limit(0), "text"))) == ([], {})
+
+
 def test_trees_separate_and_calibrate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 6, (300, 3))
