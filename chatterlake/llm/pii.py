@@ -2,12 +2,20 @@
 
 Patterns with a check (a range, a checksum, a number of digits) give the base spans. Broader generators
 propose further, overlapping candidates: numbers that fail the check, phone numbers without a plus
-sign, mail addresses with the signs spelt out. Boosted trees learn from format and context, never from
+sign, mail addresses with the signs spelt out. A spelt-out address is written plainly first, and look
+and check are those of the plain form. Boosted trees learn from format and context, never from
 the check itself, how likely a candidate of that look passes its check. A kind's threshold is the
 least score above which candidates pass in at least ``PRECISION`` of cases, by scores of trees that did
 not see their documents and with ``PRIOR`` further cases at the kind's own rate; candidates above it are
 added to the base spans. No number of candidates is asked for, so small tables go by the same rule.
 
+No check can accept a number without its plus sign, so failing it says nothing: such numbers are open.
+The trees tell them from numbers with a plus by look; the share of phone numbers among the open ones is
+the largest that leaves no score with fewer open numbers than that share of phone numbers would bring,
+and the threshold is the least score above which the open ones are phone numbers in ``PRECISION`` of cases
+by that estimate. It takes phone numbers with and without a plus to look alike otherwise, however many
+of each there are, and look-alikes to differ from them in some look.
+
 Texts are searched in the row. Features are small integers, so the training set is the table of
 their distinct combinations with counts, whose size is bounded by the number of combinations; the trees
 are fitted to that table and scored as a column expression.
@@ -85,44 +93,51 @@ def _class(c: Column) -> Column:
     return (F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"[\p{L}\p{N}]"), 2).otherwise(3))
 
 
+#: A domain name or an address behind the at sign, for spelt-out mail addresses.
+_HOST = rf"@(?:.*\.[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]|{_OCTET}(?:\.{_OCTET}){{3}})$"
+
 FEATURES = ["kind", "digits", "groups", "length", "dots", "brackets", "left", "right", "cue", "lead"]
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """One row per match with its place (code points), its features and whether it passes its check."""
     order = Window.partitionBy("row_no", "search").orderBy("at")
-    m, digits = F.col("m"), F.length(F.regexp_replace("m", "[^0-9]", ""))
+    search = F.col("search")
+    plain = F.regexp_replace(F.regexp_replace("m", _AT, "@"), _DOT, ".")
+    m = F.when(search == 4, plain).otherwise(F.col("m"))
+    digits = F.length(F.regexp_replace(m, "[^0-9]", ""))
     kinds = F.array(*[F.lit(k) for k, _, _ in _SEARCHES])
     placed = (
         found.select("row_no", "doc_id", F.posexplode("found").alias("at", "x")).select("row_no", "doc_id", "at", "x.*")
         .withColumn("end", F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(order))
         .withColumn("head", F.lead("head").over(order))
-        .where(m.isNotNull())
+        .where(F.col("m").isNotNull())
     )
-    search = F.col("search")
     passed = (
         F.when(search == 0, True)
         .when(search == 1, m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
         .when(search == 2, digits.between(14, 19) & F.call_function("luhn_check", F.regexp_replace("m", r"[\x20-]", "")))
         .when(search == 3, digits.between(10, 15))
-        .when(search == 5, digits.between(10, 15) & F.col("before").endswith("+"))
-        .otherwise(False)
+        .when(search == 4, m.rlike(_HOST))
+        .otherwise(digits.between(10, 15) & F.col("before").endswith("+"))
     )
     proposed = (
-        F.when(search == 2, digits.between(13, 19)).when(search == 5, digits.between(7, 15)).otherwise(search != 3))
+        F.when(search == 2, digits.between(13, 19)).when(search == 4, passed)
+        .when(search == 5, digits.between(7, 15)).otherwise(search != 3))
     before = F.regexp_replace("before", r"\+$", "")
     return placed.select(
         "row_no", "doc_id", "search", F.element_at(kinds, search + 1).alias("kind"),
         (F.col("end") - F.length("m")).alias("start"), "end", passed.alias("passed"),
         ((search <= 3) & passed).alias("base"), proposed.alias("proposed"),
+        ((search == 5) & ~F.col("before").endswith("+")).alias("open"),
         F.least(digits, F.lit(20)).alias("digits"),
-        F.least(F.size(F.split("m", "[^0-9A-Za-z]+")), F.lit(7)).alias("groups"),
-        F.least(F.floor(F.length("m") / 4), F.lit(9)).cast("int").alias("length"),
-        F.least(F.length("m") - F.length(F.replace("m", F.lit("."))), F.lit(4)).alias("dots"),
+        F.least(F.size(F.split(m, "[^0-9A-Za-z]+")), F.lit(7)).alias("groups"),
+        F.least(F.floor(F.length(m) / 4), F.lit(9)).cast("int").alias("length"),
+        F.least(F.length(m) - F.length(F.replace(m, F.lit("."))), F.lit(4)).alias("dots"),
         m.contains("(").cast("int").alias("brackets"),
         _class(F.right(before, F.lit(1))).alias("left"), _class(F.left("head", F.lit(1))).alias("right"),
         before.rlike(CUES).cast("int").alias("cue"),
-        F.when(m.rlike("^[0-9]"), F.left("m", F.lit(1)).try_cast("int")).otherwise(F.lit(10)).alias("lead"),
+        F.when(m.rlike("^[0-9]"), F.left(m, F.lit(1)).try_cast("int")).otherwise(F.lit(10)).alias("lead"),
     )
 
 
@@ -185,6 +200,18 @@ def _scores(trees: list, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-margin))
 
 
+def _alike(positives: np.ndarray, opened: np.ndarray) -> np.ndarray:
+    """Expected positives among the open ones down to each score, of both counts summed by falling score.
+
+    The share of positives among the open ones is bounded at every score by the open ones seen there
+    over those that it would bring; both counts are taken two and one standard deviations wide.
+    """
+    most = (opened + 1 + 2 * np.sqrt(opened + 1)) / (opened[-1] + 1)
+    least = np.maximum(positives - np.sqrt(positives), positives / 4) / positives[-1]
+    share = min(1.0, (most[least > 0] / least[least > 0]).min())
+    return np.minimum(opened, share * opened[-1] * positives / positives[-1])
+
+
 def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
     """Trees, and per kind the calibrated threshold; a kind without one adds nothing.
 
@@ -195,18 +222,19 @@ def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
     fold = F.coalesce(crc_bucket(F.col("doc_id"), FOLDS), F.lit(0)).cast("int")
     table = (
         found.where("proposed").groupBy(*FEATURES, fold.alias("fold"))
-        .agg(F.count_if("passed").alias("good"), F.count_if(~F.col("passed")).alias("bad"))
+        .agg(F.count_if("passed").alias("good"), F.count_if(~F.col("passed") & ~F.col("open")).alias("bad"),
+             F.count_if("open").alias("open"))
         .orderBy(*FEATURES, "fold").collect()
     )
     if not table:
         return [], {}
     x = np.array([[r[f] for f in FEATURES] for r in table], np.int64).reshape(len(table), len(FEATURES))
     folds = np.array([r.fold for r in table], np.int64)
-    good, bad = (np.array([r[c] for r in table], float) for c in ("good", "bad"))
+    good, bad, opened = (np.array([r[c] for r in table], float) for c in ("good", "bad", "open"))
     score = np.zeros(len(x))
     for k in set(folds):
         seen = folds != k
-        trees = fit_trees(x[seen], good[seen], bad[seen]) if seen.any() else []
+        trees = fit_trees(x[seen], good[seen], (bad + opened)[seen]) if seen.any() else []
         score[~seen] = _scores(trees, x[~seen])
     thresholds = {}
     for kind in range(len(KINDS)):
@@ -214,13 +242,18 @@ def learn(found: DataFrame) -> tuple[list, dict[int, float]]:
         if not len(rows):
             continue
         rows = rows[np.argsort(-score[rows], kind="stable")]
-        passed, seen = good[rows].cumsum(), (good[rows] + bad[rows]).cumsum()
+        passed, seen, prior = good[rows].cumsum(), (good[rows] + bad[rows]).cumsum(), PRIOR
+        if opened[rows].any():  # what is added are open ones, so they alone are judged
+            if len(set(folds[rows][good[rows] > 0])) < 2:
+                continue  # no trees have seen a number with a plus that they did not learn
+            seen, prior = (bad[rows] + opened[rows]).cumsum(), 0.0  # _alike has its own
+            passed = _alike(passed, opened[rows].cumsum())
         last = np.append(score[rows][1:] < score[rows][:-1], True)  # ties stay together
         rate = passed[-1] / seen[-1]
-        fit = np.flatnonzero(last & (passed + PRIOR * rate >= PRECISION * (seen + PRIOR)))
+        fit = np.flatnonzero(last & (passed + prior * rate >= PRECISION * (seen + prior)))
         if len(fit):
             thresholds[kind] = float(score[rows][fit[-1]])
-    return fit_trees(x, good, bad), thresholds
+    return fit_trees(x, good, bad + opened), thresholds
 
 
 def spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -236,7 +269,7 @@ def spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     trees, thresholds = learn(found)
     least = reduce(lambda c, k: c.when(F.col("kind") == k, thresholds[k]), thresholds, F.when(F.lit(False), 0.0))
     scored = found.withColumn("score", probability(trees))
-    chosen = scored.where(F.col("base") | (F.col("proposed") & ~F.col("passed") & (F.col("score") >= least)))
+    chosen = scored.where(F.col("base") | (F.col("proposed") & (F.col("score") >= least)))
     order = Window.partitionBy("row_no").orderBy("start")
     earlier = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     later = order.rangeBetween(Window.currentRow, Window.unboundedFollowing)

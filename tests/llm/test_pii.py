@@ -92,6 +92,22 @@ def test_thresholds_at_every_size(spark, n):
     assert pii.learn(pii.candidates(pii._searched(docs.limit(0), "text"))) == ([], {})
 
 
+@pytest.mark.parametrize("share", [5, 20, 50])
+def test_additions_that_are_many(spark, share):
+    # open numbers of another look and spelt-out words without a host stay
+    texts, expected = [], []
+    for i in range(400):
+        rare = i * 37 % 100 < share
+        mail = f"me{i} (at) mail{i} [dot] example [dot] com" if rare else f"me{i}@mail{i}.example.com"
+        phone = f"{'' if rare else '+'}1 ({100 + i % 900}) 555-{1000 + i}"
+        texts.append(f"w{i} ring {phone} or {mail} ok, order {70000000 + i * 7919} look (at) 3.5")
+        a, b = texts[-1].index(phone), texts[-1].index(mail)
+        expected.append(f"phone:{a}:{a + len(phone)},email:{b}:{b + len(mail)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    assert [got[i] for i in range(400)] == expected
+
+
 def test_trees_separate_and_calibrate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 6, (300, 3))
