@@ -1,7 +1,8 @@
 """Packing by Karmarkar-Karp multiway differencing.
 
 A document's ids are cut at multiples of the window size; whole windows stand alone. The
-remainders are collected in groups of ``group`` documents of one task, cut once more at ``grain``,
+remainders of one task are cut once more at ``grain`` and collected in groups of at least ``group``
+tokens, or of ``pieces`` pieces where documents are shorter than ``group / pieces`` tokens,
 and each group is divided over the fewest windows that could hold it. Largest differencing does
 the division: every piece starts as a partition with one loaded window, and the two partitions with
 the largest imbalance are merged with opposing order, fullest window upon emptiest, until one is
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from chatterlake.llm.tokens import ID_BYTES, encode_batches, tokenizer_path
 
 CAPACITY = 1024
-GROUP = 128
+GROUP = 65_536  # tokens
+PIECES = 16_384  # whole windows even of pieces of one token
 GRAIN = 512
 TASK_BITS = 33  # windows of a task are numbered below 2 ** TASK_BITS
 
@@ -66,7 +68,7 @@ def windows(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def _pack(rows: Iterator, path: str, capacity: int, group: int, grain: int) -> Iterator:
+def _pack(rows: Iterator, path: str, capacity: int, group: int, pieces: int, grain: int) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
@@ -76,7 +78,7 @@ def _pack(rows: Iterator, path: str, capacity: int, group: int, grain: int) -> I
     serial = count(first)
     out: list[tuple] = []
     held: list[tuple] = []  # remainders of the group that is being filled
-    documents = tokens = 0
+    tokens = waiting = 0
 
     def batch():
         done = pa.RecordBatch.from_arrays(
@@ -85,12 +87,14 @@ def _pack(rows: Iterator, path: str, capacity: int, group: int, grain: int) -> I
         return done
 
     def divide():
+        nonlocal waiting
         for members in windows([x[2] for x in held], capacity):
             sequence, offset = next(serial), 0
             for i in members:
                 out.append((*held[i], sequence, offset))
                 offset += held[i][2]
         held.clear()
+        waiting = 0
 
     for doc_id, ids in encode_batches(rows, path):
         n = len(ids) // ID_BYTES
@@ -101,10 +105,10 @@ def _pack(rows: Iterator, path: str, capacity: int, group: int, grain: int) -> I
         for a in range(tail, n, grain):
             b = min(a + grain, n)
             held.append((doc_id, a, b - a, ids[a * ID_BYTES:b * ID_BYTES], n))
-        documents, tokens = documents + 1, tokens + n
-        if documents % group == 0:
+        tokens, waiting = tokens + n, waiting + n - tail
+        if waiting >= group or len(held) >= pieces:
             divide()
-        if out and tokens >= 2_000_000:
+        if out and (tokens >= 2_000_000 or len(out) >= 2 * pieces):
             tokens = 0
             yield batch()
     divide()
@@ -113,7 +117,7 @@ def _pack(rows: Iterator, path: str, capacity: int, group: int, grain: int) -> I
 
 
 def pack(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
-         capacity: int = CAPACITY, group: int = GROUP, grain: int = GRAIN) -> DataFrame:
+         capacity: int = CAPACITY, group: int = GROUP, pieces: int = PIECES, grain: int = GRAIN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``ids`` holds little-endian unsigned 32-bit token ids; each document ends with id 0, so a
@@ -124,6 +128,6 @@ def pack(docs: DataFrame, text: str = "text", tokenizer: str | None = None,
     path = tokenizer or tokenizer_path()
 
     def run(rows):
-        return _pack(rows, path, capacity, group, grain)
+        return _pack(rows, path, capacity, group, pieces, grain)
 
     return docs.select("doc_id", text).mapInArrow(run, _SCHEMA)

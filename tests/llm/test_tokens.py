@@ -113,6 +113,19 @@ def test_packing_query(spark):
     assert filled > 0.97
 
 
+@pytest.mark.parametrize("words", [0, 2, 8, 19])
+def test_short_documents_fill_windows(spark, words):
+    # groups of 128 texts were 12 to 83 % full
+    texts = {i: " ".join(["a"] * words) for i in range(20_000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs).select("doc_id", "length", "sequence_id").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    fills: dict = {}
+    for r in rows:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert max(fills.values()) <= 1024 and sum(fills.values()) > 0.97 * 1024 * len(fills)
+
+
 def test_packing_odd_rows(spark, odd):
     from pyspark.sql import functions as F
 
