@@ -2,12 +2,14 @@
 
 Each response yields a ``metadata`` record (title, language, digest, source headers, links) and a
 ``conversion`` record (its plain text). Both refer to the response by its record id and keep its
-target and date. Everything is a column expression in the row: nothing is shuffled, and records of
+target and date. Everything is a function of the row: nothing is shuffled, and records of
 one host or one page never meet in a task. Digests are labelled SHA-256 values in hexadecimal.
 """
 
 from __future__ import annotations
 
+import html as references
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,31 @@ def _record_id(*parts: Column) -> Column:
         shown, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: hidden parts and tags removed, blocks on lines of their own."""
+def _decoded(text: Column) -> Column:
+    """All named and numeric character references as HTML 5 reads them; a non-breaking space as a space."""
+    @F.arrow_udf("string")
+    def decode(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else references.unescape(t).replace("\xa0", " ")
+                         for t in texts.to_pylist()], pa.string())
+
+    return decode(text)
+
+
+def plain_text(html: Column, every_reference: bool = True) -> Column:
+    """Text of a page: hidden parts and tags removed, blocks on lines of their own, references decoded.
+
+    Without ``every_reference`` only the six of ``_ENTITIES`` are, as the SQL form has it.
+    """
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
     text = F.regexp_replace(text, _BLOCK, "\n")
     text = F.regexp_replace(text, _TAG, "")
-    for entity, sign in _ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(sign))
+    if every_reference:
+        text = _decoded(text)
+    else:
+        for entity, sign in _ENTITIES:
+            text = F.replace(text, F.lit(entity), F.lit(sign))
     text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
     return F.btrim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
@@ -66,12 +86,13 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
         payload.alias("payload"), _digest(payload).alias("payload_digest"))
 
 
-def derive(source: DataFrame) -> DataFrame:
+def derive(source: DataFrame, every_reference: bool = True) -> DataFrame:
     """Two records per response, in the columns of a WARC header and its block.
 
     ``source`` has page_id, record_id, target_uri, warc_date, http_headers, payload and
     payload_digest; its other columns are ignored. Responses that repeat give records that repeat,
     with the same ids. An empty payload has an empty conversion; an empty table gives no records.
+    ``every_reference`` is that of ``plain_text``.
     """
     payload = F.col("payload")
     title = F.btrim(F.regexp_replace(F.regexp_extract(payload, _TITLE, 1), "\\s+", " "), F.lit(" "))
@@ -87,7 +108,7 @@ def derive(source: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"),
                  described.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),
-                 plain_text(payload).alias("block")))
+                 plain_text(payload, every_reference).alias("block")))
     made = source.select("page_id", "record_id", "target_uri", "warc_date", "payload_digest",
                          F.explode(kinds).alias("r"))
     return made.select(

@@ -1,6 +1,8 @@
 """Derivative records against SQL, and their links and bytes."""
 
 import hashlib
+import html
+import html.entities
 
 import parity
 
@@ -41,3 +43,15 @@ def test_records_of_odd_pages(spark):
         assert fields["WARC-Refers-To"] == r.refers_to and fields["WARC-Type"] == r.warc_type
         assert body[:int(fields["Content-Length"])].decode() == r.block and body.endswith(b"\r\n\r\n")
         assert ("WARC-Target-URI" in fields) == (r.target_uri is not None)
+
+
+def test_every_reference_is_decoded(spark):
+    texts = [f"a {name if name[-1] == ';' else name + ' '} b" for name in ("&" + n for n in html.entities.html5)]
+    texts += ["&copy; 2024 &middot; &#169;&#xA9;&#XA9;", "&amp;copy; &#0; &#xD800; &#1114112; &#128; &unknown; & &;", "plain"]
+    pages = spark.createDataFrame([(i, "u", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id long, url string, html string")
+    got = {r.page_id: r.block for r in derivatives.derive(derivatives.responses(pages)).collect() if r.warc_type == "conversion"}
+    for i, t in enumerate(texts):
+        assert " ".join(got[i].split()) == " ".join(html.unescape(t).split()), t
+    footer = [r.block for r in derivatives.derive(derivatives.responses(spark.read.parquet(f"{SMALL}/pages.parquet"))).collect()
+              if r.warc_type == "conversion"]
+    assert footer and not any("&copy;" in b or "&middot;" in b for b in footer) and any("©" in b for b in footer)
