@@ -3,8 +3,9 @@
 Training counts hashed byte trigrams of letters per language, over all training documents; the
 counts form one table of ``BUCKETS`` likelihoods per language. A document is a mixture: expectation-
 maximisation estimates each language's share from the likelihoods of its trigrams. The languages are
-then ranked by share, the mixture is fitted anew to the best one, two, three and so on, and the set with
-the highest likelihood, less a penalty for each further language, is the answer.
+then ranked by share, the mixture is fitted anew to the best one, two, three and so on up to all, and the
+set with the highest likelihood, less a penalty for each further language, is the answer. Sizes that
+cannot win, as even the best mixture of all languages would not outweigh their penalty, are not fitted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 SMOOTHING = 0.05
 STEPS = 20
-MOST_LANGUAGES = 4
 UNDETERMINED = "und"
 
 _PLAIN = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
@@ -109,17 +109,21 @@ def identify(text: str | None, model: Model) -> list[tuple[str, float]]:
     gram, counts = np.unique(grams, return_counts=True)
     counts = counts.astype(np.float32)
     rows = model.likelihood[gram]
-    share, _ = mixture(rows, counts)
+    share, fit = mixture(rows, counts)
     ranked = np.argsort(-share, kind="stable")
     # a further language costs two free numbers: that it is there, and its share
     penalty = np.log(len(grams) + 1)
+    # no shares fit better than this: the log-likelihood is concave, and its slopes bound what is left
+    slopes = (counts / (rows @ share)).astype(np.float64) @ rows / len(grams)
+    most = fit + len(grams) * max(0.0, float(np.log(slopes.max())))
     best, answer = -np.inf, None
-    for size in range(1, min(MOST_LANGUAGES, len(ranked)) + 1):
+    for size in range(1, len(ranked) + 1):
+        if most - penalty * size <= best:
+            break
         chosen = ranked[:size]
         part, fit = mixture(rows[:, chosen], counts)
-        if fit - penalty * size <= best:
-            break
-        best, answer = fit - penalty * size, (chosen, part)
+        if fit - penalty * size > best:
+            best, answer = fit - penalty * size, (chosen, part)
     chosen, part = answer
     order = np.argsort(-part, kind="stable")
     return [(model.languages[chosen[i]], float(part[i])) for i in order]

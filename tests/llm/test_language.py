@@ -44,3 +44,15 @@ def test_shares_by_hand():
     likelihood = np.array([[1.0, 0.0], [0.0, 1.0]], np.float32) * 0.999 + 0.0005
     share, _ = language.mixture(likelihood, np.array([3.0, 1.0], np.float32), 200)
     assert np.allclose(share, [0.75, 0.25], atol=0.01)
+
+
+def test_more_than_four_languages(spark):
+    # a language set ended at four languages
+    letters = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "αβγδεζ", "абвгде"]
+    text = {f"l{i}": "".join(s[j % 6] + s[j * j % 5] + s[j // 6 % 6] + " " * (j % 2) for j in range(200)) for i, s in enumerate(letters)}
+    docs = spark.createDataFrame([(i, *x) for i, x in enumerate(text.items())], "doc_id long, lang string, text string")
+    model = language.train(docs)
+    found = dict(language.identify(" ".join(text.values()), model))
+    # a letter of two bytes counts twice: shares of an eighth and a quarter
+    assert set(found) == set(text) and abs(sum(found.values()) - 1) < 1e-3 and 0.12 < min(found.values()) < 0.13
+    assert [x[0] for x in language.identify(text["l4"], model)] == ["l4"]
