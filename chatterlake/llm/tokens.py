@@ -1,17 +1,21 @@
-"""Token ids of whole texts, with the encodings of repeated words kept per worker."""
+"""Token ids of whole texts: a worker encodes every distinct word once and gathers the rest.
+
+A text is cut into words at places where no token of the vocabulary can cross. Words are numbered by
+one look-up each; their ids lie behind one another in one array, so the ids of a block of texts
+are a gather over that array.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from itertools import chain
 from unicodedata import category
 
 import numpy as np
 
-from chatterlake.llm.common import batches
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 0
@@ -19,121 +23,180 @@ ID_BYTES = 4
 BYTE_BPE = "byte_bpe_50k.json"
 
 SPECIAL = "<|endoftext|>"
-#: Characters from here on (ideographs, symbols beyond the basic plane) are left to the library.
-_COVERED = 0x2E80
-_FAR = re.compile(f"[{chr(_COVERED)}-\U0010ffff]")
+MAX_WORDS = 400_000
+
+
+def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(total)
+
+
+class _Numbers(dict):
+    """Word to number; a word that is not there yet gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class WordTable:
+    """Ids of texts that are cut into words by ``cut``; ``learn`` gives the ids of new words.
 
+    At most ``max_words`` words, and those of one block, are kept: beyond that the table starts anew.
+    """
 
-def _class_of(initial: str) -> str:
-    """The covered characters of a general category, as ranges for a character class."""
-    codes = [c for c in range(_COVERED) if category(chr(c))[0] == initial]
+    def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], list[list[int]]],
+                 max_words: int = MAX_WORDS):
+        self._cut, self._learn, self._max_words = cut, learn, max_words
+        self._forget()
+
+    def _forget(self) -> None:
+        self._numbers = _Numbers()
+        self._flat = np.empty(0, "<u4")
+        self._lengths = np.empty(0, np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        ids = self._learn(words)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum()))
+        self._flat = np.concatenate([self._flat, flat])
+        self._lengths = np.concatenate([self._lengths, lengths])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, and where each text's ids end."""
+        numbers = self._numbers
+        before = len(numbers)
+        if before > self._max_words:
+            self._forget()
+            numbers, before = self._numbers, 0
+        cut = [self._cut(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if len(numbers) > before:
+            self._add(list(numbers)[before:])
+        lengths = self._lengths[at]
+        starts = np.cumsum(self._lengths) - self._lengths
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(counts)]
+        return self._flat[gather(starts[at], lengths)], ends
+
+
+def _ranges(of: str, top: int) -> str:
+    """Code points below ``top`` whose general category starts with ``of``, for a character class."""
+    codes = [c for c in range(top) if category(chr(c)).startswith(of)]
     starts = [c for c, before in zip(codes, [-2, *codes]) if c != before + 1]
     ends = [c for c, after in zip(codes, [*codes[1:], -2]) if c + 1 != after]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends))
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends))
 
 
-def _pre_tokens() -> re.Pattern:
+@cache
+def _pre_tokens(top: int) -> Callable[[str], list[str]]:
     """The byte-level pre-tokeniser: contractions, letters, numbers, signs, white space."""
-    letters, numbers = _class_of("L"), _class_of("N")
-    space = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f"
+    letters, numbers = _ranges("L", top), _ranges("N", top)
+    space = r"\t-\r\x20\x85\xa0  -     　"
     return re.compile(
         f" ?[{letters}]+| ?[{numbers}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letters}{numbers}]+"
-        f"|[{space}]+(?![^{space}])|[{space}]+")
+        f"|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
+@cache
+def _unassigned(top: int) -> Callable:
+    """Finds characters that Python's Unicode tables do not know; newer tables may."""
+    return re.compile(f"[{_ranges('Cn', top)}]").search
+
+
+def _top(text: str) -> int:
+    """Below which code point the patterns have to look: classes beyond the basic plane are slow."""
+    return 0x10000 if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else 0x110000
+
+
+def _cut(text: str) -> list[str]:
+    return _pre_tokens(_top(text))(text)
+
+
+@cache
+def byte_alphabet() -> str:
+    """The characters that byte-level vocabularies write for bytes 0 to 255: printable ones stand for
+    themselves, the others are numbered from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(other)) for b in range(256))
 
 
-class WordCache:
+class Encoder:
     """Encode texts with a byte-level BPE file of the tokenizers library.
 
-    The pre-tokeniser cuts a text into words that are encoded one by one, so every distinct word needs
-    to be encoded once. Words not used for a whole turn are forgotten. Ids are those of
-    ``Tokenizer.encode(text, add_special_tokens=False)``.
+    Ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``: the pre-tokeniser's words are
+    given to the model one by one, each distinct word once. Texts with unassigned characters go to
+    the library whole; so do those with the special token's string, unless ``plain_specials`` says
+    that it is ordinary text.
     """
 
-    def __init__(self, path: str, max_words: int = 200_000):
+    def __init__(self, path: str, plain_specials: bool = False, max_words: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._cut = _pre_tokens().findall
-        self._break = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self._max_words = max_words
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for part in batches(len(texts), 2048):  # an encoding takes far more memory than its ids
-            encoded = self._tokenizer.encode_batch_fast(texts[part], add_special_tokens=False)
-            out += [array("I", e.ids).tobytes() for e in encoded]
-        return out
-
-    def _learn(self, needed: set[str]) -> None:
-        if len(self._known) > self._max_words:
-            self._older, self._known = self._known, {}
-        known, older = self._known, self._older
-        fresh = needed.difference(known)
-        new = fresh.difference(older)
-        known.update((w, older[w]) for w in fresh.intersection(older))
-        blank = [w for w in new if w.isspace()]
-        known.update(zip(blank, self._ids(blank)))
-        self._encode_words(known, list(new.difference(blank)))
-
-    def _encode_words(self, known: dict[str, bytes], words: list[str]) -> None:
-        """Encode words as lines of one text: between two of them a line break is always a token of
-        its own, and no token within them has its id."""
-        for part in batches(len(words), 4096):
-            line = "\n".join(words[part])
-            encoded = self._tokenizer.encode_batch_fast([line], add_special_tokens=False)[0]
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self._break), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            data = ids.tobytes()
-            known.update((w, data[a:b]) for w, a, b in zip(
-                words[part], (starts * ID_BYTES).tolist(), (ends * ID_BYTES).tolist()))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out, cut, needed = [b""] * len(texts), [], set()
-        whole = []
-        for i, text in enumerate(texts):
-            if _FAR.search(text) or SPECIAL in text:
-                whole.append(i)
-            else:
-                words = self._cut(text)
-                needed.update(words)
-                cut.append((i, words))
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
-        self._learn(needed)
-        lookup = self._known.__getitem__
-        for i, words in cut:
-            out[i] = b"".join(map(lookup, words))
-        return out
-
-
-_caches: dict[str, WordCache] = {}
-
-
-def _cache(path: str) -> WordCache:
-    """One cache for all tasks that a Python worker runs."""
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+        self._tokenizer.encode_special_tokens = plain_specials
+        self._model = self._tokenizer.model
+        self._special = None if plain_specials else SPECIAL
+        self._table = WordTable(_cut, self._learn, max_words)
+
+    def _learn(self, words: list[str]) -> list[list[int]]:
+        # 0xff stands in no text's bytes, so it can mark where a word ends
+        marked = b"\xff".join(w.encode() for w in words).decode("latin-1")
+        written = marked.translate(byte_alphabet()[:255] + " ").split(" ")
+        tokens = self._model.tokenize
+        return [[t.id for t in tokens(w)] for w in written]
+
+    def _is_whole(self, text: str) -> bool:
+        if self._special and self._special in text:
+            return True
+        return not text.isascii() and bool(_unassigned(_top(text))(text))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts behind one another, and where each text's ids end."""
+        whole = [i for i, t in enumerate(texts) if self._is_whole(t)]
+        if not whole:
+            return self._table.encode(texts)
+        left_out = set(whole)
+        ids, ends = self._table.encode(["" if i in left_out else t for i, t in enumerate(texts)])
+        parts = np.split(ids, ends[:-1])
+        for i in whole:
+            parts[i] = np.array(self._tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+
+@cache
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
+    """One word table for all tasks that a Python worker runs."""
+    return Encoder(path, plain_specials)
+
+
+def blocks(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
+    """Texts in their order, cut into lists of at least ``chars`` characters but for the last."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def encode_batches(rows: Iterable, path: str, block_chars: int = 1_000_000) -> Iterator[tuple]:
     """(doc_id, ids with the end id) of Arrow batches with columns doc_id, text, in their order."""
-    cache = _cache(path)
-    end = array("I", [END_ID]).tobytes()
+    words, end = encoder(path), np.array([END_ID], "<u4").tobytes()
     for batch in rows:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        start, chars, block = 0, 0, []
-        for i in range(len(ids)):
-            block.append(texts[i].as_py() or "")
-            chars += len(block[-1])
-            if chars >= block_chars or i == len(ids) - 1:
-                for doc_id, encoded in zip(ids[start:i + 1], cache.encode(block)):
-                    yield doc_id, encoded + end
-                start, chars, block = i + 1, 0, []
+        doc_ids = iter(batch.column(0).to_pylist())
+        for block in blocks((t.as_py() or "" for t in batch.column(1)), block_chars):
+            ids, ends = words.encode(block)
+            data, start = ids.tobytes(), 0
+            for stop in (ends * ID_BYTES).tolist():
+                yield next(doc_ids), data[start:stop] + end
+                start = stop
 
 
 def tokenizer_path(name: str = BYTE_BPE) -> str:

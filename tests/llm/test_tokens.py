@@ -9,11 +9,19 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from chatterlake.llm import packing, queries, wavelet
-from chatterlake.llm.tokens import WordCache, tokenizer_path
+from chatterlake.llm.tokens import Encoder, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
 plain = Tokenizer.from_file(tokenizer_path())
-cache = WordCache(tokenizer_path())
+words = Encoder(tokenizer_path(), max_words=50)
+literal = Tokenizer.from_file(tokenizer_path())
+literal.encode_special_tokens = True
+literal_words = Encoder(tokenizer_path(), plain_specials=True)
+
+
+def encoded(encoder, texts):
+    ids, ends = encoder.encode(texts)
+    return [part.tolist() for part in np.split(ids, ends[:-1])]
 
 
 def ids_of(text):
@@ -28,7 +36,19 @@ def crc(ids):
 @given(st.lists(st.sampled_from(["a", "Word", " ", "  ", "\n", "\t", "'s", "12", "é", "!", "\x1c", "\x85",
                                  " ", "<|endoftext|>", "日本"]), max_size=14).map("".join))
 def test_cached_ids_are_plain_ids(text):
-    assert np.frombuffer(cache.encode([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+    assert encoded(words, [text]) == [ids_of(text)[:-1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=5))
+def test_ids_of_any_unicode_are_plain_ids(texts):
+    assert encoded(words, texts) == [ids_of(t)[:-1] for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "日本", "<|", "\n"]), max_size=9).map("".join))
+def test_special_strings_can_be_plain_text(text):
+    assert encoded(literal_words, [text, ""]) == [literal.encode(text, add_special_tokens=False).ids, []]
 
 
 @settings(max_examples=60, deadline=None)
