@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, packing, pii, quality, simhash, substring_dedup, wavelet
+from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, packing, pii, quality, simhash, substring_dedup, topk, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -74,6 +74,10 @@ def op10_pii(spark: SparkSession, source_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, source_dir, "documents"))
 
 
+def op11_topk(spark: SparkSession, source_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, source_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_wavelet_shards": op2_wavelet_shards,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_derivatives": op9_derivatives,
     "op10_pii": op10_pii,
+    "op11_topk": op11_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_derivatives": derivatives.ORACLE,
+    "op11_topk": topk.ORACLE,
 }
