@@ -1,6 +1,7 @@
 """No-random-access top-k against plain products."""
 
 import numpy as np
+import parity
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,5 +86,6 @@ def test_empty_table_and_no_queries(spark):
 
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
-    got = queries.QUERIES["op11_topk"](spark, SMALL).collect()
-    assert sorted(map(tuple, got), key=str) == expected(rows)
+    got = queries.QUERIES["op11_topk"](spark, SMALL)
+    assert sorted(map(tuple, got.collect()), key=str) == expected(rows)
+    assert parity.differences(got, parity.duck(SMALL), queries.ORACLES["op11_topk"]) == []
