@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from chatterlake.llm import decontaminate, derivatives, exact_dedup, language, merkle, packing, pii, quality, simhash, substring_dedup, topk, wavelet
+from chatterlake.llm import alignment, decontaminate, derivatives, exact_dedup, language, merkle, packing, pii, quality, simhash, substring_dedup, topk, wavelet
 from chatterlake.llm.common import crc_bucket, table
 from chatterlake.storage import fresh_path
 
@@ -78,6 +78,10 @@ def op11_topk(spark: SparkSession, source_dir: str) -> DataFrame:
     return topk.top_k(table(spark, source_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op12_alignment(spark: SparkSession, source_dir: str) -> DataFrame:
+    return alignment.align(table(spark, source_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, source_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, source_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_derivatives": op9_derivatives,
     "op10_pii": op10_pii,
     "op11_topk": op11_topk,
+    "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
 

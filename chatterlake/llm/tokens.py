@@ -23,7 +23,7 @@ ID_BYTES = 4
 BYTE_BPE = "byte_bpe_50k.json"
 
 SPECIAL = "<|endoftext|>"
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
