@@ -1,13 +1,12 @@
 """Exact top-k by inner product with the no-random-access algorithm.
 
-Vectors are kept as shards of sorted lists: for every dimension the components of a shard's
-vectors in falling order, each with the vector's position. A query reads the lists of a shard in
-step, from the upper end where its own component is not negative and from the lower end
-otherwise, so that every list falls in what it adds to the score. Of each vector two numbers are
-known at any time: what it has been seen to add, plus the least (lower bound) or the last read
-value (upper bound) of every list in which it has not been seen yet. Reading stops when no
-vector outside the best k can still reach the k-th lower bound; the scores of those that are left are
-then resolved by reading on for them alone. No vector is ever looked up by its position.
+Vectors are kept as shards of sorted lists: for every dimension the components of a shard's vectors
+in falling order, each with the vector's position. A block of queries reads the lists of a shard in
+step, from both ends, and remembers what it has seen of each vector. A component that has not been
+seen yet lies between the last values read at the two ends of its list, which gives every vector a
+lower and an upper bound of its score for each query. A query is settled when few vectors are left
+whose upper bound reaches the k-th lower bound, so that no other can qualify; the final scores of
+those left are resolved by reading on for them alone. No vector is ever looked up by its position.
 
 Shards are made in the task that reads the vectors. The lists of a shard meet the queries in blocks, and
 each pair of shard and block gives at most k rows a query, of which the best k are kept.
@@ -28,9 +27,11 @@ from chatterlake.storage import fresh_path, write_table
 K = 5
 SCALE = 256
 SHARD_VECTORS = 16_384
-BLOCK_QUERIES = 256
-#: A list is read in so many steps; between steps the bounds are compared.
-STEPS = 16
+BLOCK_QUERIES = 64
+#: Shares of the lists after which bounds are compared.
+STOPS = (0.125, 0.25, 0.5, 0.625, 0.75, 0.875, 1)
+#: A query is settled when so small a share of the vectors is left.
+LEFT = 1 / 16
 _EXACT = 2.0 ** 53  # below this, sums of whole numbers are exact in double arithmetic
 
 _LISTS = "shard bigint, dims int, names binary, order binary, values binary"
@@ -52,66 +53,59 @@ def sorted_lists(vectors: np.ndarray) -> Lists:
     return Lists(order, np.take_along_axis(columns, order, axis=1))
 
 
-def _sums(at: np.ndarray, amounts: np.ndarray, n: int, exact: bool) -> np.ndarray:
-    """Sum of ``amounts`` by position, in double arithmetic where that is exact."""
-    if exact:
-        return np.bincount(at.ravel(), amounts.ravel(), n)
-    out = np.zeros(n, np.int64)
-    np.add.at(out, at.ravel(), amounts.ravel())
-    return out
+def no_random_access(queries: np.ndarray, lists: Lists, k: int, skips: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the positions and scores of every vector that may belong to its best ``k``.
 
-
-def no_random_access(query: np.ndarray, lists: Lists, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and scores of every vector that may belong to the best ``k``, but for ``skip``.
-
-    The scores are final, and all vectors that tie with the k-th best are among them.
+    ``skips`` has a position that is no candidate of the query, or -1. The scores are final, and all
+    vectors that tie with the k-th best are among them.
     """
     dims, n = lists.order.shape
-    up = query >= 0
-    ends = np.where(up, lists.values[:, -1], lists.values[:, 0])
-    reach = int((np.abs(query).astype(object) * np.abs(lists.values[:, [0, -1]]).max(1)).sum())
-    if reach >= 2 ** 63:
-        raise OverflowError("a score does not fit into 64 bits")
-    exact = reach < _EXACT / 4
-    least = query * ends  # least that each list can add
-    parts = [np.flatnonzero(up), np.flatnonzero(~up)]
-
-    def read(a: int, b: int):
-        """Positions and gains over ``least`` at depths ``a`` to ``b`` of all lists."""
-        for dimension, rows in zip(parts, (slice(a, b), slice(n - b, n - a))):
-            yield (dimension, lists.order[dimension, rows],
-                   query[dimension, None] * lists.values[dimension, rows] - least[dimension, None])
-
-    lower = np.full(n, least.sum(), np.float64 if exact else np.int64)
-    seen = np.zeros((dims, n), bool)
-    if skip >= 0:
-        lower[skip] = -_EXACT if exact else np.iinfo(np.int64).min // 2
-    step, depth = max(1, -(-n // STEPS)), 0
-    alive = np.ones(n, bool)
-    while depth < n:
-        upto = min(depth + step, n)
-        for dimension, at, gain in read(depth, upto):
-            lower += _sums(at, gain, n, exact).astype(lower.dtype)
-            seen[dimension[:, None], at] = True
-        depth = upto
-        last = np.where(up, lists.values[:, depth - 1], lists.values[:, n - depth])
-        slack = query * last - least
-        kth = np.partition(lower, n - k)[n - k] if n > k else None
-        if kth is None or least.sum() + slack.sum() >= kth:
-            continue  # a vector that no list has shown yet could still win
-        alive = lower + slack.astype(lower.dtype) @ ~seen >= kth
-        if alive.sum() <= 4 * k or depth >= n // 2:
+    reach = max((sum(abs(int(q)) * int(v) for q, v in zip(query, np.abs(lists.values[:, [0, -1]]).max(1)))
+                 for query in queries), default=0)
+    if reach >= 2 ** 61:
+        raise OverflowError("a score does not fit into 62 bits")
+    kind = np.float64 if reach < _EXACT / 4 else np.int64
+    queries, values = queries.astype(kind), lists.values.astype(kind, copy=False)
+    known, unseen = np.zeros((n, dims), kind), np.ones((n, dims), kind)
+    dimension = np.arange(dims)[:, None]
+    left: list[np.ndarray] = [np.delete(np.arange(n), skip) if skip >= 0 else np.arange(n) for skip in skips]
+    active = np.arange(len(queries)) if n > k else np.empty(0, np.int64)
+    half, depth = -(-n // 2), 0
+    for stop in STOPS:
+        if not len(active):
             break
-    if skip >= 0:
-        alive[skip] = False
-    while depth < n:  # resolve: read on, but only for those that are left
-        upto = min(depth + step, n)
-        for _, at, gain in read(depth, upto):
-            kept = alive[at]
-            lower += _sums(at[kept], gain[kept], n, exact).astype(lower.dtype)
+        upto = max(depth, int(half * stop))
+        for rows in (slice(depth, upto), slice(max(n - upto, upto), n - depth)):
+            at = lists.order[:, rows]
+            known[at, dimension] = values[:, rows]
+            unseen[at, dimension] = 0
         depth = upto
-    found = np.flatnonzero(alive)
-    return found, lower[found].astype(np.int64)
+        if not depth:
+            continue
+        asked = queries[active]
+        ends = asked * values[:, depth - 1], asked * values[:, n - depth]
+        lower = asked @ known.T
+        upper = lower + np.maximum(*ends) @ unseen.T
+        lower += np.minimum(*ends) @ unseen.T
+        for i, number in enumerate(active.tolist()):
+            if skips[number] >= 0:
+                lower[i, skips[number]] = upper[i, skips[number]] = -4 * max(reach, 1)
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        alive = upper >= kth[:, None]
+        settled = alive.sum(1) <= max(n * LEFT, k)
+        for i, number in enumerate(active.tolist()):
+            if settled[i] or depth == half:
+                left[number] = np.flatnonzero(alive[i] & (lower[i] > -4 * max(reach, 1)))
+        active = active[~settled]
+    # resolve: read on, but only for those that are left
+    rows = np.unique(np.concatenate(left)) if left else np.empty(0, np.int64)
+    place = np.full(n, -1)
+    place[rows] = np.arange(len(rows))
+    resolved = known[rows]
+    rest = place[lists.order[:, depth:max(n - depth, depth)]]
+    where, entry = np.nonzero(rest >= 0)
+    resolved[rest[where, entry], where] = values[where, depth + entry]
+    return [(at, (resolved[place[at]] @ query).astype(np.int64)) for at, query in zip(left, queries)]
 
 
 def whole_components(vector: Column, scale: int = SCALE) -> Column:
@@ -188,12 +182,14 @@ def _answers(rows: Iterator, k: int, wide: bool) -> Iterator:
             names = np.frombuffer(names, "<i8").reshape(-1, 3)
             lists = Lists(np.frombuffer(order, "<u4" if wide else "<u2").reshape(dims, -1),
                           np.frombuffer(values, "<i8").reshape(dims, -1))
+            if np.abs(lists.values).max() < _EXACT:
+                lists = lists._replace(values=lists.values.astype(np.float64))  # once for all queries
             place = {row: i for i, row in enumerate(names[:, 0].tolist())}
             out = []
-            for (query_row, query_id, unnamed), query in zip(
-                    np.frombuffer(queries, "<i8").reshape(-1, 3).tolist(),
-                    np.frombuffer(components, "<i8").reshape(-1, dims)):
-                at, scores = no_random_access(query, lists, k, place.get(query_row, -1))
+            asking = np.frombuffer(queries, "<i8").reshape(-1, 3).tolist()
+            answers = no_random_access(np.frombuffer(components, "<i8").reshape(-1, dims), lists, k,
+                                       [place.get(row, -1) for row, _, _ in asking])
+            for (query_row, query_id, unnamed), (at, scores) in zip(asking, answers):
                 best = np.lexsort((*names[at].T, -scores))[:k]
                 for (vec_row, vec_id, missing), score in zip(names[at[best]].tolist(), scores[best].tolist()):
                     out.append((query_row, None if unnamed else query_id, vec_row,
@@ -216,7 +212,7 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, vec_id: str = "ve
     Queries are the rows where ``is_query`` holds (null: no query); candidates are all rows but the
     query's own, so repeated rows, and other rows with the query's id, are candidates. Ties go to the
     smaller vec_id, a null vec_id last. Components are floor(256 * x) as whole numbers, sums are
-    exact in 64 bits (beyond: an error). Vectors that are null, empty or hold null or non-finite
+    exact (an error where they could pass 2^61). Vectors that are null, empty or hold null or non-finite
     components take no part; of vectors of different lengths only equal lengths meet. Other
     columns are ignored. Fewer than ``k`` candidates give fewer rows, an empty table none.
     """
