@@ -82,7 +82,7 @@ def _(lake):
 
 @query("extract_topic", _topics("documents", "doc_id", "text"))
 def _(lake):
-    return K.extract_topic(lake.source("documents"), "doc_id", work=lake.folder("work/topics"))
+    return K.extract_topic(lake.source("documents"), "doc_id", work=lake.fresh("topics"))
 
 
 @query("map_sentiment_label", """
@@ -196,7 +196,7 @@ _NATIVE = f"""
     FROM native n""")
 def _(lake):
     enriched = K.enrich_posts(
-        _scored(lake), lake.silver_ai_enrichment, ntz(NOW), lake.folder("work/enrich")
+        _scored(lake), lake.silver_ai_enrichment, ntz(NOW), lake.fresh("enrich")
     )
     return enriched.enrichment.select(
         "silver_post_id", "ai_version", F.array_join("hashtags", ",").alias("hashtags"),
@@ -212,7 +212,7 @@ def _scored(lake):
     broken = lake.bronze_posts.withColumn(
         "raw_payload", F.when(F.col("id") % 97 == 0, F.lit("{")).otherwise(F.col("raw_payload"))
     )
-    return write_table(K.scored_posts(broken), lake.folder("work/scored"))
+    return write_table(K.scored_posts(broken), lake.fresh("scored"))
 
 
 @query("enrich_jobs", f"""
@@ -260,7 +260,7 @@ def _(lake):
 
 def _refreshed(lake):
     return full_refresh(
-        lake.raw_posts, lake.search_requests, ntz(NOW), lake.folder("work/full_refresh")
+        lake.raw_posts, lake.search_requests, ntz(NOW), lake.fresh("full_refresh")
     )
 
 
@@ -291,7 +291,7 @@ def _(lake):
         count(b.id) > 0 AS gold_built
     FROM search_requests r LEFT JOIN bronze_posts b ON b.search_request_id = r.id GROUP BY r.id""")
 def _(lake):
-    rows, jobs = refresh_states(lake.raw_posts, ntz(NOW), lake.folder("work/refresh_states"))
+    rows, jobs = refresh_states(lake.raw_posts, ntz(NOW), lake.fresh("refresh_states"))
     return refresh_outcome(rows, jobs, lake.search_requests)
 
 

@@ -221,7 +221,7 @@ def _(lake):
         .when(F.col("platform") == "reddit", reddit).otherwise(_tweet_item())
     )
     items = write_table(
-        _range(lake.base().select("platform", item.alias("item"))), lake.folder("work/items"),
+        _range(lake.base().select("platform", item.alias("item"))), lake.fresh("items"),
         "platform")
     return normalise.route_by_platform(items).select("platform", "platform_id", "author_handle")
 

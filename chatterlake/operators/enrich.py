@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatterlake import storage
 from chatterlake.functions import models as M
 from chatterlake.functions import numbers as N
+from chatterlake.functions import terms
 from chatterlake.functions import text as X
 from chatterlake.operators.silver import silver_extract, with_tags
 from chatterlake.schemas import SILVER_POSTS
@@ -19,143 +21,112 @@ from chatterlake.schemas import SILVER_POSTS
 # Names under which the native baselines report.
 TOPIC_MODEL = "local/tfidf-topic"
 SENTIMENT_MODEL = "local/lexicon-sentiment"
-TERM_BUCKETS = 1 << 16
+#: Terms whose frequency every task knows.
+FREQUENT_TERMS = 1 << 16
+#: Row groups of work tables that are read by heavy stages, so that a file is many tasks.
+WORK_MB = 8
+
+
+def _scores(posts: DataFrame, text: str) -> DataFrame:
+    """Add ``_a``: hits of the word lists and topic words."""
+    return posts.withColumn("_a", M.analysed(F.col(text), M.word_lists()))
+
+
+def _sentiment() -> Column:
+    return M.sentiment(F.col("_a.pos"), F.col("_a.neg"))
+
+
+def _language() -> Column:
+    return M.language({code: F.col(f"_a.in_{code}") for code in M.LANGUAGE_WORDS})
 
 
 def score_sentiment(posts: DataFrame, text: str = "text") -> DataFrame:
     """Add sentiment and sentiment_confidence from the lexicon baseline."""
-    scored = posts.withColumn("_words", M.words(F.col(text))).withColumn(
-        "_s", M.sentiment(F.col("_words"))
-    )
+    scored = _scores(posts, text).withColumn("_s", _sentiment())
     return scored.withColumns({
         "sentiment": F.col("_s.label"), "sentiment_confidence": F.col("_s.confidence")
-    }).drop("_words", "_s")
+    }).drop("_a", "_s")
 
 
 def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
     """Add language and language_confidence from the function-word baseline."""
-    scored = posts.withColumn("_words", M.words(F.col(text))).withColumn(
-        "_l", M.language(F.col("_words"))
-    )
+    scored = _scores(posts, text).withColumn("_l", _language())
     return scored.withColumns({
         "language": F.col("_l.code"), "language_confidence": F.col("_l.confidence")
-    }).drop("_words", "_l")
+    }).drop("_a", "_l")
 
 
-def topic_words(words: Column) -> Column:
-    """Words of a post that may form a topic, in their order."""
-    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(M.STOP_WORDS))
-
-
-def _terms() -> Column:
-    """The words of column ``w`` and the pairs of neighbouring ones."""
-    pairs = F.zip_with(
-        F.col("w"), F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat("w", F.filter(pairs, lambda t: t.isNotNull()))
-
-
-def topic_terms(words: DataFrame, key: str) -> DataFrame:
-    """The one- and two-word terms of every post: (key, n_terms, counted array<(term, tf)>).
+def document_frequency(words: DataFrame) -> DataFrame:
+    """Number of posts each term occurs in, combined per block of posts and map-side: (h1, h2, df).
 
-    Stop words are gone before pairs are formed. A post's terms are sorted and counted inside its own
-    row, from the ends of runs of equal terms, so this needs no shuffle.
+    Terms are the words of column ``w`` and the pairs of neighbouring ones, named by 128 bits of hash.
     """
-    ordered = words.select(key, F.sort_array(_terms()).alias("terms"))
-    ends = F.filter(
-        F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("at"))),
-        lambda e: ~F.get(F.col("terms"), e["at"] + 1).eqNullSafe(e["term"]),
-    )
-    runs = ordered.select(key, F.size("terms").alias("n_terms"), ends.alias("ends"))
-    counted = F.transform(
-        "ends",
-        lambda e, i: F.struct(
-            e["term"].alias("term"),
-            (e["at"] - F.coalesce(F.get(F.col("ends"), i - 1)["at"], F.lit(-1))).alias("tf"),
-        ),
-    )
-    return runs.select(key, "n_terms", counted.alias("counted"))
-
-
-def document_frequency(words: DataFrame) -> DataFrame:
-    """Number of posts each term occurs in, combined map-side: (term, df)."""
-    listed = words.select(F.explode_outer(F.array_distinct(_terms())).alias("term")).filter(
-        "term IS NOT NULL")
-    return listed.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = words.select("w").mapInArrow(terms.frequency_batches, "h1 bigint, h2 bigint, df bigint")
+    return counted.groupBy("h1", "h2").agg(F.sum("df").alias("df"))
 
 
 def _micro(score: Column) -> Column:
     return F.floor(score * F.lit(1e6) + F.lit(0.5))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
 def _idf(df: Column, total: Column) -> Column:
     return F.log((total + 1) / df) / F.log(total + 1)
 
 
+def frequent_terms(df: DataFrame, total: Column, most: int = FREQUENT_TERMS) -> terms.Frequent:
+    """The ``most`` most frequent terms with their idf: a table of a fixed number of rows."""
+    rows = (df.orderBy(F.desc("df"), "h1", "h2").limit(most)
+            .select("h1", "h2", _idf(F.col("df"), total).alias("idf")).toArrow())
+    h1, h2, idf = (rows.column(c).to_numpy() for c in ("h1", "h2", "idf"))
+    order = np.lexsort((h2, h1))
+    others = max(float(idf.min()), 0.0) if len(idf) == most else 1.0
+    return terms.Frequent(h1[order], h2[order], idf[order], others)
+
+
 def extract_topic(posts: DataFrame, key: str, text: str = "text", work: str | None = None) -> DataFrame:
     """Best term of every post by TF-IDF: see :func:`topic_of_words`.
 
     The words are split off once and written, since frequencies and scores both read them.
     """
     work = work or storage.fresh_path(posts.sparkSession, "topics")
-    words = posts.select(key, topic_words(M.words(F.col(text))).alias("w"))
-    return topic_of_words(storage.write_table(words, f"{work}/words"), key, work)
+    words = _scores(posts.select(key, text), text).select(key, F.col("_a.w").alias("w"))
+    return topic_of_words(storage.write_table(words, f"{work}/words", row_group_mb=WORK_MB), key, work)
 
 
 def topic_of_words(words: DataFrame, key: str, work: str) -> DataFrame:
     """Best term of every post by TF-IDF: (key, topic_label, topic_confidence).
 
     ``words`` holds a post's usable words in column ``w``; term counts are written below ``work``,
-    where a later run overwrites them.
+    where a later run overwrites them. Stop words are gone before pairs are formed.
 
     Posts without a usable term get ('unknown', 0.0). Scores are compared as whole millionths
     and ties go to the smaller term, so the choice does not depend on the partitioning.
 
-    Most terms of a post cannot win, and dropping those inside the row keeps them out of every
-    shuffle. No term scores above its own count, and none below its count times the idf of its
-    hash bucket, whose frequency is the sum over all its terms; so a term whose count is below
-    the best of those lower bounds is out. The bounds are a fixed number of doubles. The exact
-    frequencies are one row per term; a term that occurs in a third of all posts is a hot key on
-    the post side only, and such a partition can be split.
-
-    The outer generator is on purpose: for an inner one Spark infers a size filter and repeats
-    the whole array computation in it.
+    Most terms of a post cannot win. The idf of the most frequent terms, a fixed number of them, goes to
+    the tasks; any other term is at most as frequent as the last of those, and at least once there.
+    Terms whose upper bound stays below the best lower bound of their post are dropped where they are
+    counted. Those left are joined with their exact frequency by hash; a frequent term brings its
+    score along, so no join key is hot.
     """
     total = words.select(F.count(F.lit(1))).scalar().cast("double")
     df = storage.write_table(document_frequency(words), f"{work}/term_counts")
-    floors = ["0"] * TERM_BUCKETS
-    summed = df.groupBy(_bucket(F.col("term")).alias("b")).agg(F.sum("df").alias("df"))
-    for b, low in summed.select("b", F.greatest(_idf(F.col("df"), total), F.lit(0.0))).collect():
-        floors[b] = repr(low)
-    bounds = F.split(F.lit(",".join(floors)), ",").cast("array<double>")
-    low = F.transform(
-        "counted", lambda e: _micro(e["tf"] * F.get(bounds, _bucket(e["term"])))
-    )
-    candidates = (
-        topic_terms(words, key).withColumn("low", F.array_max(low))
-        .select(key, "n_terms", F.inline_outer(
-            F.filter("counted", lambda e: _micro(e["tf"]) >= F.col("low"))))
-        .filter("term IS NOT NULL")
-    )
-    best = Window.partitionBy(key).orderBy(F.desc("micro"), "term")
-    top = (
-        candidates.join(df, "term")
-        .withColumn("micro", _micro(F.col("tf") * _idf(F.col("df"), total)))
-        .withColumn("_rank", F.row_number().over(best)).filter("_rank = 1")
-        .select(
-            key, F.col("term").alias("topic_label"),
-            N.half_up(F.col("micro") / F.lit(1e6) / F.col("n_terms"), 6)
-            .alias("topic_confidence"),
-        )
-    )
-    return words.select(key).join(top, key, "left").select(
-        key, F.coalesce("topic_label", F.lit(M.UNKNOWN)).alias("topic_label"),
-        F.coalesce("topic_confidence", F.lit(0.0)).alias("topic_confidence"),
+    frequent = frequent_terms(df, total)
+    kind = words.schema[key].dataType.simpleString()
+    candidates = storage.write_table(
+        words.select(F.col(key).alias("key"), "w").mapInArrow(
+            lambda batches: terms.candidate_batches(batches, frequent),
+            f"key {kind}, n_terms bigint, term string, h1 bigint, h2 bigint, tf bigint, micro double"),
+        f"{work}/candidates")
+    joined = candidates.filter("micro IS NULL").drop("micro").join(df, ["h1", "h2"]).withColumn(
+        "micro", _micro(F.col("tf") * _idf(F.col("df"), total)))
+    scored = joined.select("key", "n_terms", "term", "micro").unionByName(
+        candidates.filter("micro IS NOT NULL").select("key", "n_terms", "term", F.col("micro").cast("bigint").alias("micro")))
+    top = scored.groupBy("key").agg(
+        F.min(F.struct((-F.col("micro")).alias("below"), "term", "n_terms")).alias("best"))
+    return words.select(key).join(top.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left").select(
+        key, F.coalesce("best.term", F.lit(M.UNKNOWN)).alias("topic_label"),
+        F.coalesce(N.half_up(-F.col("best.below") / F.lit(1e6) / F.col("best.n_terms"), 6), F.lit(0.0))
+        .alias("topic_confidence"),
     )
 
 
@@ -238,14 +209,11 @@ def scored_posts(bronze: DataFrame) -> DataFrame:
     One parse and one tokenisation per post, no shuffle.
     """
     tagged = with_tags(silver_extract(bronze, keep_extras=True))
-    words = tagged.withColumn("_words", M.words(F.col("post_text")))
-    scored = words.withColumn("_s", M.sentiment(F.col("_words"))).withColumn(
-        "_l", M.language(F.col("_words"))
-    )
+    scored = _scores(tagged, "post_text").withColumn("_s", _sentiment()).withColumn("_l", _language())
     return scored.select(
         *tagged.columns, F.col("_s.label").alias("sentiment"),
         F.col("_s.confidence").alias("sentiment_confidence"),
-        F.col("_l.code").alias("language"), topic_words(F.col("_words")).alias("w"),
+        F.col("_l.code").alias("language"), F.col("_a.w").alias("w"),
     )
 
 

@@ -39,7 +39,7 @@ class Lake:
         key = (self.spark.sparkContext.applicationId, self.source_dir, name)
         if key not in _written:
             _written[key] = storage.write_table(
-                LAYERS[name](self), self.folder(name), PARTITIONS.get(name)
+                LAYERS[name](self), self.folder(name), PARTITIONS.get(name), ROW_GROUP_MB.get(name)
             )
         return _written[key]
 
@@ -103,3 +103,6 @@ LAYERS: dict[str, Callable[[Lake], DataFrame]] = {
 PARTITIONS = dict.fromkeys(
     ["bronze_posts", "silver_posts", "gold_post_search", "gold_campaign_daily"], "search_request_id"
 )
+
+#: Layers with whole payloads, which are parsed and read word by word.
+ROW_GROUP_MB = dict.fromkeys(["raw_posts", "bronze_posts", "silver_posts"], 8)

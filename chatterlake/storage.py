@@ -43,16 +43,21 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
+def write_table(df: DataFrame, path: str, partition_by: str | None = None,
+                row_group_mb: int | None = None) -> DataFrame:
     """Write Parquet and read it back, which also cuts the lineage.
 
     A partitioned write first asks for a rebalance on the partition column: small partitions
     share a task, a hot one is split over several, so neither small files nor one giant task.
+    ``row_group_mb`` bounds the row groups of tables whose readers do much work per byte: a file can be
+    split between them only.
     """
     if partition_by:
         df = df.hint("rebalance", partition_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
+    if row_group_mb:
+        writer = writer.option("parquet.block.size", row_group_mb << 20)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
