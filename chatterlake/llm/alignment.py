@@ -34,8 +34,9 @@ from chatterlake.storage import fresh_path, write_table
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"  # how pieces write a space
 RANGE_CHARS = 65_536  # longer documents are cut into ranges of about so many characters
-BLOCK_LINKS = 2_000_000
-TEXT_CHARS = 500_000  # of texts that are tokenised at a time
+BLOCK_LINKS = 1_000_000
+TEXT_CHARS = 250_000  # of texts that are tokenised at a time
+MAX_WORDS = 100_000  # that a worker keeps for each side
 FAN_IN = 8
 _LOW = (1 << 32) - 1
 
@@ -75,7 +76,7 @@ def byte_level_side(path: str) -> Side:
     token_bytes = [b""] * (max(vocabulary.values()) + 1)
     for token, number in vocabulary.items():
         token_bytes[number] = bytes(values[c] for c in token)
-    return Side(encoder(path, True).encode, token_bytes)
+    return Side(encoder(path, True, MAX_WORDS).encode, token_bytes)
 
 
 _SPACED = re.compile(" *[^ ]+| +").findall
@@ -103,7 +104,7 @@ def piece_side(path: str) -> Side:
         ids = processor.encode(["a" + w if b else w[1:] for w, b in zip(words, blank)], num_threads=1)
         return [x[lead:] if b else x for x, b in zip(ids, blank)]
 
-    return Side(WordTable(_SPACED, learn).encode, token_bytes)
+    return Side(WordTable(_SPACED, learn, MAX_WORDS).encode, token_bytes)
 
 
 class Run(NamedTuple):

@@ -23,7 +23,7 @@ ID_BYTES = 4
 BYTE_BPE = "byte_bpe_50k.json"
 
 SPECIAL = "<|endoftext|>"
-MAX_WORDS = 250_000
+MAX_WORDS = 200_000
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -168,9 +168,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, plain_specials: bool = False) -> Encoder:
+def encoder(path: str, plain_specials: bool = False, max_words: int = MAX_WORDS) -> Encoder:
     """One word table for all tasks that a Python worker runs."""
-    return Encoder(path, plain_specials)
+    return Encoder(path, plain_specials, max_words)
 
 
 def blocks(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
