@@ -14,25 +14,25 @@ from chatterlake.operators import lifecycle as L
 from chatterlake.operators import serve as V
 from chatterlake.plans.lake import BUILT_AT
 
-_LISTS = """array_to_string(top_hashtags, ',') AS top_hashtags,
+LISTS = """array_to_string(top_hashtags, ',') AS top_hashtags,
     array_to_string(top_topics, ',') AS top_topics"""
 
 
-def _joined_lists(df, *names):
+def joined_lists(df, *names):
     return df.withColumns({n: F.array_join(n, ",") for n in names})
 
 
-@query("campaign_daily", f"SELECT * EXCLUDE (top_hashtags, top_topics), {_LISTS} FROM daily")
+@query("campaign_daily", f"SELECT * EXCLUDE (top_hashtags, top_topics), {LISTS} FROM daily")
 def campaign_daily(lake):
-    return _joined_lists(G.campaign_daily(lake.gold_post_search, at=ntz(BUILT_AT)), "top_hashtags", "top_topics")
+    return joined_lists(G.campaign_daily(lake.gold_post_search, at=ntz(BUILT_AT)), "top_hashtags", "top_topics")
 
 
 @query("campaign_summary", f"""
-    SELECT * EXCLUDE (top_hashtags, top_topics, platforms), {_LISTS},
+    SELECT * EXCLUDE (top_hashtags, top_topics, platforms), {LISTS},
         array_to_string(platforms, ',') AS platforms FROM summary""")
 def _(lake):
     rows = G.campaign_summary(lake.gold_post_search, lake.search_requests, at=ntz(BUILT_AT))
-    return _joined_lists(rows, "top_hashtags", "top_topics", "platforms")
+    return joined_lists(rows, "top_hashtags", "top_topics", "platforms")
 
 
 def _sql_measures(conf: str = "coalesce(sentiment_confidence, 0)") -> str:
@@ -94,7 +94,7 @@ def _(lake):
         total_likes, total_shares, total_replies, total_views, hashtag_count, topic_count,
         platforms, ai_version FROM m""")
 def _(lake):
-    return _joined_lists(G.campaign_summary_sql(_mixed(lake)), "platforms")
+    return joined_lists(G.campaign_summary_sql(_mixed(lake)), "platforms")
 
 
 @query("campaign_summary_sql_items",
@@ -154,7 +154,7 @@ def _(lake):
     JOIN ({top_list('topic', "SELECT *, topic_label AS item FROM gold WHERE topic_label <> ''",
                     'platform')}) USING (platform)""")
 def _(lake):
-    return _joined_lists(
+    return joined_lists(
         G.top_lists(lake.gold_post_search, ["platform"]), "top_hashtags", "top_topics"
     )
 
@@ -204,7 +204,7 @@ def _(lake):
     SELECT search_request_id, array_to_string(list_sort(list(DISTINCT platform)), ',')
         AS platforms FROM gold GROUP BY 1""")
 def _(lake):
-    return _joined_lists(G.platforms_of_campaign(lake.gold_post_search), "platforms")
+    return joined_lists(G.platforms_of_campaign(lake.gold_post_search), "platforms")
 
 
 @query("volume_trend", "SELECT keyword, platform, date, total_posts FROM daily")

@@ -19,7 +19,12 @@ def exact_sum(value: Column) -> Column:
 
 def rounded_avg(value: Column, digits: int) -> Column:
     """Average over non-NULL values; NULL when there are none."""
-    return half_up(exact_sum(value) / F.nullif(F.count(value), F.lit(0)), digits)
+    return ratio(exact_sum(value), F.count(value), digits)
+
+
+def ratio(total: Column, n: Column, digits: int) -> Column:
+    """Rounded quotient; NULL when ``n`` is 0."""
+    return half_up(total / F.nullif(n, F.lit(0)), digits)
 
 
 def percentage(part: Column, total: Column, digits: int) -> Column:

@@ -207,13 +207,18 @@ def rank_items(counts: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def top_lists(gold: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """``top_hashtags`` and ``top_topics`` per group, at most ``n`` entries each."""
+    return lists_of(tag_counts(gold, keys), keys, n)
+
+
+def lists_of(counts: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
+    """Top lists per group from complete item counts."""
     def as_list(kind: str) -> Column:
         ranked = F.array_sort(
             F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "item")))
         )
         return F.transform(ranked, lambda e: e["item"])
 
-    ranked = rank_items(tag_counts(gold, keys), keys, n)
+    ranked = rank_items(counts, keys, n)
     return ranked.groupBy(*keys).agg(
         as_list("hashtag").alias("top_hashtags"), as_list("topic").alias("top_topics")
     )
@@ -235,7 +240,11 @@ def campaign_daily(gold: DataFrame, n: int = 5, at: Column | None = None) -> Dat
     """
     dated = with_day(gold)
     base = dated.groupBy(*DAILY_KEYS).agg(*measures())
-    lists = top_lists(dated, DAILY_KEYS, n)
+    return daily_rows(base, top_lists(dated, DAILY_KEYS, n), at)
+
+
+def daily_rows(base: DataFrame, lists: DataFrame, at: Column | None = None) -> DataFrame:
+    """Daily table from the measures and the top lists of its groups."""
     return _with_lists(base, lists, DAILY_KEYS).select(
         "search_request_id", "keyword", "platform", "date", "total_posts", "positive_count",
         "negative_count", "neutral_count", "avg_confidence", "top_hashtags", "top_topics",
@@ -265,14 +274,22 @@ def campaign_summary(
     Dates come from the request; ``at`` is the build time, the present by default.
     """
     key = ["search_request_id"]
-    zero = F.lit(0).cast("bigint")
     base = gold.groupBy(*key).agg(
         *measures(), F.array_sort(F.collect_set("platform")).alias("platforms")
     ).drop("keyword")
+    return summary_rows(base, top_lists(gold, key, n), requests, at)
+
+
+def summary_rows(
+    base: DataFrame, lists: DataFrame, requests: DataFrame, at: Column | None = None
+) -> DataFrame:
+    """Summary table from the measures and the top lists of its campaigns."""
+    key = ["search_request_id"]
+    zero = F.lit(0).cast("bigint")
     owner = requests.select(
         F.col("id").alias("search_request_id"), "keyword", "start_date", "end_date"
     )
-    rows = _with_lists(owner.join(base, key, "left"), top_lists(gold, key, n), key)
+    rows = _with_lists(owner.join(base, key, "left"), lists, key)
     total = F.col("total_posts")
     counts = ["total_posts", "total_likes", "total_shares", "total_replies", "total_views"]
     percents = [

@@ -43,6 +43,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in whatever store it lies; empty where there is no such folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in store.listStatus(target)] if store.exists(target) else []
+
+
 def write_table(df: DataFrame, path: str, partition_by: str | None = None,
                 row_group_mb: int | None = None) -> DataFrame:
     """Write Parquet and read it back, which also cuts the lineage.

@@ -160,24 +160,6 @@ def token_stream(events: DataFrame, delay: str = TOKEN_DELAY) -> DataFrame:
     )
 
 
-def gold_sink(
-    spark: SparkSession, gold_path: str, enrichment: Callable[[], DataFrame], requests: DataFrame,
-) -> Callable[[DataFrame, int], None]:
-    """Batch function that stores the gold rows of the silver posts in the batch.
-
-    Only the batch is built; its rows go to partitions of its own, so a trigger costs what the
-    batch holds and a replayed batch replaces itself. Where posts can arrive again, read the
-    newest row of each id with :func:`latest_state`.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        ids = batch.select(F.col("id").alias("silver_post_id"))
-        side = enrichment().join(ids, "silver_post_id", "left_semi")
-        rows = G.gold_post_search(batch, side, requests)
-        batch_folder(gold_path)(rows, batch_id)
-
-    return write
-
-
 def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
     """Batch function that stores silver rows, one job row per post and the rejected rows.
 
