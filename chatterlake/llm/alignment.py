@@ -34,7 +34,7 @@ from chatterlake.storage import fresh_path, write_table
 PIECES = "piece_bpe_32k.model"
 SPACE = "▁"  # how pieces write a space
 RANGE_CHARS = 65_536  # longer documents are cut into ranges of about so many characters
-BLOCK_LINKS = 1_000_000
+BLOCK_LINKS = 500_000
 TEXT_CHARS = 250_000  # of texts that are tokenised at a time
 MAX_WORDS = 100_000  # that a worker keeps for each side
 FAN_IN = 8
@@ -261,11 +261,27 @@ def _record(schema: str, *columns):
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], names=names)
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, compressed: most are small."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return np.int64(len(codes)).tobytes() + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(memoryview(data)[8:], 4 * n), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 def _block(number: int, docs: list[tuple], links: list[np.ndarray]):
     codes, pairs = pd.factorize(np.concatenate(links) if links else np.empty(0, np.int64))
     counts = np.bincount(codes, minlength=len(pairs))
     return _record(_BLOCK, [number], *([list(c)] for c in zip(*docs)),
-                   [codes.astype("<u4").tobytes()], [pairs], [counts])
+                   [_squeezed(codes)], [pairs], [counts])
 
 
 def _text_blocks(rows: Iterator, paths: tuple[str, str], block_links: int) -> Iterator:
@@ -394,7 +410,7 @@ def _counted(rows: Iterator) -> Iterator:
             doc_ids, n_a, n_b, n_groups, n_links, hashes, links, values = (
                 batch.column(i)[r] for i in range(batch.num_columns))
             values = values.values.to_numpy() if values.is_valid else np.empty(0, np.int64)
-            of_links = values[np.frombuffer(links.as_buffer(), "<u4")]
+            of_links = values[_unsqueezed(links.as_py())]
             n_links = n_links.values.to_numpy()
             ends = np.cumsum(n_links)
             sums = [np.append(0, np.cumsum(x)) for x in (of_links & 1, of_links >> 1)]
