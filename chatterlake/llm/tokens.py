@@ -11,7 +11,7 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 from unicodedata import category
 
 import numpy as np
@@ -23,7 +23,7 @@ ID_BYTES = 4
 BYTE_BPE = "byte_bpe_50k.json"
 
 SPECIAL = "<|endoftext|>"
-MAX_WORDS = 200_000
+MAX_WORDS = 150_000
 
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -44,18 +44,25 @@ class _Numbers(dict):
 class WordTable:
     """Ids of texts that are cut into words by ``cut``; ``learn`` gives the ids of new words.
 
-    At most ``max_words`` words, and those of one block, are kept: beyond that the table starts anew.
+    When more than ``max_words`` words are known, the third of them that was used most is kept.
     """
 
     def __init__(self, cut: Callable[[str], list[str]], learn: Callable[[list[str]], list[list[int]]],
                  max_words: int = MAX_WORDS):
         self._cut, self._learn, self._max_words = cut, learn, max_words
-        self._forget()
-
-    def _forget(self) -> None:
         self._numbers = _Numbers()
         self._flat = np.empty(0, "<u4")
         self._lengths = np.empty(0, np.int64)
+        self._uses = np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        kept = np.argsort(-self._uses, kind="stable")[:self._max_words // 3]
+        words = list(self._numbers)
+        self._numbers = _Numbers(zip((words[i] for i in kept.tolist()), range(len(kept))))
+        starts = np.cumsum(self._lengths) - self._lengths
+        self._flat = self._flat[gather(starts[kept], self._lengths[kept])]
+        self._lengths = self._lengths[kept]
+        self._uses = self._uses[kept] // 2  # words that are no longer used go in time
 
     def _add(self, words: list[str]) -> None:
         ids = self._learn(words)
@@ -63,19 +70,19 @@ class WordTable:
         flat = np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum()))
         self._flat = np.concatenate([self._flat, flat])
         self._lengths = np.concatenate([self._lengths, lengths])
+        self._uses = np.concatenate([self._uses, np.zeros(len(ids), np.int64)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind one another, and where each text's ids end."""
-        numbers = self._numbers
-        before = len(numbers)
-        if before > self._max_words:
+        if len(self._numbers) > self._max_words:
             self._forget()
-            numbers, before = self._numbers, 0
+        numbers, before = self._numbers, len(self._numbers)
         cut = [self._cut(t) for t in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         if len(numbers) > before:
-            self._add(list(numbers)[before:])
+            self._add(list(islice(numbers, before, None)))
+        self._uses += np.bincount(at, minlength=len(self._uses))
         lengths = self._lengths[at]
         starts = np.cumsum(self._lengths) - self._lengths
         ends = np.append(0, np.cumsum(lengths))[np.cumsum(counts)]
