@@ -83,17 +83,23 @@ def _(lake):
     )
 
 
-def _timed_stream(lake, calls, name: str):
+def _timed_stream(lake, calls, name: str, time: str = "ts"):
     """A stream over some files of ``calls``, then one of a call far later, after which the watermark
     has passed all others."""
     out = lake.fresh(name)
     table = write_table(calls, f"{out}/calls")
     last = calls.limit(1).withColumn("id", F.lit(-1).cast("bigint")).withColumn(
-        "ts", F.expr("TIMESTAMP_NTZ'2100-01-01'"))
+        time, F.expr("TIMESTAMP_NTZ'2100-01-01'"))
     last.write.mode("append").parquet(f"{out}/calls")
     return out, J.read_stream(lake.spark, table, f"{out}/calls", 3)
 
 
+def _closed(lake, out: str, rows):
+    """What an append query gives out, each row once."""
+    _run(rows, f"{out}/checkpoint", f"{out}/rows")
+    return lake.spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
 def _decisions(lake, out: str, decided):
     _run(decided.select("id", "admitted"), f"{out}/checkpoint", f"{out}/rows")
     return lake.spark.read.schema("id bigint, admitted boolean").parquet(f"{out}/rows").filter("id >= 0")
@@ -102,12 +108,10 @@ def _decisions(lake, out: str, decided):
 @query("stream_dedup", "SELECT id, platform, platform_id FROM bronze_posts")
 def _(lake):
     """Ids of the first arrivals, as the batch operator keeps them."""
-    calls = lake.raw_posts.select(
-        "id", F.concat_ws(":", "platform", "platform_id").alias("key"), F.col("fetched_at").alias("ts"))
+    calls = lake.raw_posts.select("id", "platform", "platform_id", F.col("fetched_at").alias("ts"))
     out, posts = _timed_stream(lake, calls, "stream_dedup")
-    kept = _decisions(lake, out, J.first_arrivals_stream(posts, "key", WHOLE_SECONDS, WHOLE_RANGE))
-    return lake.raw_posts.select("id", "platform", "platform_id").join(
-        kept.filter("admitted").select("id"), "id")
+    first = J.first_arrivals_stream(posts, ["platform", "platform_id"], WHOLE_RANGE, WHOLE_RANGE)
+    return _closed(lake, out, first).filter("id >= 0").select("id", "platform", "platform_id")
 
 
 @query("stream_dedup_ttl", REPEATS)
@@ -141,15 +145,22 @@ def _(lake):
     return J.latest_state(lake.spark.read.parquet(f"{out}/rows"), [*_DAY_KEYS, "item"])
 
 
+@query("stream_daily_table", f"SELECT * EXCLUDE (top_hashtags, top_topics, created_at), {LISTS} FROM daily")
+def _(lake):
+    """The daily table with its top lists, each day given out once when it is closed."""
+    posts = lake.gold_post_search.select(
+        "id", "search_request_id", "keyword", "platform", "posted_at", "sentiment", "sentiment_confidence",
+        "topic_label", "hashtags", "like_count", "share_count", "reply_count", "view_count", "ai_version")
+    out, stream = _timed_stream(lake, posts, "stream_daily_table", "posted_at")
+    return joined_lists(_closed(lake, out, J.daily_table_stream(stream, WHOLE_RANGE)), "top_hashtags", "top_topics")
+
+
 @query("stream_token_usage", f"""
     SELECT *, hour_tokens > 10000 AS over_hourly, day_tokens > 150000 AS over_daily
     FROM ({USAGE})""")
 def _(lake):
-    out = lake.fresh("stream_tokens")
-    usage = J.token_stream(_stream(lake, "token_events", 4), WHOLE_RANGE)
-    _run(usage, f"{out}/checkpoint", J.batch_folder(f"{out}/rows"), "update")
-    hours = J.latest_state(lake.spark.read.parquet(f"{out}/rows"), ["hour"])
-    return B.budget_state(hours, hourly=10_000, daily=150_000)
+    out, events = _timed_stream(lake, lake.token_events, "stream_tokens")
+    return B.budget_state(_closed(lake, out, J.token_stream(events, WHOLE_RANGE)), hourly=10_000, daily=150_000)
 
 
 _stores: dict[tuple[str, str], GoldStore] = {}
@@ -227,6 +238,28 @@ def _(lake):
     )
 
 
+@query("job_retries", """
+    SELECT 'job-' || id AS id, id AS silver_post_id,
+        CASE WHEN id % 97 = 0 AND id % 2 = 0 THEN 'failed' ELSE 'completed' END AS status,
+        CASE WHEN id % 97 <> 0 THEN 1 WHEN id % 2 = 1 THEN 2 ELSE 3 END AS attempts,
+        CASE WHEN id % 97 = 0 AND id % 2 = 0 THEN 'payload is not valid JSON' END AS error_message,
+        id % 97 = 0 AND id % 2 = 0 AS dead
+    FROM bronze_posts""")
+def _(lake):
+    """Some unreadable payloads arrive again: odd ids are mended at the second try, even ones never."""
+    out = lake.fresh("stream_retries")
+    first = lake.bronze_posts.withColumn(
+        "raw_payload", F.when(F.col("id") % 97 == 0, F.lit("{")).otherwise(F.col("raw_payload")))
+    table = write_table(first, f"{out}/bronze")
+    again = lake.bronze_posts.filter("id % 97 = 0").withColumn(
+        "raw_payload", F.when(F.col("id") % 2 == 0, F.lit("{")).otherwise(F.col("raw_payload")))
+    sink = J.lifecycle_sink(f"{out}/silver", f"{out}/jobs", f"{out}/rejected")
+    for _ in range(4):  # each time the stream goes on where it was
+        _run(J.read_stream(lake.spark, table, f"{out}/bronze"), f"{out}/checkpoint", sink)
+        again.write.mode("append").parquet(f"{out}/bronze")
+    return J.job_states(lake.spark.read.parquet(f"{out}/jobs"))
+
+
 ADMITTED = f"""
     WITH RECURSIVE s AS (SELECT event_id AS id, user_id AS k, ts, row_number() OVER (
             PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

@@ -9,14 +9,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chatterlake import storage
+from chatterlake.functions import numbers as N
+from chatterlake.functions import text as X
 from chatterlake.functions.times import epoch_micros, instant, to_utc
 from chatterlake.operators import gold as G
 from chatterlake.operators.silver import silver_extract
@@ -28,6 +33,7 @@ DAILY_DELAY = "2 days"
 TOKEN_DELAY = "25 hours"
 REPEAT_DELAY = "5 minutes"
 REPEAT_SECONDS = 300
+MAX_ATTEMPTS = 3
 
 
 def read_stream(
@@ -97,22 +103,23 @@ def pending_requests_stream(requests: DataFrame) -> DataFrame:
     return requests.filter("status = 'pending'")
 
 
-def dedup_stream(posts: DataFrame, delay: str = DAILY_DELAY) -> DataFrame:
-    """One post per (platform, platform_id); state is dropped after the delay."""
-    return watermarked(posts, "fetched_at", delay).dropDuplicatesWithinWatermark(
-        ["platform", "platform_id"]
-    ).drop("event_time")
-
-
 def first_arrivals_stream(
-    posts: DataFrame, key: str, ttl_seconds: int, delay: str = DAILY_DELAY
+    posts: DataFrame, key: list[str], gap: str = DAILY_DELAY, delay: str = DAILY_DELAY
 ) -> DataFrame:
-    """Posts (``key``, ts, id) with ``admitted``: true for the first one of its key by time and id.
+    """First post of each key by time and id, in event time: the key columns, ts, id.
 
-    Unlike :func:`dedup_stream`, which keeps what a trigger happens to read first, this waits for the
-    watermark. A key is forgotten ``ttl_seconds`` after its first post.
+    Posts (``key``, ts, id) of one key that follow each other within ``gap`` are repeats of the first of
+    them, which is given out once the watermark has passed their last one by ``gap``; so files and
+    triggers do not change the result. The state is one row a key. A post whose key has a NULL part
+    repeats no other and is given out after the same wait.
     """
-    return admit_stream(posts, key, 1, ttl_seconds, delay)
+    alone = F.when(reduce(or_, [F.col(c).isNull() for c in key]), F.col("id"))
+    return (
+        watermarked(posts, "ts", delay)
+        .groupBy(F.session_window("event_time", gap), *key, alone.alias("alone"))
+        .agg(F.min(F.struct("ts", "id")).alias("first"))
+        .select(*key, "first.ts", "first.id")
+    )
 
 
 def repeat_requests_stream(
@@ -151,8 +158,69 @@ def daily_tags_stream(posts: DataFrame, kind: str, delay: str = DAILY_DELAY) ->
     )
 
 
+def daily_table_stream(posts: DataFrame, delay: str = DAILY_DELAY, n: int = 5, buckets: int = 32) -> DataFrame:
+    """Rows of the daily table with their top lists, each given out once: append mode.
+
+    Three windowed aggregations in a row: items are counted, the top of each hash bucket of a day's items
+    is kept, and the tops of the buckets are merged. A day with many posts or items is spread by item
+    and then by bucket. A day closes when the watermark passes its end; later posts are dropped.
+    """
+    keys = ["search_request_id", "platform"]
+
+    def entry(kind: str, item: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), item.alias("item"))
+
+    topic = X.present(F.col("topic_label"))
+    nothing = F.array().cast("array<struct<kind:string,item:string>>")
+    entries = F.concat(
+        # the post itself, spread over the buckets
+        F.array(entry("post", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("string"))),
+        F.transform(F.coalesce("hashtags", F.array().cast("array<string>")), lambda t: entry("hashtag", t)),
+        F.coalesce(F.when(topic.isNotNull(), F.array(entry("topic", F.col("topic_label")))), nothing),
+    )
+    confidence = F.col("sentiment_confidence")
+    measured = {
+        "total_posts": F.lit(1),
+        **{f"{s}_count": F.col("sentiment").eqNullSafe(s).cast("int") for s in ("positive", "negative", "neutral")},
+        "confidence_sum": confidence.cast("decimal(18,6)"), "confidence_count": confidence.isNotNull().cast("int"),
+        **{f"total_{m}": F.col(c) for m, c in [("likes", "like_count"), ("shares", "share_count"),
+                                               ("replies", "reply_count"), ("views", "view_count")]},
+    }
+    rows = watermarked(posts, "posted_at", delay).select(
+        "event_time", *keys, "keyword", "ai_version", *[c.alias(m) for m, c in measured.items()], F.explode(entries).alias("e"))
+    own = F.col("e.kind") == "post"
+    counted = rows.groupBy(F.window("event_time", "1 day"), *keys, "e.kind", "e.item").agg(
+        F.count(F.lit(1)).alias("count"), F.max(F.when(own, F.col("keyword"))).alias("keyword"),
+        F.max(F.when(own, F.col("ai_version"))).alias("ai_version"),
+        *[F.sum(F.when(own, F.col(m))).alias(m) for m in measured])
+    kinds = {"hashtag": "top_hashtags", "topic": "top_topics"}
+
+    def day() -> Column:
+        return F.window(F.window_time("window"), "1 day")
+
+    def merged() -> list[Column]:
+        return [F.max("keyword").alias("keyword"), F.max("ai_version").alias("ai_version"),
+                *[F.sum(m).alias(m) for m in measured]]
+
+    def first(entries: Column) -> Column:
+        return F.slice(F.array_sort(entries), 1, n)
+
+    ranked = F.struct((-F.col("count")).alias("uses"), "item")
+    tops = counted.groupBy(day(), *keys, F.pmod(F.xxhash64("item"), F.lit(buckets)).alias("bucket")).agg(
+        *merged(), *[F.collect_list(F.when(F.col("kind") == kind, ranked)).alias(name) for kind, name in kinds.items()]
+    ).withColumns({name: first(F.col(name)) for name in kinds.values()})
+    whole = tops.groupBy(day(), *keys).agg(*merged(), *[F.collect_list(name).alias(name) for name in kinds.values()])
+    return whole.select(
+        "search_request_id", "keyword", "platform", F.to_date(to_utc(F.col("window.start"))).alias("date"),
+        "total_posts", "positive_count", "negative_count", "neutral_count",
+        N.ratio(F.col("confidence_sum").cast("double"), F.col("confidence_count"), 4).alias("avg_confidence"),
+        *[F.transform(first(F.flatten(name)), lambda e: e["item"]).alias(name) for name in kinds.values()],
+        "total_likes", "total_shares", "total_replies", "total_views", "ai_version",
+    )
+
+
 def token_stream(events: DataFrame, delay: str = TOKEN_DELAY) -> DataFrame:
-    """Tokens per hour; hours older than the delay leave the state."""
+    """Tokens per hour; in append mode an hour is given out once, when the delay has passed."""
     return (
         watermarked(events, "ts", delay).groupBy(F.window("event_time", "1 hour").alias("w"))
         .agg(F.sum("tokens").alias("hour_tokens"))
@@ -160,25 +228,45 @@ def token_stream(events: DataFrame, delay: str = TOKEN_DELAY) -> DataFrame:
     )
 
 
-def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
-    """Batch function that stores silver rows, one job row per post and the rejected rows.
+def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str, max_attempts: int = MAX_ATTEMPTS):
+    """Batch function that stores silver rows, one job row per tried post and the rejected rows.
 
-    Job state follows from the row: a readable payload completes, any other fails, keeps its
-    silver row and goes to the rejected folder with its error.
+    A readable payload completes, any other fails, keeps its silver row and goes to the rejected folder with
+    its error. A post that arrives again after a failure is tried again: attempts go on from the
+    post's stored jobs, of which ids and numbers are read. A post that is completed or has used up
+    ``max_attempts`` is left alone. Of a batch's rows with one id each is a try, in the order of their
+    arrival, and the last one is stored.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = silver_extract(batch, keep_extras=True).persist()
+        spark = batch.sparkSession
+        tries = Window.partitionBy("id").orderBy("fetched_at", "raw_payload")
+        numbered = batch.withColumn("_try", F.row_number().over(tries)).withColumn(
+            "_last", F.lead("_try").over(tries).isNull()).filter("_last").drop("_last")
+        before = None
+        if storage.children(spark, jobs_path):
+            stored = spark.read.parquet(jobs_path).filter(F.col("batch_id") < batch_id)
+            before = stored.groupBy(F.col("silver_post_id").alias("id")).agg(
+                F.max("attempts").alias("_before"), F.bool_or(F.col("status") == "completed").alias("_done"))
+        if before is None:
+            due = numbered.withColumn("_attempts", F.least(F.col("_try"), F.lit(max_attempts)))
+        else:
+            due = numbered.join(before, "id", "left").filter(
+                f"NOT coalesce(_done, false) AND coalesce(_before, 0) < {max_attempts}").withColumn(
+                "_attempts", F.least(F.coalesce("_before", F.lit(0)) + F.col("_try"), F.lit(max_attempts))
+            ).drop("_before", "_done")
+        attempts = due.select("id", "_attempts")
+        rows = silver_extract(due.select(*batch.columns), keep_extras=True).join(attempts, "id").persist()
         error = F.col("payload_error")
-        typed = rows.drop("payload_hashtags", "payload_mentions", "payload_error")
+        typed = rows.drop("payload_hashtags", "payload_mentions", "payload_error", "_attempts")
         jobs = rows.select(
             F.concat(F.lit("job-"), F.col("id").cast("string")).alias("id"),
             F.col("id").alias("silver_post_id"),
             F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
-            F.lit(1).alias("attempts"), error.alias("error_message"),
+            F.col("_attempts").alias("attempts"), error.alias("error_message"),
         )
-        bad = batch.join(rows.filter(error.isNotNull()).select("id", "payload_error"), "id")
+        bad = due.select(*batch.columns).join(rows.filter(error.isNotNull()).select("id", "payload_error"), "id")
         try:
-            for df, path in [(typed, silver_path), (jobs, jobs_path), (bad, rejected_path)]:
+            for df, path in [(typed, silver_path), (bad, rejected_path), (jobs, jobs_path)]:
                 batch_folder(path)(df, batch_id)
         finally:
             rows.unpersist()
@@ -186,6 +274,13 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str):
     return write
 
 
+def job_states(jobs: DataFrame) -> DataFrame:
+    """Last try of every post, with ``dead`` where it failed as often as it may."""
+    last = jobs.groupBy("id").agg(F.max(F.struct("attempts", "silver_post_id", "status", "error_message")).alias("j"))
+    return last.select("id", "j.silver_post_id", "j.status", "j.attempts", "j.error_message").withColumn(
+        "dead", (F.col("status") == "failed") & (F.col("attempts") >= MAX_ATTEMPTS))
+
+
 def admit_stream(
     calls: DataFrame, client: str, max_requests: int, window_seconds: int,
     delay: str = REPEAT_DELAY,
