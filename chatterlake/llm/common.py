@@ -18,6 +18,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` does not have, however it is written."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

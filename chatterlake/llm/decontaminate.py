@@ -16,6 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatterlake.llm.common import unused
 from chatterlake.storage import fresh_path, write_table
 
 WINDOW = 10
@@ -167,8 +168,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", win
     terms = write_table(item_terms(items, window=window), fresh_path(spark, "item-terms"))
     index = build_index(docs, terms, fresh_path(spark, "postings"), text)
     dirty = phrase_matches(index, terms, window).select("row").distinct()
-    return docs.withColumn("row_", _row(text)).join(
-        dirty.withColumnRenamed("row", "row_"), "row_", "left_anti").select(*docs.columns)
+    name = unused("row", docs)
+    return docs.withColumn(name, _row(text)).join(
+        dirty.withColumnRenamed("row", name), name, "left_anti").select(*docs.columns)
+
 
 ORACLE = """
     WITH d AS (

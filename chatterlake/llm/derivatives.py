@@ -23,7 +23,9 @@ _HIDDEN = ("(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
 _BLOCK = ("(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr"
           "|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\\b[^>]*>")
 _TAG = "</?[A-Za-z!][^>]*>"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# References that the SQL form decodes; the operator decodes all.
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"),
+             ("&middot;", "·")]
 _TITLE = "(?is)<title[^>]*>(.*?)</title>"
 _LANG = "(?is)<html[^>]*\\blang=\"([^\"]*)\""
 _LINK = "(?i)href=\"([^\"]*)\""
@@ -52,19 +54,11 @@ def _decoded(text: Column) -> Column:
     return decode(text)
 
 
-def plain_text(html: Column, every_reference: bool = True) -> Column:
-    """Text of a page: hidden parts and tags removed, blocks on lines of their own, references decoded.
-
-    Without ``every_reference`` only the six of ``_ENTITIES`` are, as the SQL form has it.
-    """
+def plain_text(html: Column) -> Column:
+    """Text of a page: hidden parts and tags removed, blocks on lines of their own, references decoded."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, "")
     text = F.regexp_replace(text, _BLOCK, "\n")
-    text = F.regexp_replace(text, _TAG, "")
-    if every_reference:
-        text = _decoded(text)
-    else:
-        for entity, sign in _ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(sign))
+    text = _decoded(F.regexp_replace(text, _TAG, ""))
     text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
     return F.btrim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
@@ -86,14 +80,12 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
         payload.alias("payload"), _digest(payload).alias("payload_digest"))
 
 
-def derive(source: DataFrame, every_reference: bool = True) -> DataFrame:
+def derive(source: DataFrame) -> DataFrame:
     """Two records per response, in the columns of a WARC header and its block.
 
     ``source`` has page_id, record_id, target_uri, warc_date, http_headers, payload and
     payload_digest; its other columns are ignored. Responses that repeat give records that repeat,
-    with the same ids. An empty payload has an empty conversion; an empty table gives no records.
-    ``every_reference`` is that of ``plain_text``.
-    """
+    with the same ids. An empty payload has an empty conversion; an empty table gives no records.    """
     payload = F.col("payload")
     title = F.btrim(F.regexp_replace(F.regexp_extract(payload, _TITLE, 1), "\\s+", " "), F.lit(" "))
     links = F.regexp_extract_all(payload, F.lit(_LINK), F.lit(1))
@@ -108,7 +100,7 @@ def derive(source: DataFrame, every_reference: bool = True) -> DataFrame:
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"),
                  described.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"),
-                 plain_text(payload, every_reference).alias("block")))
+                 plain_text(payload).alias("block")))
     made = source.select("page_id", "record_id", "target_uri", "warc_date", "payload_digest",
                          F.explode(kinds).alias("r"))
     return made.select(
@@ -142,6 +134,7 @@ def _sql_text() -> str:
     out = f"regexp_replace({out}, {_sql(_TAG)}, '', 'g')"
     for entity, sign in _ENTITIES:
         out = f"replace({out}, {_sql(entity)}, {_sql(sign)})"
+    out = f"regexp_replace({out}, '&amp;?', '&', 'g')"
     out = f"regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g')"
     return f"trim(regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatterlake.llm.common import ascii_lower
+from chatterlake.llm.common import ascii_lower, unused
 from chatterlake.storage import fresh_path, write_table
 
 COUNTERS = 4096
@@ -83,20 +83,20 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", counters: int = C
     by digest.
     """
     spark = docs.sparkSession
-    names = docs.columns
-    keyed = docs.withColumn("text_sha256_", text_digest(text))
+    key, keep, rank = (unused(n, docs) for n in ("text_sha256", "keep_id", "rank"))
+    keyed = docs.withColumn(key, text_digest(text))
     digests = write_table(
-        keyed.select("doc_id", F.col("text_sha256_").alias("text_sha256"))
+        keyed.select("doc_id", F.col(key).alias("text_sha256"))
         .withColumn("row_no", F.monotonically_increasing_id()),
         fresh_path(spark, "digests"))
     heavy = write_table(
         frequent_digests(digests, counters)
-        .select(F.col("text_sha256").alias("text_sha256_"), F.col("keeper.doc_id").alias("keep_id_")),
+        .select(F.col("text_sha256").alias(key), F.col("keeper.doc_id").alias(keep)),
         fresh_path(spark, "heavy-digests"))
-    left = keyed.join(F.broadcast(heavy), "text_sha256_", "left").where(
-        F.col("keep_id_").isNull() | F.col("keep_id_").eqNullSafe(F.col("doc_id")))
-    order = Window.partitionBy("text_sha256_").orderBy(F.col("doc_id").desc())
-    return (left.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").select(*names))
+    left = keyed.join(F.broadcast(heavy), key, "left").where(
+        F.col(keep).isNull() | F.col(keep).eqNullSafe(F.col("doc_id")))
+    order = Window.partitionBy(key).orderBy(F.col("doc_id").desc())
+    return left.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*docs.columns)
 
 
 ORACLE = """

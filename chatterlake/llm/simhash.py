@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatterlake.llm.common import batches
+from chatterlake.llm.common import batches, unused
 from chatterlake.llm.components import components
 from chatterlake.storage import fresh_path, write_table
 
@@ -212,11 +212,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
                            fresh_path(spark, "distinct-fingerprints"))
     edges = write_table(links(distinct.select("fp"), radius, shard_size), fresh_path(spark, "links"))
     groups = components(edges).select(F.col("node").alias("fp"), "component")
-    labelled = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    # only linked fingerprints need the least doc_id of others
-    linked = labelled.join(
-        labelled.groupBy("component").agg(F.min("least").alias("component_id")), "component"
-    ).select("fp", "component_id")
+    labelled = write_table(
+        distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp")),
+        fresh_path(spark, "labelled"))
+    # a table of its own, so that the join shares no exchange and a large component can be split
+    least = write_table(labelled.groupBy("component").agg(F.min("least").alias("component_id")),
+                        fresh_path(spark, "least-ids"))
+    linked = labelled.join(least, "component").select("fp", "component_id")
     return fps.join(linked, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -228,5 +230,6 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", **options) -> Data
     """The rows of ``docs`` whose document is the smallest of its component, with all columns."""
     found = near_duplicates(docs, text, **options)
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(dropped.withColumnRenamed("doc_id", "dropped_id_"),
-                     F.expr("doc_id <=> dropped_id_"), "left_anti")
+    name = unused("dropped_id", docs)
+    dropped = dropped.withColumnRenamed("doc_id", name)
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped[name]), "left_anti")

@@ -52,6 +52,5 @@ def test_every_reference_is_decoded(spark):
     got = {r.page_id: r.block for r in derivatives.derive(derivatives.responses(pages)).collect() if r.warc_type == "conversion"}
     for i, t in enumerate(texts):
         assert " ".join(got[i].split()) == " ".join(html.unescape(t).split()), t
-    footer = [r.block for r in derivatives.derive(derivatives.responses(spark.read.parquet(f"{SMALL}/pages.parquet"))).collect()
-              if r.warc_type == "conversion"]
+    footer = [r.block for r in queries.QUERIES["op9_derivatives"](spark, SMALL).collect() if r.warc_type == "conversion"]
     assert footer and not any("&copy;" in b or "&middot;" in b for b in footer) and any("©" in b for b in footer)
