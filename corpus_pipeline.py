@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatterlake.llm import decontaminate, exact_dedup, packing, quality, simhash
-from chatterlake.llm.common import table
+from chatterlake.llm.common import table, unused
 from chatterlake.llm.queries import quality_weights
 from chatterlake.storage import fresh_path, write_table
 
@@ -14,8 +14,8 @@ from chatterlake.storage import fresh_path, write_table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     weights = quality_weights(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights, name="quality_score_")
-    return scored.where(F.col("quality_score_") >= quality.THRESHOLD).drop("quality_score_")
+    name = unused("quality_score", docs)
+    return quality.score(docs, weights, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
