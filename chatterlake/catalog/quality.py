@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from chatterlake.catalog.registry import query, strip
 from chatterlake.functions.times import day, duration_days, in_closed_range
 from chatterlake.operators import quality as Q
+from chatterlake.operators import search_index
 from chatterlake.operators import serve as V
 from chatterlake.schemas import SENTIMENTS
 
@@ -42,6 +43,34 @@ def _(lake):
     )
 
 
+_indexes: dict[tuple[str, str], object] = {}
+
+
+def text_index(lake):
+    """Trigram index over the gold posts, built once per application."""
+    key = (lake.spark.sparkContext.applicationId, lake.source_dir)
+    if key not in _indexes:
+        _indexes[key] = search_index.add_files(lake.gold_post_search, lake.fresh("text-index"))
+    return _indexes[key]
+
+
+@query("search_indexed", """
+    WITH hits AS (SELECT * FROM gold WHERE post_text ILIKE '%e%n_tion%')
+    SELECT id, md5(post_text) AS text_md5, posted_at, (SELECT count(*) FROM hits) AS total FROM hits""")
+def _(lake):
+    page = V.search_posts(
+        lake.gold_post_search, work=lake.fresh("search"), keyword="E%n_TION", index=text_index(lake))
+    return V.with_total(page).select("id", F.md5("post_text").alias("text_md5"), "posted_at", "total")
+
+
+@query("search_index_files", """
+    SELECT count(*) > 0 AS found FROM gold WHERE post_text ILIKE '%zqxj kwv%'""")
+def _(lake):
+    """A text that no post has is settled by the index: no file is left to read."""
+    return V.matching_posts(lake.gold_post_search, "zqxj kwv", index=text_index(lake)).agg(
+        (F.count(F.lit(1)) > 0).alias("found"))
+
+
 def _incoming(lake):
     """Raw posts with some ids blank and some payloads NULL or empty."""
     return lake.raw_posts.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
 from chatterlake.functions.times import ntz
+from chatterlake.operators import search_index
 from chatterlake.operators.gold import rank_items, tag_counts
 from chatterlake.storage import write_table
 
@@ -66,12 +67,16 @@ def filter_posts(
 def matching_posts(
     gold: DataFrame, keyword: str | None = None, sentiment: str | None = None,
     platform: str | None = None, start: Moment | None = None, end: Moment | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Posts whose text contains the keyword (any case; % and _ act as wildcards).
 
-    The date range is closed and applies only when both ends are given.
+    The date range is closed and applies only when both ends are given. With an ``index`` of
+    :mod:`chatterlake.operators.search_index` over the gold table, files that cannot match are not read.
     """
     hits = gold
+    if keyword and index is not None:
+        hits = search_index.narrowed(hits, index, keyword)
     if keyword:
         hits = hits.filter(F.col("post_text").ilike(f"%{keyword}%"))
     if sentiment:
