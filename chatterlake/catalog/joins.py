@@ -87,6 +87,16 @@ def _(lake):
     return _gold(G.gold_post_search(*_layers(lake)))
 
 
+def _keyed_layers(lake):
+    return lake.keyed("silver_posts", "id"), lake.keyed("silver_ai_enrichment", "silver_post_id"), lake.search_requests
+
+
+@query("gold_post_search_keyed", f"SELECT {_GOLD} FROM gold")
+def _(lake):
+    """Layers with equal buckets by post id: texts are joined where they lie."""
+    return _gold(G.gold_post_search(*_keyed_layers(lake)))
+
+
 @query("gold_post_search_latest", f"""
     SELECT {_GOLD} FROM gold_all
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY ai_version DESC) = 1""")

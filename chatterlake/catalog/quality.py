@@ -226,6 +226,22 @@ def _(lake):
     ])
 
 
+@query("lookup_keyed", """
+    SELECT 'silver' AS what, platform_id AS found FROM silver_posts WHERE id = 123
+    UNION ALL SELECT 'enrichment', id FROM enrichment WHERE silver_post_id = 4 AND ai_version = 2
+    UNION ALL SELECT 'gold', platform FROM gold WHERE id = 77""")
+def _(lake):
+    """Look-ups by id that open one bucket of the layer."""
+    found = [
+        ("silver", V.lookup(lake.keyed("silver_posts", "id"), id=123), "platform_id"),
+        ("enrichment", V.lookup(lake.keyed("silver_ai_enrichment", "silver_post_id"), silver_post_id=4, ai_version=2), "id"),
+        ("gold", V.lookup(lake.keyed("gold_post_search", "id"), id=77), "platform"),
+    ]
+    return V.union_all([
+        df.select(F.lit(what).alias("what"), F.col(c).alias("found")) for what, df, c in found
+    ])
+
+
 @query("pending_requests", """
     SELECT id, keyword, created_at FROM search_requests WHERE status = 'pending'
     ORDER BY created_at, id LIMIT 50""")

@@ -88,16 +88,18 @@ def gold_post_search_all_versions(
 ) -> DataFrame:
     """Script variant: one row per enrichment version, minus rows gold already holds.
 
-    Rows are compared on five columns with plain equality, so a NULL never matches. Stored
-    copies collapse map-side before the join.
+    Rows are compared on five columns with plain equality, so a NULL never matches. All of them are the
+    silver post's, so posts are compared, not versions, and texts by their SHA-256: what moves is
+    narrow, and the ids found are taken out where the posts lie.
     """
-    joined = silver_with_keyword(silver, requests).join(
-        _enrichment_side(enrichment), "id", "left"
-    )
-    key = ["search_request_id", "platform", "posted_at", "author_handle", "post_text"]
-    return joined.select(*_gold_columns()).join(
-        existing.select(*key).distinct(), key, "left_anti"
-    )
+    key = ["search_request_id", "platform", "posted_at", "author_handle"]
+    text = F.sha2(F.col("post_text").cast("binary"), 256).alias("text_sha256")
+    stored = existing.select(*key, text).distinct()
+    held = silver.select(F.col("id").alias("_held"), *key, text).join(
+        stored, [*key, "text_sha256"], "left_semi").select("_held")
+    fresh = silver.join(held, F.col("id") == F.col("_held"), "left_anti")
+    return silver_with_keyword(fresh, requests).join(
+        _enrichment_side(enrichment), "id", "left").select(*_gold_columns())
 
 
 def enrichment_bridge(

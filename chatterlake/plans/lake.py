@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatterlake import storage
 from chatterlake.functions.times import ntz
-from chatterlake.operators import enrich, gold, silver
+from chatterlake.operators import enrich, gold, keyed, silver
 from chatterlake.sources import seed
 
 #: Build time of the gold layers, fixed so that a rebuild gives the same rows.
 BUILT_AT = "2024-02-01 12:00:00"
 
+#: Buckets of the layers by id; for large sources some hundred megabytes a bucket.
+KEY_BUCKETS = 8
+
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -43,6 +46,13 @@ class Lake:
             )
         return _written[key]
 
+    def keyed(self, name: str, key: str) -> DataFrame:
+        """A layer bucketed and sorted by ``key``; written on first use."""
+        place = (self.spark.sparkContext.applicationId, self.source_dir, f"{name}/{key}")
+        if place not in _written:
+            _written[place] = keyed.write_keyed(self.layer(name), self.fresh(f"keyed-{name}"), key, KEY_BUCKETS)
+        return _written[place]
+
     def layers(self, *names: str) -> dict[str, DataFrame]:
         return {name: self.layer(name) for name in names}
 
