@@ -253,6 +253,31 @@ def _(lake):
     return B.token_usage(lake.token_events, hourly=10_000, daily=150_000)
 
 
+_FITS = "{h} + s.tokens <= 4000 AND {d} + s.tokens <= 60000"
+_SAME = "CASE WHEN s.h = r.h THEN r.hour_after ELSE 0 END"
+
+
+@query("budget_decisions", f"""
+    WITH RECURSIVE s AS (
+        SELECT id, tokens, CAST(ts AS DATE) AS d, date_trunc('hour', ts) AS h,
+            row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id) AS rn FROM token_events),
+    r AS (
+        SELECT id, d, h, rn, {_FITS.format(h=0, d=0)} AS allowed, CAST(0 AS BIGINT) AS hour_used, CAST(0 AS BIGINT) AS day_used,
+            CAST(CASE WHEN {_FITS.format(h=0, d=0)} THEN tokens ELSE 0 END AS BIGINT) AS hour_after,
+            CAST(CASE WHEN {_FITS.format(h=0, d=0)} THEN tokens ELSE 0 END AS BIGINT) AS day_after
+        FROM s WHERE rn = 1
+        UNION ALL
+        SELECT s.id, s.d, s.h, s.rn, {_FITS.format(h=_SAME, d='r.day_after')}, {_SAME}, r.day_after,
+            CAST({_SAME} + CASE WHEN {_FITS.format(h=_SAME, d='r.day_after')} THEN s.tokens ELSE 0 END AS BIGINT),
+            CAST(r.day_after + CASE WHEN {_FITS.format(h=_SAME, d='r.day_after')} THEN s.tokens ELSE 0 END AS BIGINT)
+        FROM r JOIN s ON s.d = r.d AND s.rn = r.rn + 1)
+    SELECT id, allowed, hour_used, day_used FROM r""")
+def _(lake):
+    """What each call finds when it asks: the budgets are such that some days fit and others do not."""
+    return B.budget_decisions(lake.token_events, hourly=4_000, daily=60_000).select(
+        "id", "allowed", "hour_used", "day_used")
+
+
 @query("enrich_outcome", """
     SELECT ai_version, count(*) FILTER (status = 'completed') AS enriched,
         count(*) FILTER (status = 'failed') AS failed FROM ai_jobs GROUP BY 1""")

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake import storage
@@ -46,6 +46,62 @@ def budget_state(
     })
 
 
+def budget_decisions(
+    calls: DataFrame, time: str = "ts", tie: str = "id", estimate: str = "tokens", used: str = "tokens",
+    hourly: int = HOURLY_BUDGET, daily: int = DAILY_BUDGET,
+) -> DataFrame:
+    """Add ``allowed``, ``hour_used`` and ``day_used``: what each call finds when it asks for tokens.
+
+    A call is allowed when what allowed calls of its hour and day have used, plus its estimate, stays within
+    both budgets; then what it really uses counts. A refused call uses nothing, so a smaller one behind it
+    may pass. Days whose estimates and uses fit as a whole, hour by hour, are settled by running sums. In the other
+    days a decision depends on those before it: each such day is read in time order in Arrow batches,
+    with two numbers as its state. NULL estimates and uses count as 0; a call without a time is
+    no call of any hour and is left out.
+    """
+    named = calls.filter(F.col(time).isNotNull()).withColumns({
+        "_day": F.to_date(time), "_hour": F.date_trunc("hour", F.col(time)).cast("timestamp_ntz"),
+        "_ask": F.coalesce(F.col(estimate), F.lit(0)).cast("bigint"), "_use": F.coalesce(F.col(used), F.lit(0)).cast("bigint")})
+    most = F.greatest("_ask", "_use")
+    hours = named.groupBy("_day", "_hour").agg(F.sum(most).alias("_most"))
+    fits = hours.groupBy("_day").agg(
+        ((F.max("_most") <= hourly) & (F.sum("_most") <= daily)).alias("_fits"))
+    marked = named.join(fits, "_day")
+
+    def before(*keys: str) -> Column:
+        rows = Window.partitionBy(*keys).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_use").over(rows), F.lit(0))
+
+    kept = calls.columns
+    columns = [*kept, "allowed", "hour_used", "day_used"]
+    # a day that fits holds no more calls than its budget has tokens, but for calls that ask for none
+    settled = marked.filter("_fits").withColumns({
+        "allowed": F.lit(True), "hour_used": before("_day", "_hour"), "day_used": before("_day")}).select(*columns)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day = hour = None
+        of_hour = of_day = 0
+        for batch in batches:
+            out = []
+            for d, h, ask, use in zip(batch["_day"], batch["_hour"], batch["_ask"].tolist(), batch["_use"].tolist()):
+                if d != day:
+                    day, of_day = d, 0
+                if h != hour:
+                    hour, of_hour = h, 0
+                allowed = of_hour + ask <= hourly and of_day + ask <= daily
+                out.append((allowed, of_hour, of_day))
+                if allowed:
+                    of_hour, of_day = of_hour + use, of_day + use
+            yield batch[kept].assign(**{c: [row[i] for row in out] for i, c in enumerate(columns[-3:])})
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema.fields)
+    read = (
+        marked.filter("NOT _fits").drop("_fits").repartition("_day").sortWithinPartitions("_day", time, tie)
+        .mapInPandas(decide, f"{fields}, allowed boolean, hour_used bigint, day_used bigint")
+    )
+    return settled.unionByName(read)
+
+
 def running_total(
     events: DataFrame, group: str, order: list[str], value: str, out: str
 ) -> DataFrame:
