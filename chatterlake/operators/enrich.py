@@ -27,9 +27,9 @@ FREQUENT_TERMS = 1 << 16
 WORK_MB = 8
 
 
-def _scores(posts: DataFrame, text: str) -> DataFrame:
-    """Add ``_a``: hits of the word lists and topic words."""
-    return posts.withColumn("_a", M.analysed(F.col(text), M.word_lists()))
+def _scores(posts: DataFrame, text: str, topic: bool = True) -> DataFrame:
+    """Add ``_a``: hits of the word lists and, for a ``topic``, its words."""
+    return posts.withColumn("_a", M.analysed(F.col(text), M.word_lists(), M.STOP_WORDS if topic else None))
 
 
 def _sentiment() -> Column:
@@ -42,7 +42,7 @@ def _language() -> Column:
 
 def score_sentiment(posts: DataFrame, text: str = "text") -> DataFrame:
     """Add sentiment and sentiment_confidence from the lexicon baseline."""
-    scored = _scores(posts, text).withColumn("_s", _sentiment())
+    scored = _scores(posts, text, topic=False).withColumn("_s", _sentiment())
     return scored.withColumns({
         "sentiment": F.col("_s.label"), "sentiment_confidence": F.col("_s.confidence")
     }).drop("_a", "_s")
@@ -50,7 +50,7 @@ def score_sentiment(posts: DataFrame, text: str = "text") -> DataFrame:
 
 def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
     """Add language and language_confidence from the function-word baseline."""
-    scored = _scores(posts, text).withColumn("_l", _language())
+    scored = _scores(posts, text, topic=False).withColumn("_l", _language())
     return scored.withColumns({
         "language": F.col("_l.code"), "language_confidence": F.col("_l.confidence")
     }).drop("_a", "_l")
@@ -59,9 +59,9 @@ def detect_language(posts: DataFrame, text: str = "text") -> DataFrame:
 def document_frequency(words: DataFrame) -> DataFrame:
     """Number of posts each term occurs in, combined per block of posts and map-side: (h1, h2, df).
 
-    Terms are the words of column ``w`` and the pairs of neighbouring ones, named by 128 bits of hash.
+    Terms are the words of column ``w`` and the pairs of neighbouring ones, named by 96 bits of hash.
     """
-    counted = words.select("w").mapInArrow(terms.frequency_batches, "h1 bigint, h2 bigint, df bigint")
+    counted = words.select("w").mapInArrow(terms.frequency_batches, "h1 bigint, h2 int, df bigint")
     return counted.groupBy("h1", "h2").agg(F.sum("df").alias("df"))
 
 
@@ -79,6 +79,7 @@ def frequent_terms(df: DataFrame, total: Column, most: int = FREQUENT_TERMS) ->
             .select("h1", "h2", _idf(F.col("df"), total).alias("idf")).toArrow())
     h1, h2, idf = (rows.column(c).to_numpy() for c in ("h1", "h2", "idf"))
     order = np.lexsort((h2, h1))
+    # terms that are not stored have the highest idf there is
     others = max(float(idf.min()), 0.0) if len(idf) == most else 1.0
     return terms.Frequent(h1[order], h2[order], idf[order], others)
 
@@ -109,16 +110,17 @@ def topic_of_words(words: DataFrame, key: str, work: str) -> DataFrame:
     score along, so no join key is hot.
     """
     total = words.select(F.count(F.lit(1))).scalar().cast("double")
-    df = storage.write_table(document_frequency(words), f"{work}/term_counts")
+    # most terms occur in one post only: those are not stored
+    df = storage.write_table(document_frequency(words).filter("df > 1"), f"{work}/term_counts")
     frequent = frequent_terms(df, total)
     kind = words.schema[key].dataType.simpleString()
     candidates = storage.write_table(
         words.select(F.col(key).alias("key"), "w").mapInArrow(
             lambda batches: terms.candidate_batches(batches, frequent),
-            f"key {kind}, n_terms bigint, term string, h1 bigint, h2 bigint, tf bigint, micro double"),
+            f"key {kind}, n_terms bigint, term string, h1 bigint, h2 int, tf bigint, micro double"),
         f"{work}/candidates")
-    joined = candidates.filter("micro IS NULL").drop("micro").join(df, ["h1", "h2"]).withColumn(
-        "micro", _micro(F.col("tf") * _idf(F.col("df"), total)))
+    joined = candidates.filter("micro IS NULL").drop("micro").join(df, ["h1", "h2"], "left").withColumn(
+        "micro", _micro(F.col("tf") * _idf(F.coalesce("df", F.lit(1)), total)))
     scored = joined.select("key", "n_terms", "term", "micro").unionByName(
         candidates.filter("micro IS NOT NULL").select("key", "n_terms", "term", F.col("micro").cast("bigint").alias("micro")))
     top = scored.groupBy("key").agg(
