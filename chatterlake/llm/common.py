@@ -31,11 +31,6 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def text_schema(df: DataFrame, *names: str) -> str:
-    """Column types of ``df`` as a DDL string, for functions that pass columns through."""
-    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Within the block, Spark hands at most ``rows`` rows at a time to Python: texts can be long."""
