@@ -24,7 +24,8 @@ from chatterlake.functions import numbers as N
 from chatterlake.functions import text as X
 from chatterlake.functions.times import epoch_micros, instant, to_utc
 from chatterlake.operators import gold as G
-from chatterlake.operators.silver import silver_extract
+from chatterlake.operators.silver import payload_error, silver_extract
+from chatterlake.sources.payload import with_payload
 
 # Poll intervals and late-data allowances.
 ENRICH_INTERVAL = "30 seconds"
@@ -240,22 +241,32 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str, max_att
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         tries = Window.partitionBy("id").orderBy("fetched_at", "raw_payload")
-        numbered = batch.withColumn("_try", F.row_number().over(tries)).withColumn(
-            "_last", F.lead("_try").over(tries).isNull()).filter("_last").drop("_last")
+        ids = batch.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+        aside = ids.filter("_n > 1").select("id")
         before = None
         if storage.children(spark, jobs_path):
             stored = spark.read.parquet(jobs_path).filter(F.col("batch_id") < batch_id)
             before = stored.groupBy(F.col("silver_post_id").alias("id")).agg(
                 F.max("attempts").alias("_before"), F.bool_or(F.col("status") == "completed").alias("_done"))
+            aside = aside.unionByName(ids.join(before, "id", "left_semi").select("id"))
+        # written, so Spark knows how few they are before it decides how to part them from the others
+        path = storage.fresh_path(spark, "tried-ids")
+        aside = storage.write_table(aside.distinct(), path).select(F.col("id").alias("_tried"))
+        is_tried = F.col("id") == F.col("_tried")
+        new = batch.filter("id IS NOT NULL").join(aside, is_tried, "left_anti").withColumn(
+            "_attempts", F.least(F.lit(1), F.lit(max_attempts)))
+        due = batch.join(aside, is_tried, "left_semi").withColumn("_try", F.row_number().over(tries)).withColumn(
+            "_last", F.lead("_try").over(tries).isNull()).filter("_last").drop("_last")
         if before is None:
-            due = numbered.withColumn("_attempts", F.least(F.col("_try"), F.lit(max_attempts)))
+            due = due.withColumn("_attempts", F.least(F.col("_try"), F.lit(max_attempts)))
         else:
-            due = numbered.join(before, "id", "left").filter(
+            new = new.filter(F.lit(max_attempts > 0))
+            due = due.join(before, "id", "left").filter(
                 f"NOT coalesce(_done, false) AND coalesce(_before, 0) < {max_attempts}").withColumn(
                 "_attempts", F.least(F.coalesce("_before", F.lit(0)) + F.col("_try"), F.lit(max_attempts))
-            ).drop("_before", "_done")
-        attempts = due.select("id", "_attempts")
-        rows = silver_extract(due.select(*batch.columns), keep_extras=True).join(attempts, "id").persist()
+            )
+        due = new.unionByName(due.select(*new.columns))
+        rows = silver_extract(due, keep_extras=True, keep=["_attempts"])
         error = F.col("payload_error")
         typed = rows.drop("payload_hashtags", "payload_mentions", "payload_error", "_attempts")
         jobs = rows.select(
@@ -264,12 +275,11 @@ def lifecycle_sink(silver_path: str, jobs_path: str, rejected_path: str, max_att
             F.when(error.isNull(), F.lit("completed")).otherwise(F.lit("failed")).alias("status"),
             F.col("_attempts").alias("attempts"), error.alias("error_message"),
         )
-        bad = due.select(*batch.columns).join(rows.filter(error.isNotNull()).select("id", "payload_error"), "id")
-        try:
-            for df, path in [(typed, silver_path), (bad, rejected_path), (jobs, jobs_path)]:
-                batch_folder(path)(df, batch_id)
-        finally:
-            rows.unpersist()
+        bad = with_payload(due).withColumn("payload_error", payload_error(F.col("p"))).filter(
+            error.isNotNull()).select(*batch.columns, "payload_error")
+        # each parses the payloads anew: to keep them would write every text once more
+        for df, path in [(typed, silver_path), (bad, rejected_path), (jobs, jobs_path)]:
+            batch_folder(path)(df, batch_id)
 
     return write
 

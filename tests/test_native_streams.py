@@ -86,3 +86,31 @@ def test_attempts_go_on_and_end(spark, together):
     sink(spark.createDataFrame(files[-1], BRONZE), len(files) - 1)  # the last batch once more
     again = {r.silver_post_id: (r.status, r.attempts, r.dead) for r in streams.job_states(spark.read.parquet(f"{path}/jobs")).collect()}
     assert again == got
+
+
+def test_tries_keep_no_copy_of_the_payloads(spark, tmp_path, monkeypatch):
+    def persist(*_):
+        raise AssertionError("payloads are kept")
+
+    monkeypatch.setattr(type(spark.range(1)), "persist", persist)
+    sink = streams.lifecycle_sink(*[str(tmp_path / p) for p in ("silver", "jobs", "rejected")], max_attempts=2)
+    schema = ("id long, search_request_id string, crawl_run_id string, platform string, platform_id string, "
+              "author_handle string, raw_payload string, fetched_at timestamp_ntz")
+    at = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+
+    def post(i, payload, when):
+        return (i, "sr", "cr", "twitter", f"p{i}", "u", payload, when)
+
+    sink(spark.createDataFrame([post(1, "{", at[0]), post(2, '{"text": "a"}', at[0]), post(3, "{", at[0]),
+                                post(3, '{"text": "b"}', at[1]), post(None, "{}", at[0])], schema), 0)
+    sink(spark.createDataFrame([post(1, '{"text": "c"}', at[1]), post(2, "{", at[1]), post(4, "{", at[1])], schema), 1)
+    sink(spark.createDataFrame([post(4, "{", at[2]), post(4, "{", at[2])], schema), 2)
+    sink(spark.createDataFrame([post(4, "{}", at[2])], schema), 3)
+    jobs = spark.read.parquet(str(tmp_path / "jobs")).select("batch_id", "silver_post_id", "status", "attempts")
+    assert sorted(map(tuple, jobs.collect())) == [
+        (0, 1, "failed", 1), (0, 2, "completed", 1), (0, 3, "completed", 2), (1, 1, "completed", 2),
+        (1, 4, "failed", 1), (2, 4, "failed", 2)]
+    texts = spark.read.parquet(str(tmp_path / "silver")).select("batch_id", "id", "post_text")
+    assert {tuple(r) for r in texts.collect() if r.post_text} == {(0, 2, "a"), (0, 3, "b"), (1, 1, "c")}
+    rejected = spark.read.parquet(str(tmp_path / "rejected")).select("batch_id", "id")
+    assert sorted(map(tuple, rejected.collect())) == [(0, 1), (1, 4), (2, 4)]
