@@ -8,8 +8,9 @@ lower and an upper bound of its score for each query. A query is settled when fe
 whose upper bound reaches the k-th lower bound, so that no other can qualify; the final scores of
 those left are resolved by reading on for them alone. No vector is ever looked up by its position.
 
-Shards are made in the task that reads the vectors. The lists of a shard meet the queries in blocks, and
-each pair of shard and block gives at most k rows a query, of which the best k are kept.
+Shards are made in the task that reads the vectors. Shards and blocks of queries meet in cells, each a group of
+shards and a bounded number of queries. A task holds the queries of one cell and their best k so far, and reads the
+shards of the cell one after the other, so no row of lists is copied per block and a cell gives k rows a query.
 """
 
 from __future__ import annotations
@@ -28,14 +29,20 @@ K = 5
 SCALE = 256
 SHARD_VECTORS = 16_384
 BLOCK_QUERIES = 64
+#: Queries that a task holds at a time, in blocks.
+CELL_QUERIES = 16_384
+#: Groups of shards; with more shards, one for every ``GROUP_SHARDS``.
+GROUPS, GROUP_SHARDS = 256, 16
+#: Row groups of the lists: a row is some megabytes, and a writer holds a row group.
+LISTS_MB = 16
 #: Shares of the lists after which bounds are compared.
 STOPS = (0.125, 0.25, 0.5, 0.625, 0.75, 0.875, 1)
 #: A query is settled when so small a share of the vectors is left.
 LEFT = 1 / 16
 _EXACT = 2.0 ** 53  # below this, sums of whole numbers are exact in double arithmetic
 
-_LISTS = "shard bigint, dims int, names binary, order binary, values binary"
-_BLOCKS = "block bigint, dims int, names binary, components binary"
+_LISTS = "shard bigint, dims int, names binary, order binary, values binary, width int"
+_BLOCKS = "block bigint, dims int, names binary, components binary, width int"
 _FOUND = "query_row bigint, query_id bigint, vec_row bigint, vec_id bigint, score bigint"
 
 
@@ -122,6 +129,13 @@ def _bytes(values, kind) -> bytes:
     return np.asarray(values, kind).tobytes()
 
 
+def _narrow(values: np.ndarray) -> tuple[bytes, int]:
+    """Whole numbers in as few bytes each as hold them all, and how many those are."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    return _bytes(values, f"<i{width}"), width
+
+
 def _names(numbers: list[int], ids: list) -> bytes:
     """Row number, id and whether the id is null, of each vector."""
     return _bytes([[r, i or 0, i is None] for r, i in zip(numbers, ids)], "<i8")
@@ -165,36 +179,60 @@ def _list_rows(rows: Iterator, size: int) -> Iterator:
         lists = sorted_lists(vectors)
         yield _batch(_LISTS, [(
             numbers[0], dims, _names(numbers, ids),
-            _bytes(lists.order, "<u2" if size <= 65_536 else "<u4"), _bytes(lists.values, "<i8"))])
+            _bytes(lists.order, "<u2" if size <= 65_536 else "<u4"), *_narrow(lists.values))])
 
 
 def _block_rows(rows: Iterator, size: int) -> Iterator:
     for dims, numbers, ids, vectors in _gathered(rows, size):
-        yield _batch(_BLOCKS, [(numbers[0], dims, _names(numbers, ids), _bytes(vectors, "<i8"))])
+        yield _batch(_BLOCKS, [(numbers[0], dims, _names(numbers, ids), *_narrow(vectors))])
+
+
+class _Block:
+    """A block of queries with the best ``k`` of the shards that it has met."""
+
+    def __init__(self, names: bytes, components: bytes, width: int, dims: int, k: int) -> None:
+        self.asking = np.frombuffer(names, "<i8").reshape(-1, 3)
+        self.components = np.frombuffer(components, f"<i{width}").reshape(-1, dims)
+        self.k = k
+        self.best: list[np.ndarray] = [np.empty((0, 4), np.int64)] * len(self.asking)
+
+    def meet(self, names: np.ndarray, place: dict[int, int], lists: Lists) -> None:
+        answers = no_random_access(self.components.astype(np.int64), lists, self.k,
+                                   [place.get(row, -1) for row in self.asking[:, 0].tolist()])
+        for i, (at, scores) in enumerate(answers):
+            found = np.concatenate([self.best[i], np.column_stack([names[at], scores])])
+            row, vec_id, missing, score = found.T
+            self.best[i] = found[np.lexsort((row, vec_id, missing, -score))[:self.k]]
+
+    def rows(self) -> list[tuple]:
+        return [(query_row, None if unnamed else query_id, row, None if missing else vec_id, score)
+                for (query_row, query_id, unnamed), best in zip(self.asking.tolist(), self.best)
+                for row, vec_id, missing, score in best.tolist()]
 
 
 def _answers(rows: Iterator, k: int, wide: bool) -> Iterator:
-    """The best ``k`` of one shard for each query of one block, for joined rows of both."""
+    """The best ``k`` of each query in each cell, for rows in the order of cells, a cell's blocks before its shards."""
+    cell, blocks = None, []
     for batch in rows:
         for r in range(batch.num_rows):
-            dims, names, order, values, queries, components = (
-                batch.column(i)[r].as_py() for i in range(batch.num_columns))
+            *here, shard, dims, names, order, data, width = (batch.column(i)[r].as_py() for i in range(batch.num_columns))
+            if here != cell:
+                yield from (_batch(_FOUND, block.rows()) for block in blocks)
+                cell, blocks = here, []
+            if shard is None:
+                blocks.append(_Block(names, data, width, dims, k))
+                continue
+            if not blocks:
+                continue
             names = np.frombuffer(names, "<i8").reshape(-1, 3)
-            lists = Lists(np.frombuffer(order, "<u4" if wide else "<u2").reshape(dims, -1),
-                          np.frombuffer(values, "<i8").reshape(dims, -1))
-            if np.abs(lists.values).max() < _EXACT:
-                lists = lists._replace(values=lists.values.astype(np.float64))  # once for all queries
+            values = np.frombuffer(data, f"<i{width}").reshape(dims, -1).astype(np.int64)
+            lists = Lists(np.frombuffer(order, "<u4" if wide else "<u2").reshape(dims, -1), values)
+            if np.abs(values).max() < _EXACT:
+                lists = lists._replace(values=values.astype(np.float64))  # once for all queries
             place = {row: i for i, row in enumerate(names[:, 0].tolist())}
-            out = []
-            asking = np.frombuffer(queries, "<i8").reshape(-1, 3).tolist()
-            answers = no_random_access(np.frombuffer(components, "<i8").reshape(-1, dims), lists, k,
-                                       [place.get(row, -1) for row, _, _ in asking])
-            for (query_row, query_id, unnamed), (at, scores) in zip(asking, answers):
-                best = np.lexsort((*names[at].T, -scores))[:k]
-                for (vec_row, vec_id, missing), score in zip(names[at[best]].tolist(), scores[best].tolist()):
-                    out.append((query_row, None if unnamed else query_id, vec_row,
-                                None if missing else vec_id, score))
-            yield _batch(_FOUND, out)
+            for block in blocks:
+                block.meet(names, place, lists)
+    yield from (_batch(_FOUND, block.rows()) for block in blocks)
 
 
 def write_lists(vectors: DataFrame, path: str, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
@@ -202,7 +240,36 @@ def write_lists(vectors: DataFrame, path: str, shard_vectors: int = SHARD_VECTOR
 
     A shard holds at most ``shard_vectors`` vectors of one length that one task has read.
     """
-    return write_table(vectors.mapInArrow(lambda rows: _list_rows(rows, shard_vectors), _LISTS), path)
+    lists = vectors.mapInArrow(lambda rows: _list_rows(rows, shard_vectors), _LISTS)
+    # sizes are looked at after every row: by default only after a hundred
+    (lists.write.option("parquet.block.size", LISTS_MB << 20).option("parquet.block.size.row.check.min", 1)
+     .option("parquet.block.size.row.check.max", 1).option("parquet.page.size.row.check.min", 1)
+     .option("parquet.page.size.row.check.max", 1).option("parquet.enable.dictionary", "false")
+     .mode("overwrite").parquet(path))
+    return vectors.sparkSession.read.schema(_LISTS).parquet(path)
+
+
+def _cells(lists: DataFrame, blocks: DataFrame, cell_blocks: int) -> DataFrame:
+    """Blocks (``shard`` is null) and shards by the cells in which they meet, each cell a run of rows.
+
+    A cell is a length of vectors, a group of shards and a part of the blocks. Blocks go to every group, shards to
+    every part.
+    """
+    n = lists.count()
+    groups = max(GROUPS, n // GROUP_SHARDS)
+    parts = max(1, -(-blocks.count() // cell_blocks))
+    grouped = lists.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)))
+    of_part = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+    places = grouped.select("dims", "group").distinct()
+    asked = of_part.join(F.broadcast(places), "dims").select(
+        "dims", "group", "part", F.lit(None).cast("bigint").alias("shard"), "names",
+        F.lit(None).cast("binary").alias("order"), F.col("components").alias("data"), "width")
+    met = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>"))).select(
+        "dims", "group", "part", "shard", "names", "order", F.col("values").alias("data"), "width")
+    cells = min(n, groups) * parts
+    return (asked.unionByName(met).repartition(max(1, min(2 * cells, 2048)), "dims", "group", "part")
+            .sortWithinPartitions("dims", "group", "part", F.asc_nulls_first("shard"))
+            .select(F.col("dims").alias("length"), "group", "part", "shard", "dims", "names", "order", "data", "width"))
 
 
 def top_k(embeddings: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id", vector: str = "embedding",
@@ -224,16 +291,14 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = K, vec_id: str = "ve
         .select(F.monotonically_increasing_id().alias("row"), "vec_id", "components", "asks"),
         fresh_path(spark, "vectors"))
     lists = write_lists(rows.drop("asks"), fresh_path(spark, "sorted-lists"), shard_vectors)
-    queries = (rows.where("asks").select("row", "vec_id", "components")
-               .mapInArrow(lambda part: _block_rows(part, block_queries), _BLOCKS))
-    # every block is dealt to every shard of its length
-    shards = lists.select("shard", "dims")
-    dealt = shards.join(queries, "dims").select("shard", F.col("names").alias("asking"), "components")
-    met = lists.join(dealt, "shard").select("dims", "names", "order", "values", "asking", "components")
+    blocks = write_table(
+        rows.where("asks").select("row", "vec_id", "components")
+        .mapInArrow(lambda part: _block_rows(part, block_queries), _BLOCKS), fresh_path(spark, "query-blocks"))
     wide = shard_vectors > 65_536
     with arrow_rows(spark, 1):  # a row is a shard
-        found = write_table(met.mapInArrow(lambda part: _answers(part, k, wide), _FOUND),
-                            fresh_path(spark, "shard-answers"))
+        found = write_table(
+            _cells(lists, blocks, max(1, CELL_QUERIES // block_queries))
+            .mapInArrow(lambda part: _answers(part, k, wide), _FOUND), fresh_path(spark, "cell-answers"))
     order = Window.partitionBy("query_row").orderBy(
         F.desc("score"), F.asc_nulls_last("vec_id"), "vec_row")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -71,6 +71,31 @@ def test_odd_rows(spark, shard, block):
     assert sorted(map(tuple, got), key=str) == expected(rows)
 
 
+def test_cells_of_many_parts_and_groups(spark, monkeypatch):
+    """A cell gives k rows a query, however many shards it holds, and a row of lists goes to a part once."""
+    monkeypatch.setattr(topk, "CELL_QUERIES", 4)
+    monkeypatch.setattr(topk, "GROUPS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(int(i * 25), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 3)) * [1, 1000, 1e-3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    paths = []
+    monkeypatch.setattr(topk, "fresh_path", lambda spark, name, path=topk.fresh_path: paths.append(path(spark, name)) or paths[-1])
+    got = topk.top_k(df, F.col("vec_id") % 50 == 0, shard_vectors=2, block_queries=2).collect()
+    assert sorted(map(tuple, got), key=str) == expected(rows)
+    answers = spark.read.parquet(next(p for p in paths if "answers" in p))
+    assert answers.groupBy("query_row").count().agg(F.max("count")).first()[0] <= 2 * topk.K
+
+
+def test_lists_are_written_in_small_row_groups(spark, tmp_path):
+    import pyarrow.dataset as ds
+
+    rows = spark.range(0, 80_000, 1, 1).select(F.col("id").alias("row"), F.col("id").alias("vec_id"), F.array(
+        *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(4001)) - 2000 for i in range(64)]).alias("components"))
+    topk.write_lists(rows, str(tmp_path / "lists"), 4096)
+    sizes = [g.total_byte_size for f in ds.dataset(tmp_path / "lists").get_fragments() for g in f.row_groups]
+    assert len(sizes) > 1 and max(sizes) < 2 * topk.LISTS_MB << 20
+
+
 def test_empty_table_and_no_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
