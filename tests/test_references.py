@@ -58,3 +58,19 @@ def test_documents_and_events_with_equal_ids(spark, tmp_path):
         assert user is None or handle in (None, f"u{user[1]}")
     gold = {r.id: r.post_text for r in odd.gold_post_search.collect()}
     assert gold == text
+
+
+def test_gold_posts_are_shuffled_for_the_join_only(spark, lake, tmp_path, monkeypatch):
+    """With few campaigns the tasks of the join write the files, with many the posts are rebalanced first."""
+    hints = []
+    hint = type(lake.gold_refs).hint
+    monkeypatch.setattr(type(lake.gold_refs), "hint", lambda df, *h: hints.append(h) or hint(df, *h))
+    rows = []
+    for name, files in [("few", 64), ("many", 0)]:
+        monkeypatch.setattr("chatterlake.plans.lake.FILES_PER_TASK", files)
+        (tmp_path / name).symlink_to("/root/testdata/sf0.001")
+        gold = Lake(spark, str(tmp_path / name)).gold_refs
+        rows.append(sorted((r.id, r.search_request_id, r.text) for r in gold.select(
+            "id", "search_request_id", F.to_json("post_text").alias("text")).collect()))
+        assert ("rebalance", "search_request_id") not in hints if name == "few" else hints
+    assert rows[0] == rows[1] and len(rows[0]) > 900
