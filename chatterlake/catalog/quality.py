@@ -35,7 +35,7 @@ def _(lake):
     FROM hits ORDER BY {PAGE} LIMIT 50 OFFSET 50""")
 def _(lake):
     page = V.search_posts(
-        lake.gold_post_search, 50, 50, lake.fresh("search"), keyword="TION",
+        lake.gold_refs, 50, 50, lake.fresh("search"), read=lake.with_texts, read_page=lake.with_texts_of, keyword="TION",
         start="2024-01-02", end="2024-01-29",
     )
     return V.with_total(page).select(

@@ -220,8 +220,8 @@ def _(lake):
     SELECT id, {CARD}, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY {PAGE} LIMIT 50""")
 def _(lake):
     return _short(V.post_explorer(
-        lake.gold_post_search, 50, 0, lake.fresh("explorer"), keyword="an",
-        sentiment="positive", platform="reddit",
+        lake.gold_refs, 50, 0, lake.fresh("explorer"), read=lake.with_texts, read_page=lake.with_texts_of,
+        keyword="an", sentiment="positive", platform="reddit",
     ))
 
 

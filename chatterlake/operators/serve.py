@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime
 from typing import NamedTuple
 
@@ -94,20 +95,24 @@ class Page(NamedTuple):
 
 
 def search_posts(
-    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None, **filters
+    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None,
+    read: Callable[[DataFrame], DataFrame] = lambda posts: posts,
+    read_page: Callable[[DataFrame], DataFrame] | None = None, **filters
 ) -> Page:
     """One page of :func:`matching_posts`, newest first, and the total number of matches.
 
     With a folder ``work`` the texts are searched once: ids and times of the matches are written there,
-    counted and paged, and only the campaigns on the page are read again.
+    counted and paged, and only the campaigns on the page are read again. Where posts hold references for
+    texts, ``read`` puts the texts there; ``read_page`` does so for the page, which is written to ``work`` first.
     """
-    hits = matching_posts(gold, **filters)
+    hits = matching_posts(read(gold), **filters)
     if work is None:
         total = hits.agg(F.count(F.lit(1)).alias("total"))
         return Page(take_page(hits.orderBy(*newest_first()), limit, offset), total)
-    found = write_table(hits.select("search_request_id", "id", "posted_at"), work)
+    found = write_table(hits.select("search_request_id", "id", "posted_at"), f"{work}/found")
     page = take_page(found.orderBy(*newest_first()), limit, offset)
     rows = gold.join(page.select("search_request_id", "id"), ["search_request_id", "id"], "left_semi")
+    rows = read_page(write_table(rows, f"{work}/page")) if read_page else read(rows)
     return Page(rows.orderBy(*newest_first()), found.agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -137,10 +142,10 @@ def post_card() -> list[Column]:
 
 
 def post_explorer(
-    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None, **filters
+    gold: DataFrame, limit: int | None = None, offset: int = 0, work: str | None = None, **options
 ) -> DataFrame:
-    """Search result as cards with the real total."""
-    page = search_posts(gold, limit, offset, work, **filters)
+    """Search result as cards with the real total; options and filters are those of :func:`search_posts`."""
+    page = search_posts(gold, limit, offset, work, **options)
     return page.rows.select("id", *post_card()).withColumn("total", page.total.scalar())
 
 

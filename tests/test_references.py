@@ -74,3 +74,14 @@ def test_gold_posts_are_shuffled_for_the_join_only(spark, lake, tmp_path, monkey
             "id", "search_request_id", F.to_json("post_text").alias("text")).collect()))
         assert ("rebalance", "search_request_id") not in hints if name == "few" else hints
     assert rows[0] == rows[1] and len(rows[0]) > 900
+
+
+def test_a_page_reads_its_own_documents(lake):
+    """Of the documents, those that the page names are grouped; the others are dropped before they are shuffled."""
+    from chatterlake.operators import serve
+
+    page = serve.search_posts(lake.gold_refs, 5, 2, lake.fresh("page"), lake.with_texts, lake.with_texts_of, keyword="an")
+    plain = serve.search_posts(lake.gold_post_search, 5, 2, keyword="an")
+    assert page.rows.collect() == plain.rows.select(*page.rows.columns).collect()
+    assert page.total.collect() == plain.total.collect()
+    assert "LeftSemi" in plan_of(page.rows) and len(page.rows.collect()) == 5
