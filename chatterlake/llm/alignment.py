@@ -19,7 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache, reduce
-from itertools import count
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatterlake.llm.common import arrow_rows
-from chatterlake.llm.tokens import WordTable, blocks, byte_alphabet, encoder, tokenizer_path
+from chatterlake.llm.tokens import WordTable, blocks, byte_alphabet, cut_each, encoder, tokenizer_path
 from chatterlake.storage import fresh_path, write_table
 
 PIECES = "piece_bpe_32k.model"
@@ -98,13 +98,17 @@ def piece_side(path: str) -> Side:
                    for i, p in enumerate(pieces)]
     lead = len(processor.encode("a"))
 
-    def learn(words: list[str]) -> list[list[int]]:
+    def learn(words) -> tuple[np.ndarray, np.ndarray]:
         # the processor adds the first space itself, but none to an empty text
+        words = words.to_pylist()
         blank = [not w.strip(" ") for w in words]
         ids = processor.encode(["a" + w if b else w[1:] for w, b in zip(words, blank)], num_threads=1)
-        return [x[lead:] if b else x for x, b in zip(ids, blank)]
+        ids = [x[lead:] if b else x for x, b in zip(ids, blank)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), "<u4", int(lengths.sum())), lengths
 
-    return Side(WordTable(_SPACED, learn, MAX_WORDS).encode, token_bytes)
+    table = WordTable(learn, MAX_WORDS)
+    return Side(lambda texts: table.encode(*cut_each(_SPACED, texts)), token_bytes)
 
 
 class Run(NamedTuple):

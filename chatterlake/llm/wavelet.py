@@ -269,6 +269,7 @@ def _documents(rows: Iterator) -> Iterator:
                 pa.array(lengths, pa.int64()),
                 pa.array([data[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary()),
             ], names=["doc_id", "start", "n_tokens", "ids"])
+    pa.default_memory_pool().release_unused()
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:

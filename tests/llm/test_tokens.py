@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from chatterlake.llm import packing, queries, wavelet
+from chatterlake.llm import packing, queries, tokens, wavelet
 from chatterlake.llm.tokens import Encoder, tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,6 +46,52 @@ def test_ids_of_any_unicode_are_plain_ids(texts):
     assert encoded(words, texts) == [ids_of(t)[:-1] for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(
+    st.sampled_from(["a", "Word", " ", "  ", "\n", "'", "'s", "'ll", "'l", "'re", "12", "\x85", "\xa0", "\u3000", "日", "\U0001f600"]),
+    st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=3)), max_size=9).map("".join), max_size=4))
+def test_texts_are_cut_as_the_library_cuts_them(texts):
+    # texts were cut one by one by a pattern, into a string a word
+    column = pa.array(["left out", *texts])[1:]
+    cut, counts, unassigned = tokens._cut(column)
+    expected = [[w for w, _ in plain.pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+    alphabet = tokens.byte_alphabet()
+    assert ["".join(alphabet[b] for b in w) for w in cut.to_pylist()] == [w for t in expected for w in t]
+    assert counts.tolist() == [len(t) for t in expected] and not len(unassigned)
+
+
+def test_new_words_go_to_the_library_in_bulk():
+    # it was called once for every new word
+    class Counting:
+        calls = 0
+
+        def __getattr__(self, name):
+            Counting.calls += 1
+            return getattr(model, name)
+
+    encoder = Encoder(tokenizer_path())
+    model, encoder._model = encoder._model, Counting()
+    texts = [" ".join(f"w{chr(97 + i % 26)}{i:x}z" for i in range(a, a + 100)) for a in range(0, 5000, 100)]
+    assert encoded(encoder, texts) == [ids_of(t)[:-1] for t in texts]
+    assert 0 < Counting.calls < 10
+
+
+def test_words_in_several_lots(monkeypatch):
+    monkeypatch.setattr(tokens, "LEARNT", 3)
+    texts = ["one two  three's", "", "日本 \U0001f600 x", "a b c d e f g h", "<|endoftext|> y"]
+    assert encoded(Encoder(tokenizer_path()), texts) == [ids_of(t)[:-1] for t in texts]
+
+
+@pytest.mark.parametrize("block_bytes", [1, 7, 1000])
+def test_batches_are_encoded_in_blocks(block_bytes):
+    texts = ["one two", None, "", "", "日本 text", None, "x" * 50, "'s"]
+    batch = pa.record_batch([pa.array(range(9)), pa.array(["before", *texts])], names=["doc_id", "text"])[1:]
+    empty = batch[:0]
+    got = list(tokens.encode_batches([empty, batch, empty], tokenizer_path(), block_bytes))
+    assert [d for d, _ in got] == list(range(1, 9))
+    assert [np.frombuffer(ids, "<u4").tolist() for _, ids in got] == [ids_of(t) for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["a", " ", "<|endoftext|>", "日本", "<|", "\n"]), max_size=9).map("".join))
 def test_special_strings_can_be_plain_text(text):
