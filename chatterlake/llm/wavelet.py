@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatterlake.llm.common import arrow_rows
-from chatterlake.llm.tokens import encode_batches, tokenizer_path
+from chatterlake.llm.tokens import ID_BYTES, encode_batches, tokenizer_path
 
 SHARD_TOKENS = 1 << 17
 MAGIC = b"WMX1"
@@ -255,19 +255,31 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", tokenizer: str
         shards.write.mode("overwrite").option("compression", "none").parquet(path)
 
 
+def _cut_ids(ids: np.ndarray, ends: np.ndarray):
+    """The ids as an Arrow array of one binary a document, on their own memory.
+
+    Arrow never lets go of the memory behind a memoryview that ``pa.array`` was given.
+    """
+    import pyarrow as pa
+
+    offsets = ID_BYTES * np.append(0, ends)
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("the documents of a shard hold more than 2 GB of ids")
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+
+
 def _documents(rows: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in rows:
         for first, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
             matrix, doc_ids, lengths = open_shard(memoryview(payload.as_buffer()))
-            data = memoryview(matrix.symbols().astype("<u4").tobytes())
             ends = np.cumsum(lengths)
             starts = ends - lengths
             yield pa.RecordBatch.from_arrays([
                 pa.array(doc_ids, pa.int64()), pa.array(starts + first, pa.int64()),
-                pa.array(lengths, pa.int64()),
-                pa.array([data[4 * a:4 * b] for a, b in zip(starts, ends)], pa.binary()),
+                pa.array(lengths, pa.int64()), _cut_ids(matrix.symbols(), ends),
             ], names=["doc_id", "start", "n_tokens", "ids"])
     pa.default_memory_pool().release_unused()
 

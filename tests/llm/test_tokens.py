@@ -134,6 +134,31 @@ def test_shards_of_odd_rows(spark, odd, tmp_path):
     assert counted == sum(ids_of(t).count(0) for _, t in ODD)
 
 
+def test_read_documents_are_let_go():
+    """The memory behind documents read from shards was never freed."""
+    import gc
+    import tracemalloc
+
+    payload = wavelet.pack_shard(np.arange(100_000, dtype=np.uint32), [1, None, 3], [60_000, 0, 40_000])
+    shard = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([payload], pa.binary())], ["start", "payload"])
+
+    def read():
+        (batch,) = wavelet._documents([shard])
+        return batch.to_pydict()
+
+    got = read()
+    assert got["doc_id"] == [1, None, 3] and got["start"] == [7, 60_007, 60_007] and got["n_tokens"] == [60_000, 0, 40_000]
+    assert b"".join(got["ids"]) == np.arange(100_000, dtype="<u4").tobytes() and got["ids"][1] == b""
+    del got
+    tracemalloc.start()
+    for _ in range(5):
+        read()
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 400_000  # the ids of one reading; five were held
+
+
 def test_empty_tables(spark, odd, tmp_path):
     wavelet.write_shards(odd.limit(0), str(tmp_path / "w"))
     assert wavelet.read_shards(spark, str(tmp_path / "w")).count() == 0
