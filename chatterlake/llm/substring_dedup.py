@@ -33,6 +33,7 @@ WINDOW = 50
 GRAM = 16
 HOT_DOCUMENTS = 256
 SHARD_WORDS = 1 << 19
+BATCH_ROWS = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASES = (_BASE, 0xC2B2AE3D27D4EB4F)
@@ -133,11 +134,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _pieces(rows: Iterator) -> Iterator:
+    """Batches of at most ``BATCH_ROWS`` texts: Python's lists of words and numbers take many times their bytes."""
+    for batch in rows:
+        for a in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(a, BATCH_ROWS)
+
+
 def _profile(rows: Iterator, window: int, gram: int) -> Iterator:
     """doc_id, text_hash, n_words, words_hash (two hashes of all words), anchors of each document."""
     import pyarrow as pa
 
-    for batch in rows:
+    for batch in _pieces(rows):
         n_words, first, second, found = [], [], [], []
         for t in batch.column(2):
             h = word_hashes(t.as_py())
@@ -163,7 +171,7 @@ def _segments(rows: Iterator, window: int, gram: int) -> Iterator:
     import pyarrow as pa
 
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
-    for batch in rows:
+    for batch in _pieces(rows):
         out: list[list] = [[] for _ in names]
         for doc_id, text_hash, text, repeated, hot in zip(*(batch.column(i).to_pylist() for i in range(5))):
             words = split_words(text)
@@ -304,12 +312,12 @@ def _hot_matches(segments: DataFrame) -> DataFrame:
     """Windows of hot segments that also stand in a segment of a smaller document, by their hashes."""
     spark = segments.sparkSession
     hashes = ["whole", "other"]
-    windows = write_table(
-        segments.select("anchor", "segment", "owner", F.posexplode(F.arrays_zip(*hashes)).alias("from_", "h"))
-        .select("anchor", "segment", "owner", "from_", "h.*"), fresh_path(spark, "hot-windows"))
+    # not stored: there are many times more of them than segments, and the second reading costs no shuffle
+    windows = (segments.select("anchor", "segment", "owner", F.posexplode(F.arrays_zip(*hashes)).alias("from_", "h"))
+               .select("anchor", "segment", "owner", "from_", "h.*"))
     least = write_table(
         windows.groupBy(*hashes).agg(F.min("owner").alias("least"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1").drop("n"), fresh_path(spark, "hot-repeats"))
+        .where("n > 1").drop("n"), fresh_path(spark, "hot-repeats"), narrow=True)
     return windows.join(least, hashes).where("owner > least").select(
         "anchor", "segment", F.col("from_").cast("bigint"), F.col("from_").cast("bigint").alias("to_"))
 
@@ -336,12 +344,12 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
     least = write_table(
         profile.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & (F.col("n_words") >= window)).drop("n"),
-        fresh_path(spark, "copied-texts"))
+        fresh_path(spark, "copied-texts"), narrow=True)
     marked = write_table(
         profile.drop("anchors").join(least, same, "left").select(
             "doc_id", "text_hash", "n_words",
             F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copied")).distinct(),
-        fresh_path(spark, "marked"))
+        fresh_path(spark, "marked"), narrow=True)
     places = profile.where(F.col("n_words") >= window).join(
         marked.where(~F.col("copied")).select("doc_id", "text_hash"), ["doc_id", "text_hash"]
     ).select("doc_id", "text_hash", F.explode("anchors").alias("anchor")).distinct()
@@ -362,17 +370,20 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
                                             F.first(F.col("last") - F.col("first") + window).alias("size"))
     distinct = write_table(distinct, fresh_path(spark, "distinct-segments"))
     several = write_table(
-        distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"),
-        fresh_path(spark, "open-anchors"))
-    open_ = write_table(distinct.join(several, "anchor", "left_semi"), fresh_path(spark, "open-segments"))
-    searched = open_.where("words IS NOT NULL").drop("whole", "other")
-    size = searched.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        distinct.groupBy("anchor").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("words").isNotNull(), F.col("size"))).alias("size"))
+        .where("n > 1").select("anchor", "size"), fresh_path(spark, "open-anchors"), narrow=True)
+    size = several.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_words))
+    named = [*groups, "owner"]
+    open_ = several.select("anchor")
     hits = (
-        searched.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        distinct.where("words IS NOT NULL").select(*named, "words").join(open_, "anchor", "left_semi")
+        .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard").applyInPandas(lambda s: _search(s, window), "anchor bigint, segment bigint, from_ bigint, to_ bigint")
     )
-    found = write_table(hits.unionByName(_hot_matches(open_.where("whole IS NOT NULL"))), fresh_path(spark, "matches"))
+    found = hits.unionByName(_hot_matches(
+        distinct.where("whole IS NOT NULL").select(*named, "whole", "other").join(open_, "anchor", "left_semi")))
     narrow = segments.select("doc_id", "text_hash", *groups, "first", "last")
     owned = narrow.join(distinct.select(*groups, "owner"), groups)
     ranges = (
@@ -389,7 +400,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, g
 def _cut(rows: Iterator, window: int) -> Iterator:
     import pyarrow as pa
 
-    for batch in rows:
+    for batch in _pieces(rows):
         n_words, n_removed, kept = [], [], []
         for text, copied, ranges in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             words = split_words(text)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chatterlake.llm import queries, substring_dedup
+from chatterlake.storage import shared_root
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -69,6 +71,29 @@ def test_made_passages(spark, hot):
     assert substring_dedup.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_few_files(spark):
+    """Tables of numbers had a file for each shuffle partition, and three more tables were stored."""
+    rnd = random.Random(7)
+    passages = [[f"w{rnd.randrange(90)}" for _ in range(80)] for _ in range(8)]
+    docs = []
+    for i in range(400):
+        part = list(rnd.choice(passages))
+        part[rnd.randrange(80)] = f"edit{i % 9}"
+        docs.append((i, " ".join([f"d{i}", *part, *rnd.choice(passages)])))
+    settings_ = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings_}
+    stored = set(Path(shared_root(spark)).rglob("part-*.parquet"))
+    try:
+        for k, v in settings_.items():
+            spark.conf.set(k, v)
+        assert rows_of(substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), hot=20)) == brute(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [p for p in Path(shared_root(spark)).rglob("part-*.parquet") if p not in stored]
+    assert len(files) < 200  # over 300 before
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 3), min_size=4, max_size=14), min_size=1, max_size=7), st.data())
 def test_index_finds_windows_of_smaller_owners(sequences, data):
