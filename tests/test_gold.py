@@ -75,6 +75,23 @@ def test_top_five_breaks_ties_by_item(spark):
     assert row.top_hashtags == ["f", "a", "b", "c", "d"]
 
 
+def test_daily_sql_keeps_every_tag(spark):
+    """Lists hold each hashtag and topic as often as it occurs, also for days and keywords that are NULL."""
+    undated = dict(posted_at=None, keyword=None)
+    rows = {r.date: r for r in G.campaign_daily_sql(gold(
+        spark, post(1, hashtags=["b", "a", "b"]), post(2, hashtags=["a"], topic_label=""),
+        post(3, hashtags=None, topic_label="art"), post(4, hashtags=["z"], **undated),
+        post(5, hashtags=["z", "y"], topic_label=None, **undated),
+        post(6, hashtags=[], topic_label=None, posted_at=datetime(2025, 1, 16)),
+    )).collect()}
+    day, null, bare = rows[date(2025, 1, 15)], rows[None], rows[date(2025, 1, 16)]
+    assert (day.top_hashtags, day.top_topics) == (["a", "a", "b", "b"], ["art", "technology"])
+    assert (null.top_hashtags, null.top_topics) == (["y", "z", "z"], ["technology"])
+    assert (bare.top_hashtags, bare.top_topics) == ([], [])
+    assert [(r.total_posts, r.hashtag_count, r.topic_count) for r in (day, null, bare)] == [
+        (3, 4, 2), (2, 3, 1), (1, 0, 0)]
+
+
 def test_search_pages_and_ranges(spark):
     posts = gold(
         spark, post(1, post_text="I love Python programming"),
