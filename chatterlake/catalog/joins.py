@@ -55,7 +55,7 @@ def _(lake):
     SELECT id, author_name, md5(post_text) AS text_md5, posted_at, like_count FROM silver_posts
     WHERE created_at >= TIMESTAMP '{CUT}'""")
 def _(lake):
-    return S.bronze_to_silver_new(lake.bronze_posts, _stored_silver(lake)).select(
+    return S.bronze_to_silver_new(lake.bronze_refs, _stored_silver(lake), lake.with_payloads).select(
         "id", "author_name", F.md5("post_text").alias("text_md5"), "posted_at", "like_count"
     )
 

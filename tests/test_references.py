@@ -2,8 +2,10 @@
 
 import re
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
+from chatterlake import catalog
 from chatterlake.plans.lake import Lake
 
 
@@ -35,6 +37,18 @@ def test_no_text_of_a_post_is_shuffled(spark, lake):
     assert not re.search("from_json|to_json", plan[plan.index("Exchange"):])
 
 
+def test_new_silver_posts_are_picked_before_their_payloads_are_read(spark):
+    """With large tables on both sides the posts are shuffled to be picked, as references."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(catalog.queries()["bronze_to_silver_new"](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "to_json" in plan.replace("StructsToJsonEvaluator", "to_json")
+    assert not re.search("from_json|to_json|StructsToJson", plan[plan.index("Exchange"):])
+
+
 def test_documents_and_events_with_equal_ids(spark, tmp_path):
     """Post 7 may be any of four rows; its text and tags come from one of them."""
     docs = [(i, f"text {i} #t{i}", "en", "web", 10) for i in range(4)] + [(3, "other #o", "fr", "book", 8)]
