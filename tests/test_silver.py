@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chatterlake.functions import text as X
 from chatterlake.functions.times import parse_posted_at
 from chatterlake.operators import silver as S
+from chatterlake.plans.export import export_layers
 from chatterlake.schemas import struct_of
 
 
@@ -110,3 +111,15 @@ def test_first_writer_wins_across_campaigns(spark):
     posts = spark.createDataFrame(rows, struct_of("bronze_posts"))
     assert [r.id for r in S.dedup_posts(posts).collect()] == [2]
     assert S.dedup_bronze(posts, posts.limit(1)).count() == 0
+
+
+def test_dedup_writes_one_table_and_the_driver_no_marker(spark, tmp_path, monkeypatch):
+    """The driver starts a process for every file that it makes on a local disk; exports keep their marker."""
+    monkeypatch.setattr("chatterlake.storage.fresh_path", lambda _, name: f"{tmp_path}/work/{name}")
+    rows = [(1, "p1", 5), (1, "p1", 5), (2, "p1", 9), (3, "p1", 4), (4, "p4", 1), (4, "p4", 1), (5, None, 1), (6, None, 2)]
+    posts = spark.createDataFrame([(i, "x", p, t) for i, p, t in rows], "id long, platform string, platform_id string, fetched_at int")
+    assert sorted(r.id for r in S.dedup_posts(posts).collect()) == [3, 4, 5, 6]
+    written = list((tmp_path / "work").iterdir())
+    assert len(written) == 1 and not list(written[0].glob("*_SUCCESS*"))
+    export_layers({"posts": posts}, f"{tmp_path}/export", "now")
+    assert (tmp_path / "export" / "now" / "posts" / "_SUCCESS").exists()
