@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chatterlake import catalog
 from chatterlake.plans.lake import Lake
+from chatterlake.plans.refresh import full_refresh
 
 
 def plan_of(df):
@@ -49,6 +50,19 @@ def test_new_silver_posts_are_picked_before_their_payloads_are_read(spark):
     assert not re.search("from_json|to_json|StructsToJson", plan[plan.index("Exchange"):])
 
 
+def test_a_refresh_of_references_equals_one_of_payloads(spark, lake, tmp_path):
+    """Its tables hold references; texts are put back in what it returns."""
+    at = F.lit("2024-02-01").cast("timestamp_ntz")
+    plain = full_refresh(lake.raw_posts, lake.search_requests, at, f"{tmp_path}/plain")
+    refs = full_refresh(lake.raw_refs, lake.search_requests, at, f"{tmp_path}/refs", lake.with_payloads, lake.with_texts)
+    for table in ("scored_posts", "gold_posts"):
+        stored = spark.read.parquet(f"{tmp_path}/refs/{table}").schema["post_text"].dataType
+        assert "doc_id" in stored.fieldNames()
+    for name in ("bronze", "silver", "posts", "daily"):
+        a, b = getattr(plain, name), getattr(refs, name)
+        assert a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def test_documents_and_events_with_equal_ids(spark, tmp_path):
     """Post 7 may be any of four rows; its text and tags come from one of them."""
     docs = [(i, f"text {i} #t{i}", "en", "web", 10) for i in range(4)] + [(3, "other #o", "fr", "book", 8)]
